@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "chat", "tokens", "ogg", "packing")
+MODULES = ("langid", "sharding", "chat", "tokens", "ogg", "packing")
 
 
 def queries() -> dict:
