@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("langid", "sharding", "chat", "tokens", "pii", "ogg", "packing")
+MODULES = ("langid", "sharding", "chat", "tokens", "pii", "ogg", "packing", "decontaminate")
 
 
 def queries() -> dict:
