@@ -197,30 +197,33 @@ class Predictor:
         return labels, scores
 
 
-def labelled_sample(docs: DataFrame, text: str, label: str, per_label: int) -> list[tuple[str, str]]:
-    """At most ``per_label`` (text, label) for each label, the same however rows are dealt.
+def labelled_sample(docs: DataFrame, text: str, label: str, per_label: int, words_per_text: int) -> list[tuple[list[str], str]]:
+    """Words of at most ``per_label`` texts of each label, the same however rows are dealt.
 
     Rows of a label fall into ``per_label`` buckets by a hash of the text, and each
     bucket gives the text of the least hash: sums of a row each, whatever the label's
-    share. Null labels and null texts don't count.
+    share. Of a text at most ``words_per_text`` words come, from all over it. Null
+    labels and null texts don't count.
     """
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
     rows = rows.withColumn("h", F.xxhash64("text"))
     least = rows.groupBy("label", F.pmod("h", F.lit(per_label)).alias("bucket")).agg(F.min("h").alias("h"))
     # At most per_label rows of two short columns for each label: a bounded broadcast.
     chosen = rows.join(F.broadcast(least.select("label", "h")), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
-    return [(r["text"], r["label"]) for r in sorted(chosen.collect(), key=lambda r: (r["label"], r["h"]))]
+    drawn = F.array_sort(F.transform(F.split("text", r"\s+"), lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("w"))))
+    few = chosen.select("label", "h", F.slice(drawn, 1, words_per_text)["w"].alias("words"))
+    return [(r["words"], r["label"]) for r in sorted(few.collect(), key=lambda r: (r["label"], r["h"]))]
 
 
-def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label: int = 256, words_per_label: int = 8000, epochs: int = 4, seed: int = 3) -> ByteGru | None:
-    """Train on at most ``per_label`` documents and ``words_per_label`` of their words for each label.
+def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label: int = 256, words_per_text: int = 100, words_per_label: int = 8000, epochs: int = 4, seed: int = 3) -> ByteGru | None:
+    """Train on at most ``per_label`` documents, ``words_per_text`` words of each and ``words_per_label`` in all for each label.
 
     Without any labelled text that has a letter, None.
     """
     rng = np.random.default_rng(seed)
     words: dict[str, list[str]] = {}
-    for t, name in labelled_sample(docs, text, label, per_label):
-        words.setdefault(name, []).extend(w for w in t.split() if has_letter(w))
+    for own, name in labelled_sample(docs, text, label, per_label, words_per_text):
+        words.setdefault(name, []).extend(w for w in own if has_letter(w))
     labels = sorted(k for k, v in words.items() if v)
     if not labels:
         return None

@@ -9,11 +9,14 @@ escaped to a list of their own.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from siftwell.llm.common import table, text_of, written
 
 #: Distinct pieces that a worker remembers; beyond it forgets all and starts again.
 REMEMBERED = 800_000
+#: A word, a full stop or comma, and perhaps a line break and another word: both tokenizers cut between these.
+WORDS = regex.compile(r"(\p{L}+)([.,])(?:(\n)(\p{L}+)([.,]?))?")
 
 
 class Encoder:
@@ -34,36 +39,48 @@ class Encoder:
     """
 
     def __init__(self, name: str, end_id: int, spaced: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        self.end, self.spaced, self.known = np.array([end_id], dtype="<u4").tobytes(), spaced, {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        for lo in range(0, len(pieces), 4096):
-            some = pieces[lo : lo + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, the end id last."""
-        if "  " in text:
-            e = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-            return np.array(e.ids, dtype="<u4").tobytes() + self.end
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + p for p in rest]] if self.spaced else [first, *rest]
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces]) + self.end
-        except KeyError:
-            self._learn([p for p in dict.fromkeys(pieces) if p not in known])
-            if any(p not in self.known for p in pieces):  # the memory was cleared meanwhile
-                self._learn(list(dict.fromkeys(pieces)))
-            return b"".join([self.known[p] for p in pieces]) + self.end
+        self.end, self.before = array("I", [end_id]).tobytes(), " " if spaced else ""
+        self.first: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(texts), 4096):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
+        return out
+
+    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
+        new = pieces - known.keys()
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = pieces
+        parts = {p: [before + m[1], *m.groups("")[1:]] if (m := WORDS.fullmatch(p)) else [before + p] for p in new}
+        missing = list(set().union(*parts.values()) - self.units.keys())
+        if len(self.units) + len(missing) > REMEMBERED:
+            self.units.clear()
+            missing = list(set().union(*parts.values()))
+        self.units.update(zip(missing, self._ids(missing), strict=True))
+        known.update((p, b"".join(map(self.units.__getitem__, own))) for p, own in parts.items())
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers, the end id last."""
+        split = [None if "  " in t else t.split(" ") for t in texts]
+        self._learn(self.first, {p[0] for p in split if p}, "")
+        self._learn(self.known, set().union(*(p[1:] for p in split if p)), self.before)
+        out, first, known = [], self.first, self.known.__getitem__
+        for text, pieces in zip(texts, split, strict=True):
+            if pieces is None:
+                out.append(self._ids([text])[0] + self.end)
+            else:
+                out.append(b"".join([first[pieces[0]], *map(known, pieces[1:]), self.end]))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -103,10 +120,12 @@ def pack_words(ids: np.ndarray) -> np.ndarray:
     best = np.full(n, 15, dtype=np.int8)
     index = np.arange(n, dtype=np.int32)
     for b in np.unique(BITS)[::-1]:
+        large = need > b
+        gaps = np.diff(np.flatnonzero(large), prepend=-1, append=n)
+        if gaps.max() <= COUNTS[BITS == b].min():
+            continue
         # How many ids from here on need at most b bits, in a row.
-        run = np.minimum.accumulate(np.where(need > b, index, np.int32(n))[::-1])[::-1] - index
-        if not run.any():
-            break
+        run = np.minimum.accumulate(np.where(large, index, np.int32(n))[::-1])[::-1] - index
         for s in np.flatnonzero(BITS == b)[::-1]:
             best[run >= COUNTS[s]] = s
     takes = COUNTS[best].tolist()
@@ -209,9 +228,9 @@ def write_blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, files: int
             )
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for name, coded in zip(batch["doc_id"].to_pylist(), code(batch["text"].to_pylist()), strict=True):
                 names.append(name)
-                parts.append(code(text))
+                parts.append(coded)
                 held += len(parts[-1]) // 4
                 if held >= BLOCK_IDS:
                     yield block()
