@@ -44,7 +44,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, *, end_id: int
         code = encoder(tokenizer, end_id)
         for batch in batches:
             out = [[] for _ in PIECES.names]
-            for name, ids in zip(batch["doc_id"].to_pylist(), code(batch["text"].to_pylist()), strict=True):
+            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                ids = code(text)
                 for k, lo in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[lo : lo + 4 * max_tokens]
                     for column, value in zip(out, (name, k, lo // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):

@@ -25,9 +25,50 @@ from pyspark.sql import types as T
 from siftwell.llm.common import table, text_of, written
 
 #: Distinct pieces that a worker remembers; beyond it forgets all and starts again.
-REMEMBERED = 800_000
-#: A word, a full stop or comma, and perhaps a line break and another word: both tokenizers cut between these.
-WORDS = regex.compile(r"(\p{L}+)([.,])(?:(\n)(\p{L}+)([.,]?))?")
+REMEMBERED = 700_000
+
+
+#: A word and a full stop or comma, perhaps with a line break and another word: both tokenizers cut between these.
+WORDS = regex.compile(r"(\p{L}+)([.,])(?:(\n)(\p{L}+)?([.,]?))?")
+#: Words for which a tokenizer's normalization is lower-casing letter by letter.
+LATIN = regex.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself if it prints, else the next from 256 on."""
+    out, spare = {}, 256
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174:
+            out[byte] = chr(byte)
+        else:
+            out[byte], spare = chr(spare), spare + 1
+    return out
+
+
+class Pieces(dict):
+    """Ids of pieces, worked out when first asked for; ``before`` stands before each piece."""
+
+    def __init__(self, tokenizer, before: str, lower: bool):
+        super().__init__()
+        self.whole, self.word, self.before, self.lower = tokenizer.encode_batch_fast, tokenizer.model.tokenize, before, lower
+        self.letters = byte_letters()
+        self.rest = self if not before else Pieces(tokenizer, "", lower)
+
+    def __missing__(self, piece: str) -> bytes:
+        if LATIN.fullmatch(piece):
+            text = self.before + (piece.lower() if self.lower else piece)
+            ids = array("I", [t.id for t in self.word(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        elif m := WORDS.fullmatch(piece):
+            ids = b"".join([self[m[1]], *[self.rest[x] for x in m.groups("")[1:]]])
+        else:
+            ids = self.library(self.before + piece)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def library(self, text: str) -> bytes:
+        return array("I", self.whole([text], add_special_tokens=False)[0].ids).tobytes()
 
 
 class Encoder:
@@ -35,7 +76,8 @@ class Encoder:
 
     Both tokenizers used here cut a text before such a space (or at it) whatever
     stands around it, so the ids of a text are those of its pieces in order. Texts
-    with two spaces in a row go to the library whole.
+    with two spaces in a row go to the library whole; a piece that is one word goes
+    straight to the library's model, which is all that would be left to do with it.
     """
 
     def __init__(self, name: str, end_id: int, spaced: bool):
@@ -43,44 +85,18 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
-        self.end, self.before = array("I", [end_id]).tobytes(), " " if spaced else ""
-        self.first: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(texts), 4096):
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
-        return out
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = pieces - known.keys()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = pieces
-        parts = {p: [before + m[1], *m.groups("")[1:]] if (m := WORDS.fullmatch(p)) else [before + p] for p in new}
-        missing = list(set().union(*parts.values()) - self.units.keys())
-        if len(self.units) + len(missing) > REMEMBERED:
-            self.units.clear()
-            missing = list(set().union(*parts.values()))
-        self.units.update(zip(missing, self._ids(missing), strict=True))
-        known.update((p, b"".join(map(self.units.__getitem__, own))) for p, own in parts.items())
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers, the end id last."""
-        split = [None if "  " in t else t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in split if p}, "")
-        self._learn(self.known, set().union(*(p[1:] for p in split if p)), self.before)
-        out, first, known = [], self.first, self.known.__getitem__
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                out.append(self._ids([text])[0] + self.end)
-            else:
-                out.append(b"".join([first[pieces[0]], *map(known, pieces[1:]), self.end]))
-        return out
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        tokenizer.encode_special_tokens = True
+        self.end = array("I", [end_id]).tobytes()
+        self.known = Pieces(tokenizer, " " if spaced else "", not spaced)
+
+    def __call__(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers, the end id last."""
+        known = self.known
+        if "  " in text:
+            return known.library(text) + self.end
+        pieces = text.split(" ")
+        return b"".join([known.rest[pieces[0]], *map(known.__getitem__, pieces[1:]), self.end])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -119,7 +135,10 @@ def pack_words(ids: np.ndarray) -> np.ndarray:
     need = _widths(ids)
     best = np.full(n, 15, dtype=np.int8)
     index = np.arange(n, dtype=np.int32)
-    for b in np.unique(BITS)[::-1]:
+    enough = BITS[BITS >= need.max()].min()  # selectors from here on hold any id; only the end of the block is short of ids
+    for s in np.flatnonzero(BITS >= enough)[::-1]:
+        best[: max(0, n - COUNTS[s] + 1)] = s
+    for b in np.unique(BITS[BITS < enough])[::-1]:
         large = need > b
         gaps = np.diff(np.flatnonzero(large), prepend=-1, append=n)
         if gaps.max() <= COUNTS[BITS == b].min():
@@ -228,9 +247,9 @@ def write_blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, files: int
             )
 
         for batch in batches:
-            for name, coded in zip(batch["doc_id"].to_pylist(), code(batch["text"].to_pylist()), strict=True):
+            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 names.append(name)
-                parts.append(coded)
+                parts.append(code(text))
                 held += len(parts[-1]) // 4
                 if held >= BLOCK_IDS:
                     yield block()
