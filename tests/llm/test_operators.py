@@ -1,0 +1,283 @@
+"""Brute force, exact round trips and edge cases of the other training-data operators."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siftwell.llm import chat, decontaminate, langid, ogg, packing, pii, sharding, tokens
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# Language
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(0)
+    model = langid.ByteGru(["a", "b"], size=3, embedding=2, seed=1)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, lengths = langid.padded([b"abc", b"zz", b"qwert"])
+    y = np.array([0, 1, 1])
+    _, grads = model.gradients(x, lengths, y)
+    for k in model.p:
+        flat = model.p[k].reshape(-1)
+        at = int(np.abs(grads[k].reshape(-1)).argmax()) if k == "E" else int(rng.integers(len(flat)))
+        keep, e = flat[at], 1e-4
+        flat[at] = keep + e
+        up, _ = model.gradients(x, lengths, y)
+        flat[at] = keep - e
+        down, _ = model.gradients(x, lengths, y)
+        flat[at] = keep
+        assert grads[k].reshape(-1)[at] == pytest.approx((up - down) / (2 * e), abs=2e-3)
+
+
+def test_language_held_out_and_edge_cases(spark, make, awkward):
+    rng = np.random.default_rng(1)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(3, 8)))
+    texts = [(" ".join(word("abcdef" if i % 2 else "uvwxyzé") for _ in range(30)), "one" if i % 2 else "two") for i in range(120)]
+    docs = spark.createDataFrame(texts, "text string, lang string")
+    model = langid.fit(docs.limit(80), epochs=3)
+    got = docs.select("lang", langid.predicted(model, F.col("text")).alias("p")).collect()
+    assert np.mean([r.lang == r.p.lang_pred for r in got]) > 0.97
+    odd = make(awkward).select("doc_id", langid.predicted(model, F.col("text")).alias("p"))
+    found = by_id(odd)
+    assert all(found[i].p.lang_pred == "und" and found[i].p.score == 0 for i in (0, 1, 2, len(awkward) - 1))
+    assert all(0 <= r.p.score <= 1 for r in found.values())
+    assert langid.fit(docs.limit(0)) is None
+    assert {r.p.lang_pred for r in make(awkward).select(langid.predicted(None, F.col("text")).alias("p")).collect()} == {"und"}
+
+
+# Sharding
+
+
+def test_shards_are_exact_and_gapless(make, awkward):
+    docs = make(awkward * 8)
+    for options in ({}, {"rows_per_slice": 7}):
+        got = sharding.shuffle_to_shards(docs, 8, **options)
+        assert got.columns[: len(docs.columns)] == docs.columns
+        shards = {}
+        for r in got.collect():
+            shards.setdefault(r.shard, []).append((r.slot, r.doc_id))
+        sizes = [len(v) for v in shards.values()]
+        assert sorted(i for v in shards.values() for _, i in v) == list(range(len(awkward) * 8))
+        assert max(sizes) - min(sizes) <= 1 and all(sorted(s for s, _ in v) == list(range(len(v))) for v in shards.values())
+    assert sharding.shuffle_to_shards(make(["x"]).limit(0), 8).count() == 0
+
+
+def test_matrix_rows_fit_their_margins():
+    before, columns = np.array([0, 5, 5, 17, 30]), np.array([10, 1, 9, 10])
+    rows = np.array([sharding.matrix_row(3, before, columns, p) for p in range(4)])
+    assert rows.sum(1).tolist() == [5, 0, 12, 13] and rows.sum(0).tolist() == columns.tolist()
+    draws = [sharding.hypergeometric(np.random.default_rng(s), 3 * 10**9, 10**9, 1000) for s in range(50)]
+    assert 730 < np.mean(draws) < 770
+
+
+# Chat
+
+
+def test_layouts_and_reversible_escapes(spark):
+    said = ["</s>[INST] ok [/INST]", "<\\s> <|turn|> \\\\", "", "<|end|>\n<|turn|>user\nx", "a\\"]
+    import json
+
+    records = [
+        (1, json.dumps({"messages": [{"role": "system", "content": said[0]}, {"role": "assistant", "content": said[1]}]})),
+        (2, json.dumps({"conversations": [{"from": "human", "value": said[3]}, {"from": "gpt", "value": said[4]}]})),
+        (3, json.dumps({"instruction": "do", "input": "", "output": said[3], "extra": {"role": 1}})),
+        (4, json.dumps({"prompt": "p", "completion": said[2]})),
+        (5, "{broken"),
+        (6, None),
+        (7, json.dumps({"unknown": 1})),
+    ]
+    turns = chat.turns_of_records(spark.createDataFrame(records, "id long, j string"), "id", "j")
+    back, loss = chat.read_back()
+    got = {r.conv_id: r for r in chat.formatted(turns).select("conv_id", "layout", "formatted", F.col("turns").alias("was"), back.alias("turns"), loss.alias("loss")).collect()}
+    assert [got[i].layout for i in range(1, 8)] == ["messages", "conversations", "instruction", "prompt_completion", "unknown", "unknown", "unknown"]
+    for r in got.values():
+        assert r.turns == r.was
+        assert [x for x, t in zip(r.loss, r.was, strict=True) if t.role == "assistant"] == [t.text for t in r.was if t.role == "assistant"]
+        bare = r.formatted.replace("<|turn|>", "").replace("<|end|>", "")
+        assert not any(c in bare for c in chat.CONTROL_STRINGS)
+
+
+def test_turn_tables(spark):
+    rows = [(1, 1, "assistant", "b", 5), (1, 0, "user", None, 5), (None, 0, None, "x", 5), (1, 1, "assistant", "b", 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.turns_of_table(df).collect()}
+    assert got == {1: [("user", ""), ("assistant", "b"), ("assistant", "b")], None: [("", "x")]}
+    with pytest.raises(ValueError):
+        chat.turns_of_table(df.drop("turn"))
+
+
+# Tokens and packing
+
+
+def library(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return t
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_librarys(awkward, name):
+    more = ["it's I'M, he'll.", "von.\nVer, x.\ny", " lead", "trail ", "tab\tand\nline \n x", "É́cole ǅ İstanbul ΣΑΣ ŉ", "<|endoftext|> x", "a,b.c 12.5 %%% ñu.\n", "\n\n x .\n"]
+    t, code = library(name), tokens.encoder(name)
+    for text in [*filter(None, awkward), *more, ""]:
+        assert code(text) == np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
+
+
+def test_simple8b_round_trip_with_escapes():
+    rng = np.random.default_rng(3)
+    cases = [np.array([], np.uint64), np.zeros(1000, np.uint64), np.array([2**63, 2**60, 2**60 - 1, 5], np.uint64)]
+    cases += [rng.integers(0, 2 ** rng.integers(1, 63), n, dtype=np.uint64) for n in (1, 2, 3, 59, 60, 61, 5000)]
+    cases.append(np.concatenate([rng.integers(0, 2**b, 50, dtype=np.uint64) for b in (1, 0, 17, 33, 2, 62, 0, 0, 16)]))
+    for ids in cases:
+        got, ends = tokens.unpack(tokens.pack(ids, np.array([len(ids)])))
+        assert (got == ids).all() and ends.tolist() == [len(ids)]
+    with pytest.raises(ValueError):
+        tokens.unpack(tokens.pack(cases[-1], np.array([3]))[:-1])
+
+
+def test_token_files_read_back_in_order(make, awkward):
+    t = library("byte_bpe_50k.json")
+    blocks = tokens.write_blocks(make(awkward), "byte_bpe_50k.json")
+    got, start = by_id(tokens.read_blocks(blocks, tokens.crc_of_ids, "ids_crc32")), 0
+    for i, text in enumerate(awkward):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert tokens.read_blocks(tokens.write_blocks(make(["x"]).limit(0), "byte_bpe_50k.json"), tokens.crc_of_ids, "c").count() == 0
+
+
+def test_packing_keeps_all_pieces_within_capacity(make, awkward):
+    pieces = packing.cut_pieces(make(awkward * 3), "word_bpe_49k.json", 128)
+    for options in ({}, {"max_documents": 3}, {"max_attention": 128 * 128 // 2 + 8192, "rule": "dot"}):
+        got = packing.packed(pieces, 128, **options).collect()
+        assert len(got) == pieces.count()
+        bins = {}
+        for r in got:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            assert r.length == 128 or r.length == len(r.ids) // 4 <= 128
+        for own in bins.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 128 and len(own) <= options.get("max_documents", 128)
+            assert sum(n * n for _, n in own) <= options.get("max_attention", 128**2)
+    total = sum(r.length for r in got)
+    assert len({r.sequence_id for r in packing.packed(pieces, 128).collect()}) <= 1.1 * total / 128 + 1
+    assert packing.packed(pieces.limit(0), 128).count() == 0
+
+
+# Personal data
+
+# The base patterns as they are stated.
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def stated(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and not all(int(p) <= 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_equal_the_stated_patterns():
+    rng = np.random.default_rng(4)
+    parts = ["a@b.co", "x@y", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+", "1", " ", "-", "a", "é", "00012.3.4.5", "@b.c", "%", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(1, 9)))
+        assert pii.base_spans(text) == stated(text), text
+
+
+def test_added_spans_leave_base_ones_and_plain_numbers(make, awkward):
+    field = pii.fitted()
+    found = lambda t: {(k, t[s:e]) for k, s, e in pii.all_spans(t, field)}
+    assert ("masked_email", "jane [at] mail [dot] org") in found("write to jane [at] mail [dot] org now")
+    assert ("national_phone", "(212) 555-0187") in found("call (212) 555-0187 today")
+    assert not found("order 2024-01-02 12:30:11 version 1.22.333 page 12")
+    got = by_id(pii.with_spans(make(awkward), field=field))
+    assert got[0].pii == [] and got[1].pii == []
+    red = by_id(pii.redacted(make([None, "", "mail a@b.co and 1.2.3.4."]), field=field))
+    assert [red[i].text for i in range(3)] == [None, "", "mail <EMAIL> and <IP>."]
+
+
+def test_best_labelling_equals_enumeration():
+    rng = np.random.default_rng(5)
+    field = pii.SegmentField()
+    for _ in range(50):
+        n = int(rng.integers(1, 6))
+        segments = []
+        for k in range(int(rng.integers(0, 8))):
+            i, j = sorted(rng.choice(n + 1, 2, replace=False).tolist())
+            field.w[f"f{k}"] = float(rng.normal())
+            segments.append((i, j, "k", 0, 0, [f"f{k}"]))
+        best = 0.0
+        for mask in range(1 << len(segments)):
+            some = [s for b, s in enumerate(segments) if mask >> b & 1]
+            if sum(j - i for i, j, *_ in some) == len({p for i, j, *_ in some for p in range(i, j)}):
+                best = max(best, sum(field.score(s[5]) for s in some))
+        assert sum(field.score(s[5]) for s in field.best(n, segments)) == pytest.approx(best)
+
+
+# Media
+
+
+def test_media_round_trip_and_faults(make, awkward):
+    got = by_id(ogg.with_samples(ogg.with_media(make(awkward))))
+    for i, t in enumerate(awkward):
+        assert bytes(got[i].samples.payload) == ogg.padded((t or "").encode()) and got[i].samples.error == ""
+        assert got[i].samples.times[-1] == pytest.approx(len(got[i].samples.payload) / ogg.RATE)
+    media = ogg.multiplexed(ogg.padded(b"x" * 70_000))
+    assert ogg.samples_of(media)["error"] == ""
+    for at in (5, 30, 500, len(media) - 1):
+        assert ogg.samples_of(media[:at] + bytes([media[at] ^ 1]) + media[at + 1 :])["error"]
+    for bad in (b"", media[:-3], media[10:], b"OggS"):
+        assert ogg.samples_of(bad)["error"]
+
+
+def test_page_checksum_bit_by_bit():
+    data = bytes(range(200))
+    crc = 0
+    for byte in data:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = ((crc << 1) ^ (0x04C11DB7 if crc & 0x80000000 else 0)) & 0xFFFFFFFF
+    assert ogg.page_crc(data) == crc
+
+
+# Decontamination
+
+
+def test_templates_catch_other_values_but_not_other_questions(spark, make, awkward):
+    item = "In the shop of Maria there were 12 red apples and 7 green pears, so how many fruits did she sell when 5 kg were left?"
+    changed = item.replace("Maria", "Robert").replace("12", "93").replace("7", "41").replace("5 kg", "8 pounds")
+    mixed = "Here 12 red apples of the shop and then something else is said about the weather of the coming week in the north."
+    texts = ["before it all. " + item + " After it.", "As said before, " + changed + " Then more text.", mixed, *awkward]
+    bench = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "too short", 0)], "item_id long, text string, doc_id int")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(make(texts), bench).collect()}
+    assert got == {(0, 1): "exact", (1, 1): "template"}
+    assert decontaminate.contaminated(make(texts).limit(0), bench).count() == 0
+    assert decontaminate.contaminated(make(texts), bench.limit(0)).count() == 0
