@@ -97,7 +97,7 @@ def test_layouts_and_reversible_escapes(spark):
     turns = chat.turns_of_records(spark.createDataFrame(records, "id long, j string"), "id", "j")
     back, loss = chat.read_back()
     got = {r.conv_id: r for r in chat.formatted(turns).select("conv_id", "layout", "formatted", F.col("turns").alias("was"), back.alias("turns"), loss.alias("loss")).collect()}
-    assert [got[i].layout for i in range(1, 8)] == ["messages", "conversations", "instruction", "prompt_completion", "unknown", "unknown", "unknown"]
+    assert [got[i].layout for i in range(1, 8)] == ["messages", "conversations", "instruction_input", "prompt_completion", "unknown", "unknown", "unknown"]
     for r in got.values():
         assert r.turns == r.was
         assert [x for x, t in zip(r.loss, r.was, strict=True) if t.role == "assistant"] == [t.text for t in r.was if t.role == "assistant"]
