@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 
 # The extensions of images.
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
-RECORD = T.StructType.fromDDL(
-    "path string, phash string, width int, height int, min_side int, blur double, fmt string, qsig string, raw_sig string, color_feat array<double>, error string"
-)
+_KINDS = {"path": T.StringType(), "phash": T.StringType(), "width": T.IntegerType(), "height": T.IntegerType(), "min_side": T.IntegerType(), "blur": T.DoubleType()}
+_KINDS |= {"fmt": T.StringType(), "qsig": T.StringType(), "raw_sig": T.StringType(), "color_feat": T.ArrayType(T.DoubleType()), "error": T.StringType()}
+RECORD = T.StructType([T.StructField(name, kind) for name, kind in _KINDS.items()])
 Decoder = Callable[[bytes], np.ndarray]
 
 
