@@ -12,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import table, text_of
+from siftwell.llm.common import table, text_of, written
 
 WINDOW = 5
 SIMILARITY = 0.8
 #: A window says something only with this many words that are no placeholders.
 LITERALS = 2
+#: An item's figures, and what they go with.
+SIZES = ["n_windows", "n_valued", "length"]
+KEY = ["doc_id", "item_id", *SIZES]
 #: Benchmarks of up to so many windows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
 
@@ -71,7 +74,7 @@ def _hashes(tokens: str) -> Column:
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, h, template, valued: the windows of items that hold enough literal words."""
+    """item_id, q (place), h, template, valued: the windows of items that hold enough literal words."""
     b = benchmark.select(F.col("item_id"), valued_tokens(text_of()).alias("v"))
     b = b.withColumn("t", without_values(F.col("v")))
     rows = b.select(
@@ -80,6 +83,7 @@ def _item_windows(benchmark: DataFrame) -> DataFrame:
             _windows(
                 F.col("t"),
                 lambda i: F.struct(
+                    i.alias("q"),
                     F.xxhash64(*[F.get(F.col("t"), i + k - 1) for k in range(WINDOW)]).alias("h"),
                     F.slice("t", i, WINDOW).alias("template"),
                     F.slice("v", i, WINDOW).alias("valued"),
@@ -100,12 +104,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = S
     have equal values, else ``template``. Rows need n_found >= similarity * n_windows and
     n_consistent >= similarity * n_slots.
 
+    The figures are those of the first that fulfils this: all pairings of equal windows in
+    the document; the windows that are equal with their values, if they are as large a part of
+    the item's valued windows; the best occurrence. An occurrence is a place where the item
+    could start: each window of the item takes its nearest counterpart at most the item's
+    length from there, so words may be put in or left out.
+
     Null and empty texts, and items of fewer words than a window, match nothing.
     Repeated rows of one doc_id count as one document; ties all are reported; other
     columns don't count. Empty tables give an empty result.
     """
     items = _item_windows(benchmark)
-    sizes = items.groupBy("item_id").agg(F.countDistinct("template").cast("long").alias("n_windows"))
+    sizes = items.groupBy("item_id").agg(
+        F.countDistinct("template").cast("long").alias("n_windows"), F.countDistinct("valued").alias("n_valued"), (F.max("q") + WINDOW - 1).alias("length")
+    )
     keys = items.select("item_id", "h").distinct()
     # A benchmark is a stated set of questions, far smaller than the corpus; its size is checked all the same.
     small = keys.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
@@ -119,33 +131,67 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = S
         .agg(F.countDistinct("h").alias("n"))
         .join(hinted(sizes), "item_id")
         .where(F.col("n") >= F.lit(similarity) * F.col("n_windows"))
-        .select("doc_id", "item_id", "n_windows")
+        .select("doc_id", *sizes.columns)
     )
-    hits = found.distinct()
+    hits = written(found.distinct(), "hits")
     # Only documents that passed are read again, with their values.
     texts = docs.select("doc_id", text_of().alias("text")).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     valued = texts.select("doc_id", valued_tokens(F.col("text")).alias("v")).withColumn("t", without_values(F.col("v")))
     inside = valued.select(
         "doc_id",
-        F.explode(_windows(F.col("t"), lambda i: F.struct(F.slice("t", i, WINDOW).alias("template"), F.slice("v", i, WINDOW).alias("doc_valued")))).alias("w"),
+        F.explode(_windows(F.col("t"), lambda i: F.struct(i.alias("p"), F.slice("t", i, WINDOW).alias("template"), F.slice("v", i, WINDOW).alias("doc_valued")))).alias("w"),
     ).select("doc_id", "w.*")
-    met = inside.join(hits, "doc_id").join(items.drop("h"), ["item_id", "template"]).distinct()
-    totals = met.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("template").cast("long").alias("n_found"))
+    placed = written(inside.join(hits, "doc_id").join(items.drop("h"), ["item_id", "template"]).distinct(), "met")
+
+    whole = _judged(placed.drop("p", "q").distinct(), KEY, similarity)
+    verbatim = placed.where("valued = doc_valued").drop("p", "q").distinct()
+    most = verbatim.groupBy(*KEY).agg(F.countDistinct("valued").alias("n")).where(F.col("n") >= F.lit(similarity) * F.col("n_valued"))
+    equal = _judged(verbatim.join(most.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi"), KEY, similarity)
+    sure = written(whole.withColumn("way", F.lit(0)).union(equal.withColumn("way", F.lit(1))), "sure")
+
+    rest = placed.join(sure.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti")
+    best = _judged(_occurrences(rest), [*KEY, "start"], similarity)
+    order = F.struct("n_found", (F.col("n_consistent") - F.col("n_slots")).alias("fit"), "same", (-F.col("start")).alias("first"), "n_slots", "n_consistent")
+    best = best.groupBy(*KEY).agg(F.max(order).alias("m")).select(*KEY, "m.n_found", "m.n_slots", "m.n_consistent", "m.same", F.lit(2).alias("way"))
+
+    values = ["n_windows", "n_found", "n_slots", "n_consistent", "same"]
+    chosen = sure.select("doc_id", "item_id", "way", *values).union(best.select("doc_id", "item_id", "way", *values))
+    chosen = chosen.groupBy("doc_id", "item_id").agg(F.min(F.struct("way", *values)).alias("m")).select("doc_id", "item_id", "m.*")
+    kind = F.when(F.col("n_slots") == F.col("same"), "exact").otherwise("template")
+    return chosen.select("doc_id", "item_id", *values[:-1], kind.alias("kind"))
+
+
+def _occurrences(placed: DataFrame) -> DataFrame:
+    """For each place ``start`` where an item could start, the nearest counterpart of each of its windows.
+
+    Starts and windows meet by stretches of the item's length, so their pairs grow with the document, not with its square.
+    """
+    at = F.col("p") - F.col("q")
+    stretch = F.floor(at / F.col("length"))
+    starts = placed.select("doc_id", "item_id", at.alias("start"), stretch.alias("stretch")).distinct()
+    near = placed.withColumn("at", at).withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
+    away = F.abs(F.col("at") - F.col("start"))
+    first = F.min(F.struct(away.alias("away"), "at", "doc_valued")).alias("m")
+    taken = near.join(starts, ["doc_id", "item_id", "stretch"]).where(away <= F.col("length")).groupBy(*KEY, "start", "q", "template", "valued").agg(first)
+    return taken.withColumn("doc_valued", F.col("m.doc_valued")).drop("m")
+
+
+def _judged(met: DataFrame, key: list[str], similarity: float) -> DataFrame:
+    """``key``, n_found, n_slots, n_consistent and same of pairings (template, valued, doc_valued), where they suffice."""
+    totals = met.groupBy(*key).agg(F.countDistinct("template").cast("long").alias("n_found")).where(F.col("n_found") >= F.lit(similarity) * F.col("n_windows"))
+    names = [k for k in key if k not in SIZES]
     pairs = (
-        met.select("doc_id", "item_id", F.explode(F.arrays_zip("valued", "doc_valued")).alias("p"))
+        met.select(*names, F.explode(F.arrays_zip("valued", "doc_valued")).alias("p"))
         .where(F.col("p.valued").startswith("<"))
-        .groupBy("doc_id", "item_id", F.col("p.valued").alias("own"), F.col("p.doc_valued").alias("other"))
+        .groupBy(*names, F.col("p.valued").alias("own"), F.col("p.doc_valued").alias("other"))
         .agg(F.count("*").alias("c"))
-        .groupBy("doc_id", "item_id", "own")
+        .groupBy(*names, "own")
         .agg(F.sum("c").alias("c"), F.max("c").alias("most"), F.sum(F.when(F.col("own") == F.col("other"), F.col("c")).otherwise(0)).alias("same"))
-        .groupBy("doc_id", "item_id")
+        .groupBy(*names)
         .agg(F.sum("c").alias("n_slots"), F.sum("most").alias("n_consistent"), F.sum("same").alias("same"))
     )
-    kind = F.when(F.col("n_slots") == F.col("same"), "exact").otherwise("template")
-    joined = totals.join(pairs, ["doc_id", "item_id"], "left").na.fill(0, ["n_slots", "n_consistent", "same"])
-    return joined.where((F.col("n_found") >= F.lit(similarity) * F.col("n_windows")) & (F.col("n_consistent") >= F.lit(similarity) * F.col("n_slots"))).select(
-        "doc_id", "item_id", "n_windows", "n_found", "n_slots", "n_consistent", kind.alias("kind")
-    )
+    joined = totals.join(pairs, names, "left").na.fill(0, ["n_slots", "n_consistent", "same"])
+    return joined.where(F.col("n_consistent") >= F.lit(similarity) * F.col("n_slots")).select(*key, "n_found", "n_slots", "n_consistent", "same")
 
 
 def op10_template_decontamination(spark, sf_dir: str) -> DataFrame:

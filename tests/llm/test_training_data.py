@@ -281,3 +281,13 @@ def test_templates_catch_other_values_but_not_other_questions(spark, make, awkwa
     assert got == {(0, 1): "exact", (1, 1): "template"}
     assert decontaminate.contaminated(make(texts).limit(0), bench).count() == 0
     assert decontaminate.contaminated(make(texts), bench.limit(0)).count() == 0
+
+
+def test_copies_of_items_with_like_sentences_are_found(spark, make):
+    day = "On {} the shop sold {} red apples for {} dollars each. "
+    item = "".join(day.format(*x) for x in [("Monday", 12, 3), ("Tuesday", 15, 4), ("Friday", 9, 5)]) + "How many dollars did the shop earn?"
+    other = "".join(day.format(*x) for x in [("Monday", 31, 7), ("Tuesday", 44, 8), ("Friday", 26, 6)]) + "How many dollars did the shop earn?"
+    mixed = "".join(day.format("Monday", 12 + i % 5, 3 + i % 7) for i in range(9))
+    texts = [item, f"we found it here: {item} {other} and so on", other, item.replace("Tuesday the", "Tuesday as ever the"), "a plain text of words " * 30, mixed]
+    got = {r.doc_id: r.kind for r in decontaminate.contaminated(make(texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {0: "exact", 1: "exact", 2: "template", 3: "exact"}
