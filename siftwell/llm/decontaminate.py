@@ -20,7 +20,8 @@ SIMILARITY = 0.8
 LITERALS = 2
 #: An item's figures, and what they go with.
 SIZES = ["n_windows", "n_valued", "length"]
-KEY = ["doc_id", "item_id", *SIZES]
+ITEM = ["item_id", "scheme"]
+KEY = ["doc_id", *ITEM, *SIZES]
 #: Benchmarks of up to so many windows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
 
@@ -39,25 +40,51 @@ RULES = [
     (r"()" + NUMBER, "num"),
     (r"(<num=[^>]*> ?)\b(" + "|".join(UNITS) + r")\b", "unit"),
 ]
+# Words that open sentences and are no names.
+OPENERS = [
+    "The", "An", "This", "That", "These", "Those", "There", "Here", "Each", "Every", "Some", "Any", "All", "Both", "Many", "Most", "No", "One", "It", "He", "She", "We", "You",
+    "They", "His", "Her", "Its", "My", "Our", "Your", "Their", "How", "What", "Who", "Whose", "Whom", "When", "Where", "Why", "Which", "If", "In", "On", "At", "By", "For", "From",
+    "Of", "To", "With", "After", "Before", "During", "Until", "Since", "While", "As", "And", "But", "Or", "So", "Then", "Than", "Not", "Is", "Are", "Was", "Were", "Do", "Does",
+    "Did", "Has", "Have", "Had", "Can", "Could", "Would", "Should", "Must", "Also", "Now", "Next", "Later", "Because", "Although", "However", "Let",
+]
+#: A name that opens a text or a sentence, where the rules have left a capital: also a slot, in a template of its own.
+OPENING = r"(^|[^\p{L}=>])(?=\p{Lu})(?!(?:" + "|".join(OPENERS) + r")(?!\p{L}))(\p{Lu}\p{Ll}+)(?!\p{L})"
 TOKEN = r"<[a-z]+=[^>]*>|\p{L}+"
 #: Marks that would be taken for a slot's own.
 RESERVED = r"[<>=]"
 
 
-def valued_tokens(text: Column) -> Column:
-    """Lower-case words and slots such as ``<num=12>`` of a text, in order."""
+def _slotted(text: Column, value: str) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, RESERVED, " "), r"\s+", " ")
     for pattern, slot in RULES:
-        out = F.regexp_replace(out, pattern, f"$1<{slot}=$2>")
-    return F.regexp_extract_all(F.lower(out), F.lit(TOKEN), F.lit(0))
+        out = F.regexp_replace(out, pattern, f"$1<{slot}={value}>")
+    return out
+
+
+def _tokens(slotted: Column) -> Column:
+    return F.regexp_extract_all(F.lower(slotted), F.lit(TOKEN), F.lit(0))
+
+
+def valued_tokens(text: Column) -> Column:
+    """Lower-case words and slots such as ``<num=12>`` of a text, in order."""
+    return _tokens(_slotted(text, "$2"))
 
 
 def template_tokens(text: Column) -> Column:
     """The same without the values: ``<num=>``."""
-    out = F.regexp_replace(F.regexp_replace(text, RESERVED, " "), r"\s+", " ")
-    for pattern, slot in RULES:
-        out = F.regexp_replace(out, pattern, f"$1<{slot}=>")
-    return F.regexp_extract_all(F.lower(out), F.lit(TOKEN), F.lit(0))
+    return _tokens(_slotted(text, ""))
+
+
+def _with_tokens(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``key``, v0 (tokens by the rules) and v1 (the same with opening names as slots)."""
+    slotted = df.select(key, _slotted(text_of(), value).alias("s"))
+    return slotted.select(key, _tokens(F.col("s")).alias("v0"), _tokens(F.regexp_replace("s", OPENING, f"$1<name={value}>")).alias("v1"))
+
+
+def _both(df: DataFrame, key: str) -> DataFrame:
+    """A row for each of the two templates: ``key``, scheme (0, 1), v, t."""
+    two = df.select(key, F.explode(F.array(*[F.struct(F.lit(k).alias("scheme"), F.col(f"v{k}").alias("v")) for k in (0, 1)])).alias("e"))
+    return two.select(key, "e.*").withColumn("t", without_values(F.col("v")))
 
 
 def without_values(tokens: Column) -> Column:
@@ -70,15 +97,18 @@ def _windows(tokens: Column, make) -> Column:
 
 
 def _hashes(tokens: str) -> Column:
-    return _windows(F.col(tokens), lambda i: F.xxhash64(*[F.get(F.col(tokens), i + k - 1) for k in range(WINDOW)]))
+    """The hash of each window; the same as xxhash64 of its words."""
+    t, size = F.col(tokens), F.size(tokens)
+    rows = F.arrays_zip(*[F.slice(t, k + 1, F.greatest(size, F.lit(1))).alias(f"w{k}") for k in range(WINDOW)])
+    return F.transform(F.slice(rows, 1, F.greatest(size - WINDOW + 1, F.lit(0))), lambda w: F.xxhash64(w))
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, q (place), h, template, valued: the windows of items that hold enough literal words."""
-    b = benchmark.select(F.col("item_id"), valued_tokens(text_of()).alias("v"))
-    b = b.withColumn("t", without_values(F.col("v")))
+    """item_id, scheme, q (place), h, template, valued: the windows of items that hold enough literal words."""
+    b = _both(_with_tokens(benchmark, "item_id", "$2"), "item_id")
     rows = b.select(
         "item_id",
+        "scheme",
         F.explode(
             _windows(
                 F.col("t"),
@@ -90,7 +120,7 @@ def _item_windows(benchmark: DataFrame) -> DataFrame:
                 ),
             )
         ).alias("w"),
-    ).select("item_id", "w.*")
+    ).select("item_id", "scheme", "w.*")
     literal = F.size(F.filter("template", lambda t: ~t.startswith("<")))
     return rows.where(literal >= LITERALS)
 
@@ -108,51 +138,52 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = S
     the document; the windows that are equal with their values, if they are as large a part of
     the item's valued windows; the best occurrence. An occurrence is a place where the item
     could start: each window of the item takes its nearest counterpart at most the item's
-    length from there, so words may be put in or left out.
+    length from there, so words may be put in or left out. Each comes first by the
+    stated rules, then with names that open sentences as slots too (of document and item).
 
     Null and empty texts, and items of fewer words than a window, match nothing.
     Repeated rows of one doc_id count as one document; ties all are reported; other
     columns don't count. Empty tables give an empty result.
     """
     items = _item_windows(benchmark)
-    sizes = items.groupBy("item_id").agg(
+    sizes = items.groupBy(*ITEM).agg(
         F.countDistinct("template").cast("long").alias("n_windows"), F.countDistinct("valued").alias("n_valued"), (F.max("q") + WINDOW - 1).alias("length")
     )
-    keys = items.select("item_id", "h").distinct()
+    keys = items.select(*ITEM, "h").distinct()
     # A benchmark is a stated set of questions, far smaller than the corpus; its size is checked all the same.
     small = keys.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     hinted = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
-    tokens = docs.select("doc_id", template_tokens(text_of()).alias("t"))
+    tokens = _with_tokens(docs, "doc_id", "")
     found = (
-        tokens.select("doc_id", F.explode(F.array_distinct(_hashes("t"))).alias("h"))
+        tokens.select("doc_id", F.explode(F.array_union(_hashes("v0"), _hashes("v1"))).alias("h"))
         .join(hinted(keys), "h")
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", *ITEM)
         .agg(F.countDistinct("h").alias("n"))
-        .join(hinted(sizes), "item_id")
+        .join(hinted(sizes), ITEM)
         .where(F.col("n") >= F.lit(similarity) * F.col("n_windows"))
         .select("doc_id", *sizes.columns)
     )
     hits = written(found.distinct(), "hits")
     # Only documents that passed are read again, with their values.
-    texts = docs.select("doc_id", text_of().alias("text")).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    valued = texts.select("doc_id", valued_tokens(F.col("text")).alias("v")).withColumn("t", without_values(F.col("v")))
-    inside = valued.select(
+    texts = docs.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    inside = _both(_with_tokens(texts, "doc_id", "$2"), "doc_id").select(
         "doc_id",
+        "scheme",
         F.explode(_windows(F.col("t"), lambda i: F.struct(i.alias("p"), F.slice("t", i, WINDOW).alias("template"), F.slice("v", i, WINDOW).alias("doc_valued")))).alias("w"),
-    ).select("doc_id", "w.*")
-    placed = written(inside.join(hits, "doc_id").join(items.drop("h"), ["item_id", "template"]).distinct(), "met")
+    ).select("doc_id", "scheme", "w.*")
+    placed = written(inside.join(hits, ["doc_id", "scheme"]).join(items.drop("h"), [*ITEM, "template"]).distinct(), "met")
 
     whole = _judged(placed.drop("p", "q").distinct(), KEY, similarity)
     verbatim = placed.where("valued = doc_valued").drop("p", "q").distinct()
     most = verbatim.groupBy(*KEY).agg(F.countDistinct("valued").alias("n")).where(F.col("n") >= F.lit(similarity) * F.col("n_valued"))
-    equal = _judged(verbatim.join(most.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi"), KEY, similarity)
-    sure = written(whole.withColumn("way", F.lit(0)).union(equal.withColumn("way", F.lit(1))), "sure")
+    equal = _judged(verbatim.join(most.select("doc_id", *ITEM), ["doc_id", *ITEM], "left_semi"), KEY, similarity)
+    sure = written(whole.withColumn("way", 2 * F.col("scheme")).union(equal.withColumn("way", 2 * F.col("scheme") + 1)), "sure")
 
     rest = placed.join(sure.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti")
     best = _judged(_occurrences(rest), [*KEY, "start"], similarity)
     order = F.struct("n_found", (F.col("n_consistent") - F.col("n_slots")).alias("fit"), "same", (-F.col("start")).alias("first"), "n_slots", "n_consistent")
-    best = best.groupBy(*KEY).agg(F.max(order).alias("m")).select(*KEY, "m.n_found", "m.n_slots", "m.n_consistent", "m.same", F.lit(2).alias("way"))
+    best = best.groupBy(*KEY).agg(F.max(order).alias("m")).select(*KEY, "m.n_found", "m.n_slots", "m.n_consistent", "m.same", (4 + F.col("scheme")).alias("way"))
 
     values = ["n_windows", "n_found", "n_slots", "n_consistent", "same"]
     chosen = sure.select("doc_id", "item_id", "way", *values).union(best.select("doc_id", "item_id", "way", *values))
@@ -168,11 +199,11 @@ def _occurrences(placed: DataFrame) -> DataFrame:
     """
     at = F.col("p") - F.col("q")
     stretch = F.floor(at / F.col("length"))
-    starts = placed.select("doc_id", "item_id", at.alias("start"), stretch.alias("stretch")).distinct()
+    starts = placed.select("doc_id", *ITEM, at.alias("start"), stretch.alias("stretch")).distinct()
     near = placed.withColumn("at", at).withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
     away = F.abs(F.col("at") - F.col("start"))
     first = F.min(F.struct(away.alias("away"), "at", "doc_valued")).alias("m")
-    taken = near.join(starts, ["doc_id", "item_id", "stretch"]).where(away <= F.col("length")).groupBy(*KEY, "start", "q", "template", "valued").agg(first)
+    taken = near.join(starts, ["doc_id", *ITEM, "stretch"]).where(away <= F.col("length")).groupBy(*KEY, "start", "q", "template", "valued").agg(first)
     return taken.withColumn("doc_valued", F.col("m.doc_valued")).drop("m")
 
 

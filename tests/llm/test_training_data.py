@@ -291,3 +291,12 @@ def test_copies_of_items_with_like_sentences_are_found(spark, make):
     texts = [item, f"we found it here: {item} {other} and so on", other, item.replace("Tuesday the", "Tuesday as ever the"), "a plain text of words " * 30, mixed]
     got = {r.doc_id: r.kind for r in decontaminate.contaminated(make(texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got == {0: "exact", 1: "exact", 2: "template", 3: "exact"}
+
+
+def test_names_that_open_sentences_are_slots(spark, make):
+    item = "Anna has 12 apples. Anna gives 5 apples to her brother. Anna then buys 7 apples more. Anna eats 2 apples. How many apples does Anna have now?"
+    changed = item.replace("Anna", "Carol").replace("12", "40")
+    texts = [item, changed, f"Read this first: {changed} And more.", "Carol has 3 apples. What is it that Paul gives to her brother?", "Paris is the capital of France. We saw it."]
+    bench = spark.createDataFrame([(1, item), (2, "What is the capital of France?")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(make(texts), bench).collect()}
+    assert got == {(0, 1): "exact", (1, 1): "template", (2, 1): "template"}
