@@ -61,10 +61,10 @@ def class_of_name(name: Column) -> Column:
 
 
 def numbered(rows: DataFrame, cls: str = "cls", order: str = "path") -> DataFrame:
-    """Add ``new_path``: class/000000.ext, numbered by ``order`` in each class."""
+    """Add ``new_path``: class/000000.ext, numbered by ``order`` in each class; numbers above 999999 are longer."""
     n = F.row_number().over(Window.partitionBy(cls).orderBy(order)) - 1
     dot = F.regexp_extract(basename(order), r"(\.[^.]*)\z", 1)
-    return rows.withColumn("new_path", F.concat(F.col(cls), F.lit("/"), F.lpad(n.cast("string"), 6, "0"), F.lower(dot)))
+    return rows.withColumn("new_path", F.concat(F.col(cls), F.lit("/"), F.format_string("%06d", n), F.lower(dot)))
 
 
 def manifest_projection(rows: DataFrame) -> DataFrame:

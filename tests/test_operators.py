@@ -262,3 +262,9 @@ def test_zip_entries(spark, tmp_path):
 def test_names_and_numbers(spark):
     df = spark.createDataFrame([("Acne-1.jpg",), ("ISIC_9.png",), ("cutaneous-x",), ("other",)], "n string")
     assert [r[0] for r in df.select(manifest.class_of_name(F.col("n"))).collect()] == ["acne", "melanoma", "bites", None]
+
+
+def test_numbers_of_seven_digits_stay_whole(spark):
+    rows = spark.range(1_000_002).select(F.lit("c").alias("cls"), F.format_string("%08d.TXT", "id").alias("path"))
+    got = {r.path: r.new_path for r in manifest.numbered(rows).where("path IN ('00000007.TXT', '00100000.TXT', '01000000.TXT', '01000001.TXT')").collect()}
+    assert sorted(got.values()) == ["c/000007.txt", "c/100000.txt", "c/1000000.txt", "c/1000001.txt"]
