@@ -98,6 +98,10 @@ OTHER_CUES = {"order", "invoice", "page", "version", "item", "ticket", "score",
 NUMBERED = re.compile(r"[0-9@]\S*")
 MASK = re.compile(r"\[dot\]|\(dot\)|\bdot\b", re.I)
 WORD = re.compile(r"\S+")
+#: A token that an IBAN can start, the groups after it, and a hardware address without digits.
+COUNTRY = re.compile(r"[(\[{<\"']*[A-Z]{2}[0-9]{2}[A-Z0-9]*")
+GROUP = re.compile(r" ([A-Z0-9]+)(?=[.,;:!?)\]}>\"']*(?!\S))")
+LETTER_MAC = re.compile(r"[A-Fa-f]{2}([:-])(?:[A-Fa-f]{2}\1){4}[A-Fa-f]{2}")
 LEFT_TRIM, RIGHT_TRIM = "([{<\"'", ".,;:!?)]}>\"'"
 
 
@@ -138,6 +142,19 @@ def islands(text: str, blocked: list[tuple[int, int]]) -> list[list[tuple[int, i
         while start > 0 and not text[start - 1].isspace():
             start -= 1
         tokens[start] = m.end()
+    for start, end in list(tokens.items()):
+        if COUNTRY.fullmatch(text, start, end):
+            for _ in range(LONGEST - 1):  # groups of letters too
+                m = GROUP.match(text, end)
+                if not m:
+                    break
+                end = WORD.match(text, m.start(1)).end()
+                tokens.setdefault(m.start(1), end)
+    for m in LETTER_MAC.finditer(text) if text.count(":") > 4 or text.count("-") > 4 else ():
+        start = m.start()
+        while start > 0 and not text[start - 1].isspace():
+            start -= 1
+        tokens[start] = WORD.match(text, start).end()
     if "dot" in text or "DOT" in text or "Dot" in text:
         for m in MASK.finditer(text):
             lo = hi = m.start()
@@ -265,6 +282,8 @@ def training_lines(n: int = 600, seed: int = 11) -> list[tuple[str, list[tuple[s
 
     def iban(good: bool) -> str:
         country, rest = rng.choice(["DE", "FR", "ES", "GB"]), d(18)
+        if rng.random() < 0.4:  # the bank's code in letters
+            country, rest = rng.choice(["GB", "NL", "IE", "BG"]), "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)) + rest[4:]
         check = 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
         s = f"{country}{(check if good else (check + 7) % 97):02d}{rest}"
         return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if rng.random() < 0.5 else s

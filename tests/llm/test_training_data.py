@@ -300,3 +300,16 @@ def test_names_that_open_sentences_are_slots(spark, make):
     bench = spark.createDataFrame([(1, item), (2, "What is the capital of France?")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(make(texts), bench).collect()}
     assert got == {(0, 1): "exact", (1, 1): "template", (2, 1): "template"}
+
+
+def test_grouped_ibans_with_letters_and_islands_equal_all_tokens():
+    field = pii.fitted()
+    for s in ("GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "IE29 AIBK 9311 5212 3456 78"):
+        for text in (f"pay to iban {s} today", f"our account ({s})."):
+            assert ("iban", s) in {(k, text[a:b]) for k, a, b in pii.all_spans(text, field)}, text
+    rng = np.random.default_rng(8)
+    parts = ["GB29", "NWBK", "6016", "ABCD", "12", "19.", "A", "x", "THE", "ab:cd:ef:ab:cd:ef", "jane", "at", "mail", "dot", "org", "(212)", "555-0187", "078-05-1120", "(NL91", "abna"]
+    for _ in range(2000):
+        text = " ".join(rng.choice(parts, rng.integers(1, 14)))
+        over = lambda runs: {c[2:5] for run in runs for c in pii.candidates(text, run)}
+        assert over(pii.islands(text, [])) == over([[m.span() for m in re.finditer(r"\S+", text)]]), text
