@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.hashes import hamming, hex_to_long, valid_hash
+from siftwell.functions.hashes import BITS, hamming, hex_to_long, valid_hash
 from siftwell.operators.components import connected_components
 from siftwell.sources.shared import written
 
 THRESHOLD, CAP = 5, 500
+#: The exact join splits buckets of more rows; no result depends on it.
+SPLIT = 256
+#: A bucket whose rows agree in so many bits is compared as it is, whatever its size.
+ENOUGH_BITS = 20
 
 
 def band_bounds(bands: int, whole: bool = False) -> list[tuple[int, int]]:
@@ -53,6 +57,59 @@ def edges(hashes: DataFrame, threshold: int = THRESHOLD, **options) -> DataFrame
     return close.select("a", "b", d.cast("int").alias("hamming")).distinct()
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def _parts(used: int, parts: int) -> list[int]:
+    """``used`` with one of ``parts`` shares of the other bits each."""
+    left = [i for i in range(BITS) if not used >> i & 1]
+    return [used | sum(1 << i for i in left[lo : lo + width]) for lo, width in _shares(len(left), parts)]
+
+
+def _shares(bits: int, parts: int) -> list[tuple[int, int]]:
+    return [(bits * b // parts, bits * (b + 1) // parts - bits * b // parts) for b in range(parts)]
+
+
+def exact_edges(hashes: DataFrame, threshold: int = THRESHOLD, split: int = SPLIT, id_col: str = "doc_id") -> DataFrame:
+    """(a, b, hamming) for all pairs of different hashes at most ``threshold`` bits apart; a hash goes by its least id.
+
+    A bucket of over ``split`` rows is dealt anew by threshold + 1 shares of the bits that
+    its rows need not have in common: pairs within the threshold agree in one of them. No
+    bucket is left out; one that stays large though many bits agree is compared as it is.
+    """
+    spark = hashes.sparkSession
+    h = hex_to_long(F.lower("phash"))
+    rows = hashes.where(valid_hash(F.lower("phash"))).groupBy(h.alias("h")).agg(F.min(id_col).alias("id"))
+    rows, used, out = written(rows, "hashes"), [0], None
+    now = rows.withColumn("used", F.lit(0).cast("long"))
+    while used:
+        step = spark.createDataFrame([(_signed(u), _signed(m)) for u in used for m in _parts(u, threshold + 1)], "used long, mask long")
+        spread = now.join(F.broadcast(step), "used").select("id", "h", F.col("mask").alias("used"), F.col("h").bitwiseAND(F.col("mask")).alias("key")).distinct()
+        spread = written(spread, "spread")
+        sizes = written(spread.groupBy("used", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        full = (F.col("n") > split) & (F.bit_count("used") < ENOUGH_BITS)
+        near = spread.join(sizes.where(~full), ["used", "key"])
+        left = near.select("used", "key", F.col("id").alias("a"), F.col("h").alias("ha"))
+        right = near.select("used", "key", F.col("id").alias("b"), F.col("h").alias("hb"))
+        d = hamming(F.col("ha"), F.col("hb"))
+        close = left.join(right, ["used", "key"]).where((F.col("a") < F.col("b")) & (d <= threshold)).select("a", "b", d.cast("int").alias("hamming"))
+        out = close if out is None else out.union(close)
+        over = sizes.where(full)
+        used = [r.used % (1 << BITS) for r in over.select("used").distinct().collect()]
+        now = spread.join(over.select("used", "key"), ["used", "key"]).select("id", "h", "used")
+    return out.distinct()
+
+
+def exact_groups(hashes: DataFrame, threshold: int = THRESHOLD, split: int = SPLIT, id_col: str = "doc_id") -> DataFrame:
+    """``duplicate_groups`` without a cap: equal hashes are one, then all links within the threshold."""
+    ids = hashes.select(F.col(id_col).alias("id"), F.lower("phash").alias("phash"))
+    first = ids.where(valid_hash(F.col("phash"))).groupBy("phash").agg(F.min("id").alias("rep"))
+    labels = connected_components(exact_edges(hashes, threshold, split, id_col))
+    named = first.join(labels, first.rep == labels.node, "left").select("phash", F.coalesce("label", "rep").alias("label"))
+    return ids.join(named, "phash", "left").select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("group_id"))
+
+
 def duplicate_groups(hashes: DataFrame, threshold: int = THRESHOLD, cap: int | None = CAP, whole: bool = False, exact_first: bool = False, id_col: str = "doc_id") -> DataFrame:
     """(id, group_id): the least id of the group; links are transitive.
 

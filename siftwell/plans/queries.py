@@ -31,11 +31,16 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(adapters.records(spark, sf_dir))
 
 
-def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filtered records with their duplicate group."""
+def grouped(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    """Filtered records with their duplicate group; ``exact``: without the bucket cap."""
     rows = filtered(spark, sf_dir)
     hashes = adapters.hashed(spark, sf_dir).join(rows.select("doc_id"), "doc_id", "left_semi")
-    return rows.join(hamming.duplicate_groups(hashes), "doc_id")
+    return rows.join((hamming.exact_groups if exact else hamming.duplicate_groups)(hashes), "doc_id")
+
+
+def uncapped(sql: str) -> str:
+    """The SQL of a capped query with all buckets."""
+    return sql.replace("WHERE n BETWEEN 2 AND 500)", "WHERE n >= 2)")
 
 
 def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +170,36 @@ def near_dup_survivors(spark, sf_dir):
     return conflicts.survivors(grouped(spark, sf_dir), "report", "cls")
 
 
+# The same without the cap: the result of a row does not depend on how many others there are.
+
+
+@query(f"""WITH {O.HASHED}, f AS (SELECT h, min(doc_id) AS id FROM hashed GROUP BY h)
+SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::INT AS hamming FROM f x JOIN f y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 5""")
+def near_dup_edges_exact(spark, sf_dir):
+    """Between the first rows of different hashes; equal hashes are not paired."""
+    return hamming.exact_edges(adapters.hashed(spark, sf_dir))
+
+
+@query(uncapped(ORACLES["near_dup_groups"]))
+def near_dup_groups_exact(spark, sf_dir):
+    return hamming.exact_groups(adapters.hashed(spark, sf_dir))
+
+
+@query(uncapped(ORACLES["group_stats"]))
+def group_stats_exact(spark, sf_dir):
+    return hamming.group_stats(hamming.exact_groups(adapters.hashed(spark, sf_dir)))
+
+
+@query(uncapped(ORACLES["dup_stats"]))
+def dup_stats_exact(spark, sf_dir):
+    return conflicts.duplicate_stats(grouped(spark, sf_dir, exact=True))
+
+
+@query(uncapped(ORACLES["near_dup_survivors"]))
+def near_dup_survivors_exact(spark, sf_dir):
+    return conflicts.survivors(grouped(spark, sf_dir, exact=True), "report", "cls")
+
+
 @query(O.policy("report", "cls7"))
 def keep_report(spark, sf_dir):
     return conflicts.survivors(grouped(spark, sf_dir), "report", "cls7")

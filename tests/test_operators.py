@@ -268,3 +268,15 @@ def test_numbers_of_seven_digits_stay_whole(spark):
     rows = spark.range(1_000_002).select(F.lit("c").alias("cls"), F.format_string("%08d.TXT", "id").alias("path"))
     got = {r.path: r.new_path for r in manifest.numbered(rows).where("path IN ('00000007.TXT', '00100000.TXT', '01000000.TXT', '01000001.TXT')").collect()}
     assert sorted(got.values()) == ["c/000007.txt", "c/100000.txt", "c/1000000.txt", "c/1000001.txt"]
+
+
+def test_exact_join_has_no_cap(spark, split=8):
+    rng = np.random.default_rng(9)
+    base = [int(x) for x in rng.integers(0, 2**20, 6)]
+    values = base + [v ^ int(sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 8), replace=False))) for v in base for _ in range(12)] + [base[0]] * 30
+    pairs = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if 0 < bin(values[i] ^ values[j]).count("1") <= 5}
+    got = {(r.a, r.b) for r in hamming.exact_edges(hashes(spark, values), split=split).collect()}
+    assert got == {(i, j) for i, j in pairs if values.index(values[i]) == i and values.index(values[j]) == j}
+    same = hashes(spark, [7] * 600 + [7 ^ 1 << 40] + ["-"])
+    assert groups(hamming.exact_groups(same, split=split)) == [list(range(601)), [601]]
+    assert len(groups(hamming.duplicate_groups(same))) > 2
