@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.sources.shared import shared_dir, written
 
-__all__ = ["shared_dir", "table", "text_of", "written"]
+__all__ = ["remembered", "shared_dir", "slices", "table", "text_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(column: str = "text"):
     """The text, empty where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``size`` bytes of ``column``, or of one row that is longer."""
+    for batch in batches:
+        lo = 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while lo < len(ends):
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+_HELD: dict[str, Any] = {}
+
+
+def remembered(name: str, make: Callable[[], Any]) -> Any:
+    """What this worker holds under ``name`` from task to task; what it held for other names is let go."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]

@@ -121,17 +121,29 @@ def library(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_the_librarys(awkward, name):
-    more = ["it's I'M, he'll.", "von.\nVer, x.\ny", " lead", "trail ", "tab\tand\nline \n x", "É́cole ǅ İstanbul ΣΑΣ ŉ", "<|endoftext|> x", "a,b.c 12.5 %%% ñu.\n", "\n\n x .\n"]
+    more = ["it's I'M, he'll.", "von.\nVer, x.\ny", " lead", "trail ", "tab\tand\nline \n x", "É́cole ǅ İstanbul. ΣΑΣ ŉ İ.", "<|endoftext|> x", "a,b.c 12.5 %%% ñu.\n", "\n\n x .\n"]
     t, code = library(name), tokens.encoder(name)
-    for text in [*filter(None, awkward), *more, ""]:
-        assert code(text) == np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
+    texts = [*filter(None, awkward), *more, "", "word " * 9000 + "x" * 70, "a\x00 b"]
+    rng = np.random.default_rng(2)
+    parts = [" ", " ", "  ", "a", "Word", "é", "É", "İ", "ı", "ß", "ǅ", "Σ", "\u0301", "\u0307", "ſ", "\n", ".", ",", "'s", "1", "<|endoftext|>", "<|ENDOFTEXT|>", "\t", "日", "\U0001f600", "-", "ŉ", "\u212a", "ɐ", "÷", "\r\n"]
+    texts += ["".join(rng.choice(parts, rng.integers(1, 12))) for _ in range(20_000)]
+    for lo in range(0, len(texts), 700):  # met anew, then known
+        some = texts[lo : lo + 700]
+        expected = [np.array([*e.ids, 0], "<u4").tobytes() for e in t.encode_batch(some, add_special_tokens=False)]
+        assert code.many(some) == expected == code.many(some)
+
+
+def test_units_that_share_a_place_take_turns(monkeypatch):
+    monkeypatch.setattr(tokens, "PLACES", 4)
+    code, t = tokens.Encoder("byte_bpe_50k.json", 0, True), library("byte_bpe_50k.json")
+    texts = [" ".join(f"{a}{b} {b}." for b in ("one", "two", "three", "twelve")) for a in ("x", "yy", "zzz")]
+    for _ in range(3):
+        assert code.many(texts) == [np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes() for x in texts]
 
 
 def test_simple8b_round_trip_with_escapes():
