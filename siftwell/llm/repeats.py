@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import table, text_of, written
+from siftwell.llm.common import slices, table, text_of, written
 
 GRAM = 64
-#: Bytes that are hashed at a time; longer texts are cut, overlapping.
-SLAB = 1 << 22
+#: Bytes that are hashed at a time (about ten 64-bit arrays of their number); longer texts are cut, overlapping.
+SLAB = 1 << 19
+#: Bytes of contexts or of texts that a task hands on at a time.
+HANDED = 1 << 22
 POSITION = np.uint64((1 << 24) - 1)
 #: Contexts of one group that are merged in one task; larger groups are cut first.
 GROUP = 8192
@@ -76,7 +78,7 @@ def runs_of(texts: list[bytes], length: int) -> list[np.ndarray]:
     at = 0
     while at < len(pieces):
         some, size = [], 0
-        while at < len(pieces) and (not some or size + len(pieces[at][2]) <= 2 * SLAB):
+        while at < len(pieces) and (not some or size + len(pieces[at][2]) <= SLAB):
             some.append(pieces[at])
             size += len(pieces[at][2])
             at += 1
@@ -207,7 +209,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def _runs(named: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", HANDED):
             texts = [t.encode() for t in batch["text"].to_pylist()]
             owner, start, n, a, gram, context = runs_of(texts, length)
             columns = [batch["id"].take(pa.array(owner)), batch["th"].take(pa.array(owner)), pa.array(start, pa.int64()), pa.array(n.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(gram, pa.int64()), pa.array(context, pa.int64())]
@@ -222,16 +224,21 @@ def _bodies(named: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     rows = named.join(lists, ["id", "th"]).dropDuplicates(["id", "th"]).select("text", "w")
 
     def run(batches):
-        for batch in batches:
-            out = [[] for _ in BODIES.names]
-            for text, places in zip(batch["text"].to_pylist(), batch["w"].to_pylist(), strict=True):
-                data = text.encode()
-                for p in places:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        out, held = [[] for _ in BODIES.names], 0
+        ready = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=BODIES.names)
+        for batch in slices(batches, "text", HANDED):
+            for text, places in zip(batch["text"], batch["w"], strict=True):
+                data = text.as_py().encode()
+                for p in places.as_py():
                     row = (p["gram"], p["context"], 0, p["a"], p["n"], p["done"], data[p["start"] : p["start"] + p["n"] + length - 1])
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=BODIES.names)
+                    held += len(row[-1])
+                    if held > HANDED:
+                        yield ready()
+                        out, held = [[] for _ in BODIES.names], 0
+        yield ready()
 
     return rows.mapInArrow(run, BODIES)
 
@@ -323,7 +330,7 @@ def without_repeats(docs: DataFrame, length: int = 400, *, keep_text: bool = Tru
     rows = named.join(spans, ["id", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", HANDED):
             out = [[] for _ in REMOVED.names]
             for name, text, own in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
                 data = text.encode()
