@@ -1,16 +1,18 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a segment's bytes in both directions and gives every position a
-probability for each label; a document's probabilities are the mean over all positions
-of all its segments. Segments are words, cut every ``LONGEST`` bytes, so the state
-starts anew at each word and the result for a word can be remembered: a whole text
-costs a lookup for each word, and the network runs once for each distinct word.
+The network reads a text's bytes in both directions and gives every position a
+probability for each label; a document's probabilities are the mean over the positions of its
+letters. It runs over all bytes of whole texts, across words: texts are cut into segments at character
+bounds, and a segment is read with ``MARGIN`` bytes of what stands around it on both sides, whose
+positions count in the segments they belong to.
 
 It is trained here, in numpy, by backpropagation through time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,21 +21,23 @@ from pyspark.sql import types as T
 
 from siftwell.llm.common import table, text_of
 
-LONGEST = 24
+#: Bytes of a segment, and of its surroundings on each side that are read with it.
+SEGMENT, MARGIN = 224, 16
+#: Segments that are read side by side, and bytes of text that are cut at a time.
+COLUMNS, SLICE = 2048, 1 << 20
 #: Label of texts without a letter.
 UNKNOWN = "und"
-#: Words that a worker remembers at most before it starts again.
-REMEMBERED = 1_000_000
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def squash(x: np.ndarray) -> np.ndarray:
+    """From -1 to 1; a gate is half of it and a half. Its slope is (1 - |squash|)^2."""
+    return x / (1 + np.abs(x))
 
 
 class ByteGru:
     """Embedding, one gated recurrent layer for each direction, and a softmax at every position."""
 
-    def __init__(self, labels: list[str], size: int = 20, embedding: int = 12, seed: int = 3):
+    def __init__(self, labels: list[str], size: int = 16, embedding: int = 12, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.labels, self.size = labels, size
         init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
@@ -48,9 +52,9 @@ class ByteGru:
         states, kept = [], []
         for t in range(len(x)):
             a, s = inputs[x[t]], h @ u
-            zr = sigmoid(a[:, : 2 * size] + s[:, : 2 * size])
+            zr = 0.5 + 0.5 * squash(a[:, : 2 * size] + s[:, : 2 * size])
             z, r, sn = zr[:, :size], zr[:, size:], s[:, 2 * size :]
-            n = np.tanh(a[:, 2 * size :] + r * sn)
+            n = squash(a[:, 2 * size :] + r * sn)
             if keep:
                 kept.append((h, z, r, sn, n))
             h = n + z * (h - n)
@@ -74,19 +78,23 @@ class ByteGru:
 
     def _back(self, d: str, x: np.ndarray, dh_out: np.ndarray, kept, grads: dict) -> None:
         u, size = self.p[f"U{d}"], self.size
-        by_byte = np.zeros((256, 3 * size), np.float32)
+        gate = lambda g: 0.5 * (1 - np.abs(2 * g - 1)) ** 2
+        steps = np.empty((*x.shape, 3 * size), dh_out.dtype)
         dh = np.zeros_like(dh_out[0])
         for t in range(len(x) - 1, -1, -1):
             h, z, r, sn, n = kept[t]
             dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * sn * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], axis=1)
+            dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
+            dz = dh * (h - n) * gate(z)
+            dr = dn * sn * gate(r)
+            steps[t, :, :size], steps[t, :, size : 2 * size], steps[t, :, 2 * size :] = dz, dr, dn
             ds = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(by_byte, x[t], da)
             grads[f"U{d}"] += h.T @ ds
             dh = dh * z + ds @ u.T
+        order = np.argsort(x, axis=None, kind="stable")
+        met, first = np.unique(x.reshape(-1)[order], return_index=True)
+        by_byte = np.zeros((256, 3 * size), dh_out.dtype)
+        by_byte[met] = np.add.reduceat(steps.reshape(-1, 3 * size)[order], first, axis=0)
         grads[f"b{d}"] += by_byte.sum(0)
         grads[f"W{d}"] += self.p["E"].T @ by_byte
         grads["E"] += by_byte @ self.p[f"W{d}"].T
@@ -109,11 +117,15 @@ class ByteGru:
         self._back("b", back, turned @ self.p["Ob"].T, kb, grads)
         return float(loss), grads
 
-    def fit(self, segments: list[bytes], y: np.ndarray, epochs: int = 4, batch: int = 256, rate: float = 0.01, seed: int = 5) -> None:
+    def fit(self, segments: list[bytes], y: np.ndarray, steps: int = 240, batch: int = 128, rate: float = 0.01, seed: int = 5) -> None:
+        """About ``steps`` batches, in whole passes over all segments."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
-        step, steps = 0, epochs * -(-len(segments) // batch)
+        batch = max(1, min(batch, len(segments) // 8))
+        each = -(-len(segments) // batch)
+        epochs = -(-steps // each)
+        step, steps = 0, epochs * each
         for _ in range(epochs):
             # Batches of segments of like length, in random order.
             order = np.argsort(np.array([len(s) for s in segments]) + rng.random(len(segments)) * 2, kind="stable")
@@ -128,16 +140,53 @@ class ByteGru:
                     v[k] = 0.99 * v[k] + 0.01 * g * g
                     self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
-    def totals(self, segments: list[bytes], batch: int = 2048) -> np.ndarray:
-        """For each segment the sum of its positions' probabilities (rows sum to its length)."""
-        out = np.zeros((len(segments), len(self.labels)), np.float64)
-        order = np.argsort([len(s) for s in segments], kind="stable")
-        for lo in range(0, len(order), batch):
-            at = order[lo : lo + batch]
-            x, lengths = padded([segments[k] for k in at])
-            probs, _ = self._positions(x, lengths)
-            out[at] = (probs * (np.arange(len(x))[:, None] < lengths)[..., None]).sum(0)
-        return out
+    def _logits(self, d: str, x: np.ndarray, live: list[int], out: np.ndarray) -> None:
+        """Add one direction's part of the logits to ``out`` (label, time, segment).
+
+        Segments stand by falling length, so at time t the first ``live[t]`` of them have a byte.
+        """
+        size, n = self.size, x.shape[1]
+        inputs, u = (self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"]).astype(np.float32), self.p[f"U{d}"].astype(np.float32)
+        tz, tr, tn = (np.ascontiguousarray(inputs[:, k * size : (k + 1) * size]) for k in range(3))
+        # The reset gate is a half and half of r below, so the candidate's weights are halved once.
+        uz, ur, un = (np.ascontiguousarray(u[:, k * size : (k + 1) * size]) * np.float32(f) for k, f in enumerate((1, 1, 0.5)))
+        o = np.ascontiguousarray(self.p[f"O{d}"].T.astype(np.float32))
+        h, z, r, c, s = (np.zeros((n, size), np.float32) for _ in range(5))
+
+        def gather(table: np.ndarray, now: np.ndarray, to: np.ndarray, add: np.ndarray, scratch: np.ndarray) -> None:
+            np.take(table, now, axis=0, out=to, mode="clip")
+            to += add
+            np.abs(to, out=scratch)
+            scratch += np.float32(1)
+            to /= scratch
+
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            m = live[t]
+            now, hm, zm, rm, cm, sm = x[t, :m], h[:m], z[:m], r[:m], c[:m], s[:m]
+            gather(tz, now, zm, np.matmul(hm, uz, out=sm), sm)
+            gather(tr, now, rm, np.matmul(hm, ur, out=sm), sm)
+            np.matmul(hm, un, out=sm)
+            rm *= sm
+            rm += sm
+            gather(tn, now, cm, rm, sm)
+            hm -= cm
+            zm *= hm
+            zm += hm
+            zm *= np.float32(0.5)
+            np.add(cm, zm, out=hm)
+            out[:, t, :m] += o @ hm.T
+
+    def totals(self, x: np.ndarray, lengths: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """For each segment (a column of x, by falling length) the sum of the probabilities at its ``counted`` positions."""
+        live = np.searchsorted(-lengths, -np.arange(len(x)), side="left").tolist()
+        logits = np.empty((len(self.labels), *x.shape), np.float32)
+        logits[:] = self.p["c"].astype(np.float32)[:, None, None]
+        for d in "fb":
+            self._logits(d, x, live, logits)
+        np.clip(logits, -40, 40, out=logits)
+        np.exp(logits, out=logits)
+        logits *= counted / logits.sum(0)
+        return logits.sum(1, dtype=np.float64).T
 
 
 def padded(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,94 +197,113 @@ def padded(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(flat.reshape(len(segments), longest).T), lengths
 
 
-def segments_of(word: str) -> list[bytes]:
-    raw = word.encode("utf-8", "replace")
-    return [raw[i : i + LONGEST] for i in range(0, len(raw), LONGEST)]
+#: Bytes in letters: ASCII letters, and all bytes of other characters.
+LETTER_BYTES = np.array([(65 <= b <= 90) or (97 <= b <= 122) or b >= 128 for b in range(256)])
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def segments(data: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, from, to, first counted, past last counted) of all segments of texts that lie in ``data`` from ``firsts`` to ``ends``.
+
+    Bounds move back to the start of the character they fall in.
+    """
+    many = -(-(ends - firsts) // SEGMENT)
+    text = np.repeat(np.arange(len(firsts)), many)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    lo, hi = firsts[text], ends[text]
+
+    def bound(at: np.ndarray) -> np.ndarray:
+        at = np.clip(at, lo, hi)
+        for _ in range(3):
+            inner = (at < hi) & (at > lo)
+            inner[inner] = (data[at[inner]] & 0xC0) == 0x80
+            at = at - inner
+        return at
+
+    begin, end = bound(lo + k * SEGMENT), bound(lo + (k + 1) * SEGMENT)
+    return text, bound(begin - MARGIN), bound(end + MARGIN), begin, end
+
+
 class Predictor:
-    """Pools document probabilities; remembers the sums of words it has met."""
+    """Pools document probabilities."""
 
     def __init__(self, model: ByteGru | None):
-        self.model, self.known = model, {}
-        self.sums = np.zeros((1, len(model.labels) if model else 1))
-
-    def _learn(self, words: list[str]) -> None:
-        """Words without a letter count nothing."""
-        rows = np.zeros((len(words), self.sums.shape[1]))
-        segments, owner = [], []
-        for i, w in enumerate(words):
-            if has_letter(w):
-                own = segments_of(w)
-                segments += own
-                owner += [i] * len(own)
-        if segments:
-            np.add.at(rows, owner, self.model.totals(segments))
-        first = len(self.sums)
-        self.sums = np.concatenate([self.sums, rows])
-        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.model = model
+
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """For each text the sums of the probabilities at the positions of its letters."""
+        out = np.zeros((len(texts), len(self.model.labels)))
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        data = np.frombuffer(b"".join(raw) + bytes(SEGMENT + 2 * MARGIN + 4), np.uint8)
+        ends = np.cumsum(sizes)
+        text, start, stop, begin, end = segments(data, ends - sizes, ends)
+        order = np.argsort(start - stop, kind="stable")  # by falling length
+        columns = max(1, min(COLUMNS, (1 << 23) // ((SEGMENT + 2 * MARGIN) * len(self.model.labels))))
+        for lo in range(0, len(order), columns):
+            own = order[lo : lo + columns]
+            lengths = (stop - start)[own]
+            at = start[own] + np.arange(int(lengths[0]))[:, None]
+            x = data[at]
+            counted = LETTER_BYTES[x] & (at >= begin[own]) & (at < end[own])
+            np.add.at(out, text[own], self.model.totals(x, lengths, counted.astype(np.float32)))
+        return out
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        labels, scores = [], []
-        split = [(t or "").split() for t in texts]
-        if self.model:
-            new = set().union(*split) - self.known.keys()
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, self.sums = {}, self.sums[:1]
-                new = set().union(*split)
-            self._learn(sorted(new))
-        for words in split:
-            pooled = self.sums[[self.known[w] for w in words]].sum(0) if words and self.model else np.zeros(1)
-            total = pooled.sum()
-            best = int(np.argmax(pooled))
-            labels.append(self.model.labels[best] if total > 0 else UNKNOWN)
-            scores.append(min(1.0, round(float(pooled[best] / total), 6)) if total > 0 else 0.0)
+        labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        lettered = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.model else []
+        lo = 0
+        while lo < len(lettered):
+            hi, held = lo, 0
+            while hi < len(lettered) and (hi == lo or held < SLICE):
+                held += len(texts[lettered[hi]])
+                hi += 1
+            own = lettered[lo:hi]
+            for i, pooled in zip(own, self.sums([texts[i] for i in own]), strict=True):
+                best, total = int(np.argmax(pooled)), pooled.sum()
+                labels[i], scores[i] = self.model.labels[best], min(1.0, round(float(pooled[best] / total), 6))
+            lo = hi
         return labels, scores
 
 
-def labelled_sample(docs: DataFrame, text: str, label: str, per_label: int, words_per_text: int) -> list[tuple[list[str], str]]:
-    """Words of at most ``per_label`` texts of each label, the same however rows are dealt.
+def labelled_sample(docs: DataFrame, text: str, label: str, per_label: int, per_text: int, size: int) -> list[tuple[list[str], str]]:
+    """Passages of at most ``per_label`` texts of each label, the same however rows are dealt.
 
     Rows of a label fall into ``per_label`` buckets by a hash of the text, and each
     bucket gives the text of the least hash: sums of a row each, whatever the label's
-    share. Of a text at most ``words_per_text`` words come, from all over it. Null
+    share. Of a text at most ``per_text`` passages of ``size`` characters come, at even distances. Null
     labels and null texts don't count.
     """
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
     rows = rows.withColumn("h", F.xxhash64("text"))
     least = rows.groupBy("label", F.pmod("h", F.lit(per_label)).alias("bucket")).agg(F.min("h").alias("h"))
     # At most per_label rows of two short columns for each label: a bounded broadcast.
     chosen = rows.join(F.broadcast(least.select("label", "h")), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
-    drawn = F.array_sort(F.transform(F.split("text", r"\s+"), lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("w"))))
-    few = chosen.select("label", "h", F.slice(drawn, 1, words_per_text)["w"].alias("words"))
-    return [(r["words"], r["label"]) for r in sorted(few.collect(), key=lambda r: (r["label"], r["h"]))]
+    n = F.least(F.lit(per_text), F.ceil(F.length("text") / size)).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i * F.greatest(F.length("text") - size, F.lit(0)) / F.greatest(n - 1, F.lit(1))).cast("int") + 1)
+    few = chosen.select("label", "h", F.transform(starts, lambda i: F.col("text").substr(i, F.lit(size))).alias("parts"))
+    return [(r["parts"], r["label"]) for r in sorted(few.collect(), key=lambda r: (r["label"], r["h"]))]
 
 
-def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label: int = 256, words_per_text: int = 100, words_per_label: int = 8000, epochs: int = 4, seed: int = 3) -> ByteGru | None:
-    """Train on at most ``per_label`` documents, ``words_per_text`` words of each and ``words_per_label`` in all for each label.
+def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label: int = 256, per_text: int = 5, size: int = 96, steps: int = 240, seed: int = 3) -> ByteGru | None:
+    """Train on at most ``per_label`` documents of each label, and ``per_text`` passages of ``size`` characters of each.
 
     Without any labelled text that has a letter, None.
     """
-    rng = np.random.default_rng(seed)
-    words: dict[str, list[str]] = {}
-    for own, name in labelled_sample(docs, text, label, per_label, words_per_text):
-        words.setdefault(name, []).extend(w for w in own if has_letter(w))
-    labels = sorted(k for k, v in words.items() if v)
+    passages: list[bytes] = []
+    names: list[str] = []
+    for parts, name in labelled_sample(docs, text, label, per_label, per_text, size):
+        some = [p.encode("utf-8", "replace") for p in parts if has_letter(p)]
+        passages += some
+        names += [name] * len(some)
+    labels = sorted(set(names))
     if not labels:
         return None
-    segments, y = [], []
-    for i, name in enumerate(labels):
-        own = words[name]
-        for w in [own[k] for k in rng.permutation(len(own))[:words_per_label]]:
-            for s in segments_of(w):
-                segments.append(s)
-                y.append(i)
     model = ByteGru(labels, seed=seed)
-    model.fit(segments, np.array(y), epochs=epochs)
+    model.fit(passages, np.array([labels.index(n) for n in names]), steps=steps)
     return model
 
 
@@ -248,18 +316,13 @@ def predicted(model: ByteGru | None, text: Column) -> Column:
     Null, empty and letterless texts are ``und`` with score 0, as is everything
     without a model. Equal texts get equal results.
     """
-    held: list[Predictor] = []
 
     @F.pandas_udf(PREDICTED)
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        if not held:
-            held.append(Predictor(model))
-        out = [[], []]
-        values = texts.tolist()
-        for lo in range(0, len(values), 512):
-            for column, part in zip(out, held[0](values[lo : lo + 512]), strict=True):
-                column += part
-        return pd.DataFrame({"lang_pred": out[0], "score": out[1]})
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pool = Predictor(model)
+        for texts in batches:
+            labels, scores = pool(texts.tolist())
+            yield pd.DataFrame({"lang_pred": labels, "score": scores})
 
     return predict(text)
 
