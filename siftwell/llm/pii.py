@@ -152,8 +152,7 @@ def span_features(kind: str, span: str, before: list[str], after: str, size: int
     """Features of a whole candidate segment and its surroundings."""
     digits = [c for c in span if c.isdigit()]
     out = [kind, f"{kind}|tokens={size}", f"{kind}|digits={min(len(digits), 16)}"]
-    words = [w.lower() for w in before]
-    out += [f"{kind}|word={w}" for w in words]
+    out += sorted({f"{kind}|word={w}" for b in before for w in (b.lower(), *re.split("[_-]", b.lower()))})
     marks = "".join(sorted({c for c in span if not c.isalnum()}))
     out.append(f"{kind}|marks={marks}")
     if len(set(digits)) == 1:
