@@ -24,6 +24,8 @@ ITEM = ["item_id", "scheme"]
 KEY = ["doc_id", *ITEM, *SIZES]
 #: Benchmarks of up to so many windows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: The same for ids of documents that may hold an item.
+BROADCAST_IDS = 1_000_000
 
 # Units of measure that may follow a number.
 UNITS = [
@@ -165,8 +167,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = S
         .select("doc_id", *sizes.columns)
     )
     hits = written(found.distinct(), "hits")
-    # Only documents that passed are read again, with their values.
-    texts = docs.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Only documents that passed are read again, with their values; texts are not shuffled for it unless very many passed.
+    passed = hits.select("doc_id").distinct()
+    few = passed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(passed) if few else passed, "doc_id", "left_semi")
     inside = _both(_with_tokens(texts, "doc_id", "$2"), "doc_id").select(
         "doc_id",
         "scheme",
