@@ -27,14 +27,14 @@ def bits_lsb_first(h: Column) -> Column:
 
 
 def simhash(tokens: DataFrame, key: str, token: str) -> DataFrame:
-    """(key, phash) of a table with a row for each token occurrence.
+    """(key, phash) of a table with a row for each token occurrence; a bit is set if it is in most occurrences.
 
-    Token counts come first, so a frequent token of a key is hashed once; the 64 bit sums
-    are partial aggregates. A bit is set if it is in most occurrences.
+    The 64 bit sums are partial aggregates: where a key's tokens come from one row, one row of
+    sums is shuffled for it and no token. Null keys are one key, null tokens don't count, an empty table gives
+    an empty one.
     """
-    value = hex_to_long(F.substring(F.md5(token), 1, 16))
-    rows = tokens.groupBy(key, token).agg(F.count("*").alias("n")).select(key, "n", value.alias("v"))
-    sums = rows.groupBy(key).agg(*[F.sum(F.when(F.shiftrightunsigned("v", i).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"s{i}") for i in range(BITS)])
+    rows = tokens.where(F.col(token).isNotNull()).select(key, hex_to_long(F.substring(F.md5(token), 1, 16)).alias("__sw_v"))
+    sums = rows.groupBy(key).agg(*[F.sum(F.when(F.shiftrightunsigned("__sw_v", i).bitwiseAND(F.lit(1)) == 1, F.lit(1)).otherwise(-1)).alias(f"s{i}") for i in range(BITS)])
     h = F.lit(0).cast("long")
     for i in range(BITS):
         h = h.bitwiseOR(F.when(F.col(f"s{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))

@@ -135,4 +135,5 @@ def group_stats(groups: DataFrame) -> DataFrame:
 
 
 def hash_coverage(hashes: DataFrame) -> DataFrame:
+    """One row: rows, rows with a valid hash (null has none), and their share; null over no rows."""
     return hashes.agg(F.count("*").alias("n"), F.count_if(valid_hash(F.lower("phash"))).alias("n_valid"), F.avg(valid_hash(F.lower("phash")).cast("int")).alias("ratio"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftwell.operators.running import PART, join_null_safe, ranged, running_sums
+from siftwell.sources.shared import written
+
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.9)
 LEAST_SLICE = 20
 
@@ -113,20 +116,28 @@ def _scored(p: DataFrame, k: int, micro: bool) -> DataFrame:
 def roc_points(p: DataFrame, k: int, micro: bool = False) -> DataFrame:
     """(cls, threshold, tp, fp, fpr, tpr), equal scores as one point; classes without both kinds of rows are left out.
 
-    Scores are grouped first, so a window runs over distinct scores of a class.
+    Scores are grouped first, and sums run over ranges of the distinct scores, so no
+    task holds a class. Rows with null ``probs`` don't count.
     """
     by_score = _scored(p, k, micro).groupBy("cls", "score").agg(F.sum("pos").alias("p"), F.count("*").alias("c"))
     totals = by_score.groupBy("cls").agg(F.sum("p").alias("np"), F.sum(F.col("c") - F.col("p")).alias("nn")).where("np > 0 AND nn > 0")
-    down = Window.partitionBy("cls").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by_score.join(F.broadcast(totals), "cls").select("cls", F.col("score").alias("threshold"), F.sum("p").over(down).alias("tp"), F.sum(F.col("c") - F.col("p")).over(down).alias("fp"), "np", "nn")
+    # At most k rows of totals: a bounded broadcast.
+    counted = by_score.join(F.broadcast(totals), "cls").withColumn("m", F.col("c") - F.col("p"))
+    run = running_sums(counted, ["cls"], [F.desc("score")], {"tp": "p", "fp": "m"}).select("cls", F.col("score").alias("threshold"), "tp", "fp", "np", "nn")
     start = totals.select("cls", F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "np", "nn")
     return run.unionByName(start).select("cls", "threshold", "tp", "fp", (F.col("fp").cast("double") / F.col("nn")).alias("fpr"), (F.col("tp").cast("double") / F.col("np")).alias("tpr"))
 
 
 def _trapezoid(points: DataFrame, by: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy("fpr", "tpr")
-    steps = points.select(by, "fpr", "tpr", F.lag("fpr").over(w).alias("px"), F.lag("tpr").over(w).alias("py"))
-    return steps.groupBy(by).agg(F.sum((F.col("fpr") - F.col("px")) * (F.col("tpr") + F.col("py")) / 2).alias("auc"))
+    """(by, auc): steps inside ranges of points, then those from the last point of a range to the first of the next."""
+    parts = ranged(points.select(by, "fpr", "tpr"), [by], [F.col("fpr"), F.col("tpr")])
+    w = Window.partitionBy(by, PART).orderBy("fpr", "tpr")
+    step = lambda x, y: (F.col("fpr") - x) * (F.col("tpr") + y) / 2
+    inside = parts.select(by, step(F.lag("fpr").over(w), F.lag("tpr").over(w)).alias("a"))
+    ends = parts.groupBy(by, PART).agg(F.min(F.struct("fpr", "tpr")).alias("lo"), F.max(F.struct("fpr", "tpr")).alias("hi"))
+    over = Window.partitionBy(by).orderBy(PART)
+    between = ends.select(by, F.col("lo.fpr").alias("fpr"), F.col("lo.tpr").alias("tpr"), F.lag("hi").over(over).alias("p"))
+    return inside.unionByName(between.select(by, step(F.col("p.fpr"), F.col("p.tpr")).alias("a"))).groupBy(by).agg(F.sum("a").alias("auc"))
 
 
 def auc(p: DataFrame, k: int, micro: bool = False) -> DataFrame:
@@ -134,23 +145,52 @@ def auc(p: DataFrame, k: int, micro: bool = False) -> DataFrame:
     return _trapezoid(roc_points(p, k, micro), "cls")
 
 
+def _upper(points: DataFrame) -> DataFrame:
+    """The highest point at each false positive rate of each class's curve."""
+    return points.groupBy("cls", "fpr").agg(F.max("tpr").alias("tpr"))
+
+
 def macro_auc(p: DataFrame, k: int) -> DataFrame:
-    """Area under the mean of all classes' curves, each interpolated on the union of their false positive rates.
+    """Area under the mean of all classes' curves (``mean_roc``); at a rate where a curve rises straight up its highest point counts.
+
+    The curves are interpolated linearly, so the area under their mean is the mean of their
+    areas, each from its own points: the union of all rates is not needed.
+    """
+    return _trapezoid(_upper(roc_points(p, k)), "cls").agg(F.avg("auc").alias("auc"))
+
+
+def interpolated(points: DataFrame, grid: DataFrame, by: str = "cls", x: str = "fpr", y: str = "tpr") -> DataFrame:
+    """(by, x, y) of every ``by`` at every value of ``grid``: linear between the last point at or before and the first at or after.
 
-    At a rate where a curve rises straight up its highest point counts. As-of values are the
-    last point at or before and the first at or after each rate of the grid.
+    An as-of join of both sides at once: points and grid are sorted together in ranges of x, so a range looks at its own rows,
+    and at the points nearest to it in other ranges, a row for each range. Before the first point and after the
+    last there is no value. ``points`` has one y for each x.
     """
-    curves = roc_points(p, k).groupBy("cls", "fpr").agg(F.max("tpr").alias("tpr"))
-    grid = curves.select("fpr").distinct()
-    every = curves.select("cls").distinct().join(F.broadcast(grid)).join(curves, ["cls", "fpr"], "left")
-    own = F.when(F.col("tpr").isNotNull(), F.struct("fpr", "tpr"))
-    back = Window.partitionBy("cls").orderBy("fpr").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("cls").orderBy("fpr").rowsBetween(0, Window.unboundedFollowing)
-    near = every.select("cls", "fpr", F.last(own, ignorenulls=True).over(back).alias("lo"), F.first(own, ignorenulls=True).over(ahead).alias("hi"))
-    share = F.coalesce(F.try_divide(F.col("fpr") - F.col("lo.fpr"), F.col("hi.fpr") - F.col("lo.fpr")), F.lit(0.0))
-    y = F.col("lo.tpr") + share * (F.col("hi.tpr") - F.col("lo.tpr"))
-    mean = near.select("fpr", y.alias("tpr")).groupBy("fpr").agg(F.avg("tpr").alias("tpr")).withColumn("cls", F.lit(-1))
-    return _trapezoid(mean, "cls").select("auc")
+    names = F.array_sort(F.collect_set(by)).alias("names")  # one row with the names of all curves, few as there is one for each class
+    asked = grid.select(x).distinct().join(F.broadcast(points.agg(names))).select(F.explode("names").alias(by), x, F.lit(None).cast("double").alias(y), F.lit(1).alias("asked"))
+    both = points.select(by, x, y, F.lit(0).alias("asked")).unionByName(asked)
+    own = F.when(F.col("asked") == 0, F.struct(x, y))
+    merged = both.groupBy(by, x).agg(F.max(own).alias("own"), F.max("asked").alias("asked"))
+    parts = ranged(merged, [by], [F.col(x)])
+    ends = parts.groupBy(by, PART).agg(F.min("own").alias("first"), F.max("own").alias("last"))
+    back, ahead = Window.partitionBy(by).orderBy(PART), Window.partitionBy(by).orderBy(F.desc(PART))
+    before = Window.unboundedPreceding
+    near = ends.select(by, PART, F.last("last", ignorenulls=True).over(back.rowsBetween(before, -1)).alias("lower"), F.last("first", ignorenulls=True).over(ahead.rowsBetween(before, -1)).alias("upper"))
+    up = Window.partitionBy(by, PART).orderBy(x).rowsBetween(before, 0)
+    down = Window.partitionBy(by, PART).orderBy(F.desc(x)).rowsBetween(before, 0)
+    placed = join_null_safe(parts, near, [by, PART]).select(
+        by, x, "asked",
+        F.coalesce(F.last("own", ignorenulls=True).over(up), "lower").alias("lo"),
+        F.coalesce(F.last("own", ignorenulls=True).over(down), "upper").alias("hi"),
+    )
+    share = F.coalesce(F.try_divide(F.col(x) - F.col(f"lo.{x}"), F.col(f"hi.{x}") - F.col(f"lo.{x}")), F.lit(0.0))
+    return placed.where("asked = 1").select(by, x, (F.col(f"lo.{y}") + share * (F.col(f"hi.{y}") - F.col(f"lo.{y}"))).alias(y))
+
+
+def mean_roc(p: DataFrame, k: int) -> DataFrame:
+    """(fpr, tpr): the mean of all classes' curves on the union of their false positive rates."""
+    curves = written(_upper(roc_points(p, k)), "curves")
+    return interpolated(curves, curves).groupBy("fpr").agg(F.avg("tpr").alias("tpr"))
 
 
 def kfold_summary(folds: DataFrame, metrics: list[str]) -> DataFrame:

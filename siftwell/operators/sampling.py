@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftwell.operators.running import join_null_safe, row_numbers, running_sums
+
 POOL = 0.7
 
 
@@ -17,6 +19,7 @@ def draw_key(id_col: str, seed: int) -> Column:
 
 
 def stratum(*columns: str) -> Column:
+    """The stratum's name: the columns joined by ``||``; nulls are left out."""
     return F.concat_ws("||", *columns)
 
 
@@ -39,18 +42,21 @@ def strata_quota(rows: DataFrame, target: int, key: str = "stratum") -> DataFram
 
 
 def stratified_sample(rows: DataFrame, target: int, key: str = "stratum", id_col: str = "doc_id", seed: int = 42, pool: float = POOL) -> DataFrame:
-    """Exactly ``target`` rows (all, if there are no more): from each stratum its quota of the sharpest ``pool``."""
-    quotas = strata_quota(rows, target, key)
-    sharp = Window.partitionBy(key).orderBy(F.desc("blur"), id_col)
-    ranked = rows.join(quotas, key).withColumn("__sharp", F.row_number().over(sharp))
-    inside = ranked.where(F.col("__sharp") <= F.greatest("quota", F.floor(F.col("n") * F.lit(float(pool)))))
-    drawn = Window.partitionBy(key).orderBy(draw_key(id_col, seed), id_col)
-    return inside.withColumn("__drawn", F.row_number().over(drawn)).where(F.col("__drawn") <= F.col("quota")).drop("__sharp", "__drawn", "n", "quota")
+    """Exactly ``target`` rows (all, if there are no more): from each stratum its quota of the sharpest ``pool``.
+
+    Ranks are taken in ranges of a stratum, so none has to fit in a task. Null is a stratum; rows of
+    equal sharpness go by id, a null sharpness is the least. Ids must not repeat.
+    """
+    quotas = strata_quota(rows, target, key).select(key, F.col("n").alias("__sw_n"), F.col("quota").alias("__sw_quota"))
+    ranked = join_null_safe(row_numbers(rows, [key], [F.desc("blur"), F.col(id_col)], "__sw_sharp"), quotas, [key])
+    inside = ranked.where(F.col("__sw_sharp") <= F.greatest("__sw_quota", F.floor(F.col("__sw_n") * F.lit(float(pool)))))
+    drawn = row_numbers(inside, [key], [draw_key(id_col, seed), F.col(id_col)], "__sw_drawn")
+    return drawn.where("__sw_drawn <= __sw_quota").drop("__sw_sharp", "__sw_drawn", "__sw_n", "__sw_quota")
 
 
 def sampled_classes(rows: DataFrame, targets: dict[str, int], cls: str = "cls", **options) -> DataFrame:
-    """Classes with a target are sampled to it, all others are kept."""
-    out = rows.where(~F.col(cls).isin(*targets)) if targets else rows
+    """Classes with a target are sampled to it, all others, null too, are kept."""
+    out = rows.where(~F.coalesce(F.col(cls).isin(*targets), F.lit(False))) if targets else rows
     for name, target in sorted(targets.items()):
         out = out.unionByName(stratified_sample(rows.where(F.col(cls) == name), target, **options).select(*rows.columns))
     return out
@@ -65,15 +71,11 @@ def weighted_draw(rows: DataFrame, n: int, weight: Column, id_col: str = "doc_id
     """``n`` draws with replacement, proportional to ``weight``: (draw, id).
 
     Each row takes the draws that fall in its share of [0, 1): the number of grid points
-    (k + u) / n, with one shift u for all. Shares come from sums of blocks and then
-    inside a block, so no task sees all rows.
+    (k + u) / n, with one shift u for all. Shares are running sums over ranges of ids, so
+    no task sees all rows. Null weights count as 0; without any weight there are no draws.
     """
-    block = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(64))
-    w = rows.select(F.col(id_col).alias("id"), weight.cast("double").alias("w"), block.alias("block"))
-    sums = w.groupBy("block").agg(F.sum("w").alias("s"))
-    before = sums.withColumn("before", F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("block")) - F.col("s")).join(F.broadcast(sums.agg(F.sum("s").alias("all"))))
-    inside = Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = w.join(F.broadcast(before.select("block", "before", "all")), "block").withColumn("hi", F.col("before") + F.sum("w").over(inside))
+    w = rows.select(F.lit(0).alias("k"), F.col(id_col).alias("id"), F.coalesce(weight.cast("double"), F.lit(0.0)).alias("w"))
+    placed = running_sums(w, ["k"], [F.col("id")], {"hi": "w"}).join(F.broadcast(w.agg(F.sum("w").alias("all")).where("all > 0")))
     shift = (seed * 2654435761 % 2**32) / 2**32
     last = F.greatest(F.ceil(F.lit(float(n)) * F.col("hi") / F.col("all") - shift), F.lit(0))
     first = F.greatest(F.ceil(F.lit(float(n)) * (F.col("hi") - F.col("w")) / F.col("all") - shift), F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftwell.operators.running import join_null_safe, row_numbers
 from siftwell.operators.sampling import draw_key
 
 SPLITS = ("train", "val", "test")
@@ -21,29 +22,47 @@ def group_folds(rows: DataFrame, folds: int, seed: int, label: str = "label", gr
     """(group, fold): whole groups, dealt in turn by falling size within their most frequent label.
 
     A group's label is its most frequent one (ties: the least). Turns go by (size, hash), so
-    each label's rows spread evenly. A row for each group is ranked, by label.
+    each label's rows spread evenly. A row for each group is ranked, in ranges of a label. Rows
+    without a group (null) are one group, null is a label, and an empty table gives an empty one.
     """
     counts = rows.groupBy(group, label).agg(F.count("*").alias("c"))
     g = counts.groupBy(group).agg(F.sum("c").alias("size"), F.min(F.struct(F.negative("c").alias("c"), label)).alias("m"))
-    turn = Window.partitionBy("main").orderBy(F.desc("size"), draw_key(group, seed), group)
-    ranked = g.select(group, "size", F.col(f"m.{label}").alias("main")).withColumn("turn", F.row_number().over(turn) - 1)
-    return ranked.select(group, (F.col("turn") % folds).cast("int").alias("fold"))
+    named = g.select(group, "size", F.col(f"m.{label}").alias("__sw_main"))
+    ranked = row_numbers(named, ["__sw_main"], [F.desc("size"), draw_key(group, seed), F.col(group)], "__sw_turn")
+    return ranked.select(group, ((F.col("__sw_turn") - 1) % folds).cast("int").alias("fold"))
+
+
+def _with_fold(rows: DataFrame, folds: DataFrame, group: str, to: str) -> DataFrame:
+    return join_null_safe(rows, folds.withColumnRenamed("fold", to), [group], "left")
 
 
 def three_way(rows: DataFrame, label: str = "label", group: str = "group_id", test: float = TEST, val: float = VAL, seed: int = 42) -> DataFrame:
-    """Add ``split``: the first of folds_for(test) folds is the test set, then validation from the rest."""
-    first = group_folds(rows, folds_for(test), seed, label, group)
-    marked = rows.join(first, group).withColumnRenamed("fold", "__test")
-    second = group_folds(marked.where("__test <> 0"), folds_for(val / (1 - test)), seed + 1, label, group)
-    split = F.when(F.col("__test") == 0, "test").when(F.col("fold") == 0, "val").otherwise("train")
-    return marked.join(second, group, "left").withColumn("split", split).drop("__test", "fold")
+    """Add ``split``: the first of folds_for(test) folds is the test set, then validation from the rest.
+
+    Every row gets a split, those without a group too (``group_folds``). A column named ``split`` is replaced.
+    """
+    marked = _with_fold(rows, group_folds(rows, folds_for(test), seed, label, group), group, "__sw_test")
+    second = group_folds(marked.where("__sw_test <> 0"), folds_for(val / (1 - test)), seed + 1, label, group)
+    split = F.when(F.col("__sw_test") == 0, "test").when(F.col("__sw_val") == 0, "val").otherwise("train")
+    return _with_fold(marked, second, group, "__sw_val").withColumn("split", split).drop("__sw_test", "__sw_val")
 
 
 def k_folds(rows: DataFrame, k: int, label: str = "label", group: str = "group_id", seed: int = 42) -> DataFrame:
-    """Each row once for each fold, with ``role`` val in its own fold and train in the others."""
-    own = rows.join(group_folds(rows, k, seed, label, group), group).withColumnRenamed("fold", "__own")
+    """Each row once for each fold, with ``role`` val in its own fold and train in the others. Columns named ``fold`` or ``role`` are replaced."""
+    own = _with_fold(rows.drop("fold", "role"), group_folds(rows, k, seed, label, group), group, "__sw_own")
     each = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    return own.select("*", each.alias("fold")).withColumn("role", F.when(F.col("fold") == F.col("__own"), "val").otherwise("train")).drop("__own")
+    return own.select("*", each.alias("fold")).withColumn("role", F.when(F.col("fold") == F.col("__sw_own"), "val").otherwise("train")).drop("__sw_own")
+
+
+def k_folds_with_test(rows: DataFrame, k: int, label: str = "label", group: str = "group_id", test: float = TEST, seed: int = 42) -> DataFrame:
+    """``k_folds`` over what a fixed test set leaves: test rows come once for each fold too, with ``role`` test.
+
+    The test set is that of ``three_way`` with the same seed, so all folds are judged on the same rows.
+    """
+    marked = _with_fold(rows, group_folds(rows, folds_for(test), seed, label, group), group, "__sw_test")
+    rest = k_folds(marked.where("__sw_test <> 0"), k, label, group, seed + 1)
+    fixed = marked.where("__sw_test = 0").drop("fold", "role").select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")).withColumn("role", F.lit("test"))
+    return rest.unionByName(fixed).drop("__sw_test")
 
 
 def source_holdout(rows: DataFrame, label: str = "label", source: str = "source", ratio: float = TEST) -> DataFrame:
@@ -71,27 +90,28 @@ def source_holdout(rows: DataFrame, label: str = "label", source: str = "source"
 def holdout_split(rows: DataFrame, label: str = "label", source: str = "source", group: str = "group_id", id_col: str = "doc_id", test: float = TEST, val: float = VAL, seed: int = 42) -> DataFrame:
     """Add ``split`` with whole sources in the test set, topped up by rows and closed over groups.
 
-    Where held-out sources fall short of a label's share, min(need, max(1, others - 1))
-    further rows are drawn by hash. Each group with a test row is test; the rest is
-    split into train and val by groups.
+    Where held-out sources fall short of floor(test * rows) of a label, min(need, max(1, others - 1))
+    further rows are drawn by hash; a label of fewer rows than make one needs none. Each group with a test row is test; the rest is
+    split into train and val by groups. Rows without a label are never drawn, rows without a group are one
+    group. Ids must not repeat or be null. A column named ``split`` is replaced.
     """
     held = rows.join(source_holdout(rows, label, source, test).select(label, source), [label, source], "left_semi").select(id_col, label)
     have = held.groupBy(label).agg(F.count("*").alias("have"))
     total = rows.groupBy(label).agg(F.count("*").alias("total"))
-    need = total.join(have, label, "left").na.fill(0, ["have"]).withColumn("need", F.greatest(F.lit(1), F.floor(F.lit(float(test)) * F.col("total"))) - F.col("have"))
-    need = need.withColumn("take", F.least("need", F.greatest(F.lit(1), F.col("total") - F.col("have") - 1))).where("need > 0 AND total > have")
-    others = rows.select(id_col, label).join(held.select(id_col), id_col, "left_anti").join(F.broadcast(need.select(label, "take")), label)
-    drawn = Window.partitionBy(label).orderBy(draw_key(id_col, seed), id_col)
-    topped = others.withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= F.col("take")).select(id_col)
-    chosen = held.select(id_col).union(topped)
+    need = total.join(have, label, "left").na.fill(0, ["have"]).withColumn("need", F.floor(F.lit(float(test)) * F.col("total")) - F.col("have"))
+    need = need.withColumn("__sw_take", F.least("need", F.greatest(F.lit(1), F.col("total") - F.col("have") - 1))).where("need > 0 AND total > have")
+    others = rows.select(id_col, label).join(held.select(id_col), id_col, "left_anti").join(need.select(label, "__sw_take"), label)
+    numbered = row_numbers(others, [label], [draw_key(id_col, seed), F.col(id_col)], "__sw_r")
+    chosen = held.select(id_col).union(numbered.where("__sw_r <= __sw_take").select(id_col))
     groups = rows.join(chosen, id_col, "left_semi").select(group).distinct()
-    marked = rows.join(groups.withColumn("__test", F.lit(True)), group, "left")
-    folds = group_folds(marked.where("__test IS NULL"), folds_for(val / (1 - test)), seed, label, group)
-    split = F.when(F.col("__test"), "test").when(F.col("fold") == 0, "val").otherwise("train")
-    return marked.join(folds, group, "left").withColumn("split", split).drop("__test", "fold")
+    marked = join_null_safe(rows, groups.withColumn("__sw_test", F.lit(True)), [group], "left")
+    folds = group_folds(marked.where("__sw_test IS NULL"), folds_for(val / (1 - test)), seed, label, group)
+    split = F.when(F.col("__sw_test"), "test").when(F.col("__sw_val") == 0, "val").otherwise("train")
+    return _with_fold(marked, folds, group, "__sw_val").withColumn("split", split).drop("__sw_test", "__sw_val")
 
 
 def split_sizes(split: DataFrame, label: str = "label") -> DataFrame:
+    """(split, label, n); null is a label."""
     return split.groupBy("split", label).agg(F.count("*").alias("n"))
 
 
@@ -127,5 +147,6 @@ def checked(split: DataFrame, classes: DataFrame, label: str = "label", group: s
 
 
 def hash_split(id_col: str, percent: int = 20, seed: int = 123) -> Column:
-    """``val`` for about ``percent`` of ids, else ``train``: stable under any partitioning."""
-    return F.when(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(100)) < percent, "val").otherwise("train")
+    """``val`` for about ``percent`` of ids, else ``train``: by a hash of id and seed, stable under any partitioning. A null id is like any other."""
+    eight = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return F.when(eight % 100 < percent, "val").otherwise("train")

@@ -13,37 +13,59 @@ from siftwell.sources import images, manifest
 from siftwell.sources.shared import written
 
 
-def curated(profiled: DataFrame, *, policy: str = "report", targets: dict[str, int] | None = None, min_side: int = quality.MIN_SIDE, blur: float = quality.BLUR, threshold: int = hamming.THRESHOLD, cap: int | None = hamming.CAP) -> DataFrame:
-    """The records that stay, with source, group_id, vcluster, stratum and new_path.
+def grouped(profiled: DataFrame, *, min_side: int = quality.MIN_SIDE, blur: float = quality.BLUR, threshold: int = hamming.THRESHOLD, cap: int | None = hamming.CAP) -> DataFrame:
+    """The sound records that pass the filter, with source and group_id, before any policy.
 
     Pseudo-sources come before duplicates go, as their cutoff counts all rows that pass
-    the filter. Classes with a target are clustered and sampled to it; others are kept.
+    the filter.
     """
     sound, _ = quality.split_broken(profiled)
     rows = quality.pseudo_sources(quality.quality_filter(sound, min_side, blur))
-    groups = hamming.duplicate_groups(rows, threshold, cap, id_col="path")
-    rows = written(rows.join(groups, "path"), "grouped")
-    kept = rows.join(conflicts.survivors(rows, policy, "cls", "path").select("path"), "path", "left_semi")
-    out = kept.where(~F.col("cls").isin(*targets)) if targets else kept
-    out = out.withColumn("vcluster", F.lit(manifest.NONE)).withColumn("stratum", F.lit(manifest.NONE))
-    for name, target in sorted((targets or {}).items()):
-        own = clusters.visual_clusters(kept.where(F.col("cls") == name).withColumn("features", clusters.features())).drop("features")
-        own = own.withColumn("stratum", sampling.stratum("subclass", "source", "vcluster"))
-        out = out.unionByName(sampling.stratified_sample(own, target, id_col="path").select(*out.columns))
-    return manifest.numbered(out)
-
-
-def report(profiled: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
-    """Tables of the report; lists are cut to 300 as their purpose is reading."""
+    return rows.join(hamming.duplicate_groups(rows, threshold, cap, id_col="path"), "path")
+
+
+def resolved(rows: DataFrame, *, policy: str = "report", targets: dict[str, int] | None = None) -> DataFrame:
+    """The records of ``grouped`` that stay, with vcluster, stratum and new_path.
+
+    Classes with a target are clustered and sampled to it; others are kept.
+    """
+    kept = written(rows.join(conflicts.survivors(rows, policy, "cls", "path").select("path"), "path", "left_semi"), "kept")
+    kept = kept.withColumn("vcluster", F.lit(manifest.NONE)).withColumn("stratum", F.lit(manifest.NONE))
+    for name in sorted(targets or {}):
+        own = clusters.visual_clusters(kept.where(F.col("cls") == name).drop("vcluster").withColumn("features", clusters.features())).drop("features")
+        own = own.withColumn("stratum", sampling.stratum("subclass", "source", "vcluster")).select(*kept.columns)
+        kept = kept.where(~F.col("cls").eqNullSafe(name)).unionByName(own)
+    return manifest.numbered(sampling.sampled_classes(kept, targets or {}, id_col="path"))
+
+
+def curated(profiled: DataFrame, *, policy: str = "report", targets: dict[str, int] | None = None, **filters) -> DataFrame:
+    """``grouped``, written once, then ``resolved``."""
+    return resolved(written(grouped(profiled, **filters), "grouped"), policy=policy, targets=targets)
+
+
+#: Conflict groups and broken rows that a report lists; its purpose is reading.
+LISTED = 300
+
+
+def report(profiled: DataFrame, rows: DataFrame, kept: DataFrame, *, min_side: int = quality.MIN_SIDE, blur: float = quality.BLUR) -> dict[str, DataFrame]:
+    """Tables of the report. ``rows``: ``grouped``; ``kept``: ``resolved``; the bounds are those of the filter.
+
+    Conflicts are all members of the first ``LISTED`` groups of several classes as they were before the
+    policy; leaks are by falling size, sources all of each class.
+    """
     sound, broken = quality.split_broken(profiled)
-    good = quality.quality_filter(sound)
+    first = conflicts.conflict_groups(rows).orderBy("group_id").limit(LISTED)
+    members = conflicts.conflict_members(rows, id_col="path").join(first.select("group_id"), "group_id")
+    counts = rows.groupBy("cls").agg(F.count("*").alias("n_good")).join(kept.groupBy("cls").agg(F.count("*").alias("n_kept")), "cls", "left")
     return {
-        "rejects": quality.quality_rejects(sound),
-        "classes": quality.imbalance(rows),
-        "sources": quality.source_topk(rows, 3),
-        "leaks": quality.leak_audit(good).orderBy(F.desc("n"), "raw_sig"),
-        "conflicts": conflicts.conflict_groups(rows).orderBy("group_id").limit(300),
-        "broken": broken.select("path", "error").orderBy("path").limit(300),
+        "rejects": quality.quality_rejects(sound, min_side=min_side, blur=blur),
+        "survivors": counts.na.fill(0, ["n_kept"]).orderBy("cls"),
+        "classes": quality.imbalance(kept),
+        "sources": rows.groupBy("cls", "source").agg(F.count("*").alias("n")).orderBy("cls", F.desc("n"), "source"),
+        "leaks": quality.leak_audit(quality.quality_filter(sound, min_side, blur)).orderBy(F.desc("n"), "raw_sig"),
+        "duplicates": conflicts.duplicate_stats(rows),
+        "conflicts": members.orderBy("group_id", "cls", "path"),
+        "broken": broken.select("path", "error").orderBy("path").limit(LISTED),
     }
 
 
@@ -61,10 +83,12 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     seen = images.scan(spark, args.root, tuple(args.extensions.split(",")))
     profiled = written(images.profiled(seen), "profiled")
-    rows = written(curated(profiled, policy=args.policy, targets=args.targets, min_side=args.min_side, blur=args.blur), "curated")
-    tables = report(profiled, rows)
+    bounds = {"min_side": args.min_side, "blur": args.blur}
+    good = written(grouped(profiled, **bounds), "grouped")
+    rows = written(resolved(good, policy=args.policy, targets=args.targets), "curated")
+    tables = report(profiled, good, rows, **bounds)
     if not args.apply:
-        for name in ("rejects", "classes", "sources"):
+        for name in ("rejects", "survivors", "classes", "sources", "duplicates", "leaks"):
             print(name)
             tables[name].show(truncate=False)
         return

@@ -55,22 +55,35 @@ m AS (SELECT *, min({cls}) OVER (PARTITION BY group_id) <> max({cls}) OVER (PART
 {single}{tail}"""
 
 
+def _quota(target: int, cls: str, tag: str) -> str:
+    return f"""strata{tag} AS MATERIALIZED (SELECT doc_id, blur, subclass || '||' || source AS stratum FROM sourced WHERE cls = '{cls}'),
+q0{tag} AS (SELECT stratum, count(*) AS n, sum(count(*)) OVER () AS total FROM strata{tag} GROUP BY stratum),
+q1{tag} AS (SELECT *, round_even({target}::DOUBLE * n / total, 0)::BIGINT AS q FROM q0{tag}),
+q2{tag} AS (SELECT *, {target} - sum(q) OVER () AS diff FROM q1{tag}),
+q3{tag} AS (SELECT *, sign(diff)::BIGINT AS step, q + sign(diff) BETWEEN 0 AND n AS room FROM q2{tag}),
+q4{tag} AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY n DESC, stratum) AS k FROM q3{tag}),
+quota{tag} AS MATERIALIZED (SELECT stratum, n, CASE WHEN total <= {target} THEN n ELSE q + CASE WHEN room AND k <= abs(diff) THEN step ELSE 0 END END::BIGINT AS quota FROM q4{tag})"""
+
+
+def _sample(target: int, cls: str, tag: str) -> str:
+    return f"""{_quota(target, cls, tag)},
+p1{tag} AS (SELECT s.*, n, quota, row_number() OVER (PARTITION BY s.stratum ORDER BY blur DESC, doc_id) AS k FROM strata{tag} s JOIN quota{tag} USING (stratum)),
+p2{tag} AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(doc_id || ':42'), doc_id) AS r FROM p1{tag} WHERE k <= greatest(quota, floor(n * 0.7::DOUBLE))),
+sampled{tag} AS MATERIALIZED (SELECT doc_id, stratum FROM p2{tag} WHERE r <= quota)"""
+
+
 def quota(target: int) -> str:
-    return f"""{SOURCED},
-strata AS MATERIALIZED (SELECT doc_id, blur, subclass || '||' || source AS stratum FROM sourced WHERE cls = 'en'),
-q0 AS (SELECT stratum, count(*) AS n, sum(count(*)) OVER () AS total FROM strata GROUP BY stratum),
-q1 AS (SELECT *, round_even({target}::DOUBLE * n / total, 0)::BIGINT AS q FROM q0),
-q2 AS (SELECT *, {target} - sum(q) OVER () AS diff FROM q1),
-q3 AS (SELECT *, sign(diff)::BIGINT AS step, q + sign(diff) BETWEEN 0 AND n AS room FROM q2),
-q4 AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY n DESC, stratum) AS k FROM q3),
-quota AS MATERIALIZED (SELECT stratum, n, CASE WHEN total <= {target} THEN n ELSE q + CASE WHEN room AND k <= abs(diff) THEN step ELSE 0 END END::BIGINT AS quota FROM q4)"""
+    return f"{SOURCED},\n{_quota(target, 'en', '')}"
 
 
 def sample(target: int) -> str:
-    return f"""{quota(target)},
-p1 AS (SELECT s.*, n, quota, row_number() OVER (PARTITION BY s.stratum ORDER BY blur DESC, doc_id) AS k FROM strata s JOIN quota USING (stratum)),
-p2 AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(doc_id || ':42'), doc_id) AS r FROM p1 WHERE k <= greatest(quota, floor(n * 0.7::DOUBLE))),
-sampled AS MATERIALIZED (SELECT doc_id, stratum FROM p2 WHERE r <= quota)"""
+    return f"{SOURCED},\n{_sample(target, 'en', '')}"
+
+
+def samples(targets: dict[str, int]) -> str:
+    """Sampled rows of each class with a target, as sampled_<class>."""
+    parts = [_sample(n, cls, f"_{cls}") for cls, n in targets.items()]
+    return ",\n".join([SOURCED, *parts])
 
 
 _LABELLED = f"{GROUPED}, grouped_l AS MATERIALIZED (SELECT doc_id, group_id, cls7 AS label, subclass AS source FROM grouped)"
@@ -92,6 +105,13 @@ KFOLD = f"""{_LABELLED},
 {_folds("f1", "grouped_l", 5, 42)},
 kfold AS (SELECT k.fold, CASE WHEN k.fold = f1.fold THEN 'val' ELSE 'train' END AS role FROM grouped_l JOIN f1 USING (group_id), (SELECT range::INT AS fold FROM range(5)) k)"""
 
+KFOLD_TEST = f"""{_LABELLED},
+{_folds("f1", "grouped_l", 7, 42)},
+left_over AS MATERIALIZED (SELECT g.* FROM grouped_l g JOIN f1 USING (group_id) WHERE fold <> 0),
+{_folds("f2", "left_over", 4, 43)},
+kfold AS (SELECT k.fold, CASE WHEN f1.fold = 0 THEN 'test' WHEN k.fold = f2.fold THEN 'val' ELSE 'train' END AS role
+  FROM grouped_l JOIN f1 USING (group_id) LEFT JOIN f2 USING (group_id), (SELECT range::INT AS fold FROM range(4)) k)"""
+
 HOLDOUT = f"""{_LABELLED},
 h0 AS (SELECT label, source, count(*) AS n FROM grouped_l WHERE source <> '-' GROUP BY ALL),
 h1 AS (SELECT label, count(*) AS total FROM grouped_l GROUP BY label),
@@ -102,7 +122,7 @@ held AS MATERIALIZED (SELECT label, source, n FROM h2 WHERE sources >= 2 AND c <
 CLOSURE = f"""{HOLDOUT},
 held_rows AS MATERIALIZED (SELECT doc_id, label FROM grouped_l SEMI JOIN held USING (label, source)),
 n1 AS (SELECT label, total, coalesce((SELECT count(*) FROM held_rows r WHERE r.label = h1.label), 0) AS have FROM h1),
-n2 AS (SELECT *, greatest(1, floor(0.15::DOUBLE * total)) - have AS need FROM n1),
+n2 AS (SELECT *, floor(0.15::DOUBLE * total) - have AS need FROM n1),
 n3 AS (SELECT label, least(need, greatest(1, total - have - 1)) AS take FROM n2 WHERE need > 0 AND total > have),
 top_up AS (SELECT doc_id FROM (SELECT doc_id, take, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || ':42'), doc_id) AS r
   FROM grouped_l JOIN n3 USING (label) WHERE doc_id NOT IN (SELECT doc_id FROM held_rows)) WHERE r <= take),
@@ -142,12 +162,14 @@ roc AS MATERIALIZED (SELECT cls, threshold, tp::BIGINT AS tp, fp::BIGINT AS fp,
 AREA = """steps AS (SELECT cls, fpr, tpr, lag(fpr) OVER o AS px, lag(tpr) OVER o AS py FROM roc WINDOW o AS (PARTITION BY cls ORDER BY fpr, tpr)),
 area AS (SELECT cls, sum((fpr - px) * (tpr + py) / 2) AS auc FROM steps GROUP BY cls)"""
 
-MACRO_AUC = f"""WITH {roc(False)},
+MEAN_ROC = f"""{roc(False)},
 curve AS (SELECT cls, fpr, max(tpr) AS tpr FROM roc GROUP BY ALL),
 grid AS (SELECT c.cls, g.fpr FROM (SELECT DISTINCT fpr FROM curve) g, (SELECT DISTINCT cls FROM curve) c),
 lo AS (SELECT g.cls, g.fpr, c.fpr AS x0, c.tpr AS y0 FROM grid g ASOF JOIN curve c ON g.cls = c.cls AND g.fpr >= c.fpr),
 near AS (SELECT l.*, c.fpr AS x1, c.tpr AS y1 FROM lo l ASOF JOIN curve c ON l.cls = c.cls AND l.fpr <= c.fpr),
-mean AS (SELECT fpr, avg(y0 + coalesce((fpr - x0) / nullif(x1 - x0, 0), 0.0) * (y1 - y0)) AS tpr FROM near GROUP BY fpr),
+mean AS (SELECT fpr, avg(y0 + coalesce((fpr - x0) / nullif(x1 - x0, 0), 0.0) * (y1 - y0)) AS tpr FROM near GROUP BY fpr)"""
+
+MACRO_AUC = f"""WITH {MEAN_ROC},
 st AS (SELECT fpr, tpr, lag(fpr) OVER (ORDER BY fpr, tpr) AS px, lag(tpr) OVER (ORDER BY fpr, tpr) AS py FROM mean)
 SELECT round(sum((fpr - px) * (tpr + py) / 2), 8) AS auc FROM st"""
 

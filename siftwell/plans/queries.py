@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import clusters, conflicts, hamming, history, metrics, quality, sampling, splitting
 from siftwell.plans import oracles as O
-from siftwell.sources import adapters, manifest
+from siftwell.sources import adapters, images, manifest, results
 from siftwell.sources.adapters import N_CLASSES
+from siftwell.sources.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,10 +33,10 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
-    """Filtered records with their duplicate group; ``exact``: without the bucket cap."""
+    """Filtered records with their duplicate group, written once; ``exact``: without the bucket cap."""
     rows = filtered(spark, sf_dir)
     hashes = adapters.hashed(spark, sf_dir).join(rows.select("doc_id"), "doc_id", "left_semi")
-    return rows.join((hamming.exact_groups if exact else hamming.duplicate_groups)(hashes), "doc_id")
+    return written(rows.join((hamming.exact_groups if exact else hamming.duplicate_groups)(hashes), "doc_id"), "grouped")
 
 
 def uncapped(sql: str) -> str:
@@ -81,10 +82,10 @@ def source_topk(spark, sf_dir):
     return quality.source_topk(sourced(spark, sf_dir))
 
 
-def _leak(sig: str, share: float) -> str:
+def _leak(sig: str, share: float, least: int = 100) -> str:
     return f"""WITH {O.RECORDS}, two AS (SELECT {sig} AS sig, cls, count(*) AS c FROM good GROUP BY ALL),
     r AS (SELECT sig, cls, c, sum(c) OVER (PARTITION BY sig) AS n, row_number() OVER (PARTITION BY sig ORDER BY c DESC, cls) AS k FROM two)
-    SELECT sig, n::BIGINT AS n, cls AS top_cls, c AS top_n, round(c::DOUBLE / n, 9) AS share FROM r WHERE k = 1 AND n >= 100 AND c::DOUBLE / n >= {share}::DOUBLE"""
+    SELECT sig, n::BIGINT AS n, cls AS top_cls, c AS top_n, round(c::DOUBLE / n, 9) AS share FROM r WHERE k = 1 AND n >= {least} AND c::DOUBLE / n >= {share}::DOUBLE"""
 
 
 @query(_leak("raw_sig", 0.9))
@@ -92,6 +93,12 @@ def leak_audit(spark, sf_dir):
     return quality.leak_audit(filtered(spark, sf_dir)).select(F.col("raw_sig").alias("sig"), "n", "top_cls", "top_n", F.round("share", 9).alias("share"))
 
 
+@query(_leak("raw_sig", 0.9, 5))
+def leak_audit_small(spark, sf_dir):
+    """The same from five rows on."""
+    return quality.leak_audit(filtered(spark, sf_dir), least=5).select(F.col("raw_sig").alias("sig"), "n", "top_cls", "top_n", F.round("share", 9).alias("share"))
+
+
 @query(_leak("sig_b", BUCKET_SHARE))
 def leak_audit_buckets(spark, sf_dir):
     return quality.leak_audit(filtered(spark, sf_dir), sig="sig_b", share=BUCKET_SHARE).select(F.col("sig_b").alias("sig"), "n", "top_cls", "top_n", F.round("share", 9).alias("share"))
@@ -137,9 +144,13 @@ def group_stats(spark, sf_dir):
     return hamming.group_stats(hamming.duplicate_groups(adapters.hashed(spark, sf_dir)))
 
 
-@query(f"WITH {O.HASHED} SELECT count(*) AS n, count(*) AS n_valid, 1.0::DOUBLE AS ratio FROM hashed")
+@query(f"""WITH {O.HASHED}, x AS (SELECT CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN substr(lower(printf('%016x', h)), 2) WHEN doc_id % 5 = 0 THEN upper('g' || substr(lower(printf('%016x', h)), 2)) ELSE upper(printf('%016x', h)) END AS p FROM hashed)
+SELECT count(*) AS n, count(*) FILTER (regexp_full_match(lower(p), '[0-9a-f]{{16}}')) AS n_valid, round(avg(coalesce(regexp_full_match(lower(p), '[0-9a-f]{{16}}'), false)::INT), 9) AS ratio FROM x""")
 def hash_coverage(spark, sf_dir):
-    return hamming.hash_coverage(adapters.hashed(spark, sf_dir))
+    """Some hashes are absent, too short or hold another letter; capitals count."""
+    cut = F.substring("phash", 2, 15)
+    odd = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 7 == 0, cut).when(F.col("doc_id") % 5 == 0, F.upper(F.concat(F.lit("g"), cut))).otherwise(F.upper("phash"))
+    return hamming.hash_coverage(adapters.hashed(spark, sf_dir).withColumn("phash", odd)).withColumn("ratio", F.round("ratio", 9))
 
 
 def _stats(cls: str) -> str:
@@ -164,6 +175,12 @@ def conflict_groups(spark, sf_dir):
     return conflicts.conflict_groups(grouped(spark, sf_dir), "cls7")
 
 
+@query(f"""WITH RECURSIVE {O.GROUPED}, m AS (SELECT group_id FROM grouped GROUP BY group_id HAVING count(DISTINCT cls7) > 1)
+SELECT group_id, doc_id, cls7 FROM grouped SEMI JOIN m USING (group_id)""")
+def conflict_members(spark, sf_dir):
+    return conflicts.conflict_members(grouped(spark, sf_dir), "cls7")
+
+
 @query(O.policy("report", "cls"))
 def near_dup_survivors(spark, sf_dir):
     """The flagship: quality filter, banded Hamming join, components, best row of each group."""
@@ -228,10 +245,34 @@ def stratified_sample(spark, sf_dir):
     return sampling.stratified_sample(strata(spark, sf_dir), TARGET).select("doc_id", "stratum")
 
 
-@query(f"WITH {O.sample(60)} SELECT DISTINCT stratum FROM strata ANTI JOIN sampled USING (stratum)")
+@query(f"WITH {O.sample(8)} SELECT DISTINCT stratum FROM strata ANTI JOIN sampled USING (stratum)")
 def lost_clusters(spark, sf_dir):
+    """A target below the number of strata."""
     rows = strata(spark, sf_dir)
-    return sampling.lost_groups(rows, sampling.stratified_sample(rows, 60))
+    return sampling.lost_groups(rows, sampling.stratified_sample(rows, 8))
+
+
+CLASS_TARGETS = {"en": 150, "de": 20}
+
+
+@query(f"""WITH {O.samples(CLASS_TARGETS)} SELECT doc_id, cls FROM sourced WHERE cls NOT IN ('en', 'de')
+UNION ALL SELECT doc_id, 'en' FROM sampled_en UNION ALL SELECT doc_id, 'de' FROM sampled_de""")
+def sampled_classes(spark, sf_dir):
+    rows = sourced(spark, sf_dir).withColumn("stratum", sampling.stratum("subclass", "source"))
+    return sampling.sampled_classes(rows, CLASS_TARGETS).select("doc_id", "cls")
+
+
+@query("""WITH w AS (SELECT doc_id, coalesce(n_chars, 0)::DOUBLE AS w, sum(coalesce(n_chars, 0)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::DOUBLE AS hi, sum(coalesce(n_chars, 0)) OVER ()::DOUBLE AS total FROM documents),
+d AS (SELECT range AS draw FROM range(500)), s AS (SELECT (42::BIGINT * 2654435761 % 4294967296)::DOUBLE / 4294967296 AS shift)
+SELECT draw, doc_id FROM d, s, w WHERE draw >= greatest(0, ceil(500.0::DOUBLE * (hi - w) / total - shift)) AND draw < least(500, greatest(0, ceil(500.0::DOUBLE * hi / total - shift)))""")
+def weighted_draw(spark, sf_dir):
+    """Five hundred draws with replacement, by length."""
+    return sampling.weighted_draw(adapters.read(spark, sf_dir, "documents"), 500, F.col("n_chars"))
+
+
+@query("SELECT path FROM (SELECT lang || '/' || doc_id || '.jpg' AS path FROM documents) ORDER BY md5(path || ':42'), path LIMIT 25")
+def sampled_files(spark, sf_dir):
+    return images.sampled_files(_listing(spark, sf_dir, "jpg").select("path"), 25)
 
 
 # Splits
@@ -247,6 +288,31 @@ def split_overlap(spark, sf_dir):
     return splitting.split_overlap(splitting.three_way(labelled(spark, sf_dir)))
 
 
+@query(f"WITH RECURSIVE {O.SPLIT} SELECT source, count(DISTINCT split) AS n_splits FROM split GROUP BY source HAVING count(DISTINCT split) > 1")
+def split_overlap_sources(spark, sf_dir):
+    """Sources are not kept whole here, so they are in several splits."""
+    return splitting.split_overlap(splitting.three_way(labelled(spark, sf_dir)), "source")
+
+
+@query(f"""WITH RECURSIVE {O.SPLIT}, marked AS (SELECT label, (split = 'test')::INT AS t FROM split)
+SELECT 'large_test' AS what, NULL::INT AS label, round(avg(t), 9) AS value FROM marked HAVING avg(t) > 2 * 0.05::DOUBLE
+UNION ALL SELECT 'skewed_label', label, round(avg(t), 9) FROM marked GROUP BY label HAVING avg(t) > 0.45""")
+def split_warnings(spark, sf_dir):
+    """Judged as if five per cent had been asked for."""
+    w = splitting.split_warnings(splitting.three_way(labelled(spark, sf_dir)), test=0.05)
+    return w.withColumn("value", F.round("value", 9))
+
+
+@query("SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id || ':123'), 1, 8))::UBIGINT % 100 < 20 THEN 'val' ELSE 'train' END AS split FROM documents")
+def hash_split(spark, sf_dir):
+    return adapters.read(spark, sf_dir, "documents").select("doc_id", splitting.hash_split("doc_id").alias("split"))
+
+
+@query(f"WITH RECURSIVE {O.KFOLD_TEST} SELECT fold, role, count(*) AS n FROM kfold GROUP BY ALL")
+def kfold_test_sizes(spark, sf_dir):
+    return splitting.k_folds_with_test(labelled(spark, sf_dir), 4).groupBy("fold", "role").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH RECURSIVE {O.SPLIT}, every AS (SELECT s.split, l.label FROM (VALUES ('train'), ('val'), ('test')) s(split), (SELECT range::INT AS label FROM range({N_CLASSES + 1})) l)
 SELECT split, label FROM every ANTI JOIN split USING (split, label)""")
 def missing_classes(spark, sf_dir):
@@ -347,6 +413,34 @@ def auc_macro(spark, sf_dir):
     return metrics.macro_auc(adapters.predictions(spark, sf_dir), N_CLASSES).withColumn("auc", F.round("auc", 8))
 
 
+@query(f"WITH {O.MEAN_ROC} SELECT round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM mean")
+def mean_roc(spark, sf_dir):
+    m = metrics.mean_roc(adapters.predictions(spark, sf_dir), N_CLASSES)
+    return m.select(F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
+@query(f"""WITH {O.PREDICTIONS}, b AS (SELECT id // 64 AS batch, count(*) AS n, sum((label = prediction)::INT) AS n_correct, avg(-ln(greatest(probs[label + 1], 1e-6::DOUBLE))) AS loss FROM p GROUP BY batch)
+SELECT round(sum(n_correct)::DOUBLE / sum(n), 9) AS accuracy, round(sum(loss * n) / sum(n), 9) AS loss FROM b""")
+def batch_accuracy_loss(spark, sf_dir):
+    p = adapters.predictions(spark, sf_dir)
+    loss = -F.log(F.greatest(F.element_at("probs", (F.col("label") + 1).cast("int")), F.lit(1e-6)))
+    batches = p.groupBy(F.expr("id DIV 64")).agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("prediction")).cast("int")).alias("n_correct"), F.avg(loss).alias("loss"))
+    return metrics.accuracy_and_loss(batches).select(F.round("accuracy", 9).alias("accuracy"), F.round("loss", 9).alias("loss"))
+
+
+@query(f"WITH {O.PREDICTIONS} SELECT id, label, prediction, conf FROM p")
+def joined_predictions(spark, sf_dir):
+    """Test rows and predictions, which must match one to one."""
+    p = adapters.predictions(spark, sf_dir)
+    return results.predictions_of(p.select("id", "label"), p.select("id", "prediction", "conf"))
+
+
+@query(f"SELECT printf('%-16s%12.4f%12.4f%12.4f%12d', name, precision, recall, f1, support) AS value FROM ({O.REPORT})")
+def report_lines(spark, sf_dir):
+    r = metrics.classification_report(adapters.predictions(spark, sf_dir), N_CLASSES)
+    return results.report_lines(r.select("name", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")).select("value")
+
+
 # History. The runs are generated: an epoch for each number, with values from a formula.
 
 STAGES = "SELECT CAST(id DIV 6 AS INT) + 1 AS stage, CAST(id % 6 AS INT) AS epoch, round(0.5D + 0.02D * ((id * 7) % 13), 4) AS val_accuracy FROM range(18)"
@@ -394,6 +488,53 @@ def kfold_summary(spark, sf_dir):
 # Files
 
 
+def _listing(spark, sf_dir, *endings: str) -> DataFrame:
+    """path, content and cls as of an image tree: a file for each document."""
+    ending = F.element_at(F.array(*[F.lit(e) for e in endings]), (F.col("doc_id") % len(endings) + 1).cast("int"))
+    docs = adapters.read(spark, sf_dir, "documents")
+    return docs.select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ending).alias("path"), F.col("text").alias("content"), F.col("lang").alias("cls"), "source", "doc_id")
+
+
+@query("""WITH n AS (SELECT lang AS cls, count(*) AS n FROM documents WHERE doc_id % 4 <> 3 GROUP BY lang)
+SELECT cls, n, (row_number() OVER (ORDER BY cls) - 1)::INT AS label FROM n""")
+def class_counts(spark, sf_dir):
+    """Files of three of four endings, one of them in capitals."""
+    return images.class_counts(_listing(spark, sf_dir, "jpg", "PNG", "jpeg", "gif").where("cls IS NOT NULL"))
+
+
+@query("""SELECT source, lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lang NULLS FIRST, n_chars, doc_id) AS k FROM documents) WHERE k = 1""")
+def first_by_order(spark, sf_dir):
+    """One document of each source: the first by language, length and id."""
+    docs = adapters.read(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars")
+    return manifest.first_rows(docs, "source", ["lang", "n_chars", "doc_id"])
+
+
+@query("""SELECT lang || '/' || doc_id || '.jpg' AS path, lang AS class_dir, source, '-' AS vcluster, '-' AS phash, (CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END)::INT AS label
+FROM documents WHERE lang IN ('fr', 'en', 'es')""")
+def training_frame(spark, sf_dir):
+    """A manifest without clusters and hashes, and the listed classes of it."""
+    rows = _listing(spark, sf_dir, "jpg").select(F.col("path").alias("new_path"), F.col("cls").alias("class"), F.col("source").alias("pseudo_source"))
+    return manifest.labelled(manifest.training_frame(rows), ["fr", "en", "es"])
+
+
+@query("""WITH n AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Acne-' WHEN 1 THEN 'eczema-' WHEN 2 THEN 'INFESTATIONS_BITES-' WHEN 3 THEN 'cutaneous-' WHEN 4 THEN 'scabies-' WHEN 5 THEN 'Melanoma' WHEN 6 THEN 'isic_' ELSE 'other' END || doc_id || '.jpg' AS name FROM documents)
+SELECT name, CASE WHEN lower(name) LIKE 'acne-%' THEN 'acne' WHEN lower(name) LIKE 'eczema-%' THEN 'eczema' WHEN regexp_matches(lower(name), '^(infestations_bites-|cutaneous-|scabies-)') THEN 'bites'
+WHEN regexp_matches(lower(name), '^(melanoma|isic_)') THEN 'melanoma' END AS cls FROM n""")
+def class_of_name(spark, sf_dir):
+    prefix = F.element_at(F.array(*[F.lit(x) for x in ("Acne-", "eczema-", "INFESTATIONS_BITES-", "cutaneous-", "scabies-", "Melanoma", "isic_", "other")]), (F.col("doc_id") % 8 + 1).cast("int"))
+    name = F.concat(prefix, F.col("doc_id").cast("string"), F.lit(".jpg"))
+    return adapters.read(spark, sf_dir, "documents").select(name.alias("name"), manifest.class_of_name(name).alias("cls"))
+
+
+@query("SELECT what, count(*) AS n FROM (SELECT CASE WHEN n_chars < 500 THEN 'broken' ELSE 'sound' END AS what FROM documents) GROUP BY what")
+def broken_split(spark, sf_dir):
+    """Records with an error, here the short ones, apart from the sound ones."""
+    rows = adapters.read(spark, sf_dir, "documents").withColumn("error", F.when(F.coalesce("n_chars", F.lit(500)) < 500, "too short"))
+    sound, broken = quality.split_broken(rows)
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(sound, "sound").unionByName(count(broken, "broken")).where("n > 0")
+
+
 @query(f"""WITH {O.SOURCED} SELECT cls AS class, cls || '/' || lpad((row_number() OVER (PARTITION BY cls ORDER BY doc_id::VARCHAR || '.TXT') - 1)::VARCHAR, 6, '0') || '.txt' AS new_path,
 doc_id::VARCHAR || '.TXT' AS orig_path, subclass, source AS pseudo_source, min_side::INT AS width, min_side::INT AS height, '-' AS vcluster, round(blur, 2) AS blur, '-' AS phash, 'na' AS qsig FROM sourced""")
 def manifest_projection(spark, sf_dir):

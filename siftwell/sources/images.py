@@ -41,6 +41,17 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSION
     return images.select("path", "content", F.element_at(parts, 1).alias("cls"), sub.alias("subclass"))
 
 
+def directory_frame(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """What stands in for a manifest where there is none: path, class_dir, source, vcluster and phash, the last three ``-``, by path."""
+    unknown = [F.lit("-").alias(c) for c in ("source", "vcluster", "phash")]
+    return scan(spark, root, extensions).select("path", F.col("cls").alias("class_dir"), *unknown).orderBy("path")
+
+
+def sampled_files(images: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` of the images, drawn by a hash of path and seed: the same however files are listed. All, if there are no more."""
+    return images.orderBy(F.md5(F.concat_ws(":", "path", F.lit(str(seed)))), "path").limit(n)
+
+
 def class_counts(images: DataFrame, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
     """(cls, n, label): files of each class; the label is the class's rank by name."""
     n = images.where(F.lower("path").rlike(rf"\.({'|'.join(extensions)})\z")).groupBy("cls").agg(F.count("*").alias("n"))
@@ -159,6 +170,34 @@ def profiled(images: DataFrame, decoder: Decoder = decode) -> DataFrame:
     return images.select("path", "content", "cls", "subclass").mapInPandas(run, schema)
 
 
+def grey_filled(images: DataFrame, size: int, decoder: Decoder = decode) -> DataFrame:
+    """(path, pixels, filled): ``size`` x ``size`` x 3 bytes of each image by nearest pixel; grey of 128, and ``filled``, where it can't be decoded."""
+    schema = T.StructType().add("path", T.StringType()).add("pixels", T.BinaryType()).add("filled", T.BooleanType())
+
+    def pixels(content: bytes) -> tuple[bytes, bool]:
+        try:
+            x = decoder(content)
+            rows, columns = (np.arange(size) * n // size for n in x.shape[:2])
+            return x[rows][:, columns].astype(np.uint8).tobytes(), False
+        except Exception:  # whatever a decoder raises on a broken file
+            return bytes([128]) * (3 * size * size), True
+
+    def run(batches):
+        for pdf in batches:
+            made = [pixels(bytes(c)) for c in pdf.content]
+            yield pd.DataFrame({"path": pdf.path, "pixels": [m[0] for m in made], "filled": [m[1] for m in made]})
+
+    return images.select("path", "content").mapInPandas(run, schema)
+
+
+def integrity(images: DataFrame, decoder: Decoder = decode, listed: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(the sound images, one row (n_dropped, first_paths) of what ``sound`` drops, the first ``listed`` paths by name)."""
+    good = sound(images, decoder)
+    dropped = images.select("path").join(good.select("path"), "path", "left_anti")
+    first = dropped.orderBy("path").limit(listed).agg(F.array_sort(F.collect_list("path")).alias("first_paths"))
+    return good, dropped.agg(F.count("*").alias("n_dropped")).join(first)
+
+
 def sound(images: DataFrame, decoder: Decoder = decode) -> DataFrame:
     """Integrity scan: the rows whose content can be decoded."""
 

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
+
+from siftwell.operators.running import row_numbers
 
 MANIFEST = "class string, new_path string, orig_path string, subclass string, pseudo_source string, width int, height int, vcluster string, blur double, phash string, qsig string"
 NONE = "-"
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
-    """A manifest in CSV, with or without a byte order mark. Missing values of string columns become ``-``."""
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
-    return df.na.fill(NONE)
+    """A manifest in CSV, with or without a byte order mark, whatever columns it has and in any order.
+
+    Columns that the file lacks, and missing values, are ``-`` (strings) or null (numbers). Columns beyond ``schema`` are dropped.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    found = {c.lstrip("\ufeff"): c for c in raw.columns}
+    fields = T.StructType.fromDDL(schema).fields
+    columns = [F.col(f"`{found[f.name]}`").try_cast(f.dataType) if f.name in found else F.lit(None).cast(f.dataType) for f in fields]
+    return raw.select(*[c.alias(f.name) for c, f in zip(columns, fields, strict=True)]).na.fill(NONE)
 
 
 def training_frame(manifest: DataFrame) -> DataFrame:
@@ -61,10 +69,13 @@ def class_of_name(name: Column) -> Column:
 
 
 def numbered(rows: DataFrame, cls: str = "cls", order: str = "path") -> DataFrame:
-    """Add ``new_path``: class/000000.ext, numbered by ``order`` in each class; numbers above 999999 are longer."""
-    n = F.row_number().over(Window.partitionBy(cls).orderBy(order)) - 1
+    """Add ``new_path``: class/000000.ext, numbered by ``order`` in each class; numbers above 999999 are longer.
+
+    Numbers are taken in ranges of a class, so none has to fit in a task. A null class is the class ``-``.
+    """
     dot = F.regexp_extract(basename(order), r"(\.[^.]*)\z", 1)
-    return rows.withColumn("new_path", F.concat(F.col(cls), F.lit("/"), F.format_string("%06d", n), F.lower(dot)))
+    name = F.concat(F.coalesce(F.col(cls), F.lit(NONE)), F.lit("/"), F.format_string("%06d", F.col("__sw_n") - 1), F.lower(dot))
+    return row_numbers(rows, [cls], [F.col(order)], "__sw_n").withColumn("new_path", name).drop("__sw_n")
 
 
 def manifest_projection(rows: DataFrame) -> DataFrame:
