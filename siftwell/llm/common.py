@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftwell.sources.shared import shared_dir, written
 
-__all__ = ["remembered", "shared_dir", "slices", "table", "text_of", "written"]
+__all__ = ["parts", "released", "remembered", "shared_dir", "slices", "table", "text_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterato
             lo = hi
 
 
+def parts(arrays: Iterable[pa.Array], size: int) -> Iterator[pa.Array]:
+    """The same for single arrays of strings or bytes."""
+    for batch in slices((pa.RecordBatch.from_arrays([a], names=["a"]) for a in arrays), "a", size):
+        yield batch["a"]
+
+
+def released() -> None:
+    """Give memory that is free back to the system: an executor's idle workers stay, and count."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # with the GNU library only
+    if trim:
+        trim(0)
+
+
 _HELD: dict[str, Any] = {}
 
 

@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import table, text_of
+from siftwell.llm.common import parts, released, table, text_of
 
 #: Bytes of a segment, and of its surroundings on each side that are read with it.
 SEGMENT, MARGIN = 224, 16
@@ -254,18 +254,10 @@ class Predictor:
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        lettered = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.model else []
-        lo = 0
-        while lo < len(lettered):
-            hi, held = lo, 0
-            while hi < len(lettered) and (hi == lo or held < SLICE):
-                held += len(texts[lettered[hi]])
-                hi += 1
-            own = lettered[lo:hi]
-            for i, pooled in zip(own, self.sums([texts[i] for i in own]), strict=True):
-                best, total = int(np.argmax(pooled)), pooled.sum()
-                labels[i], scores[i] = self.model.labels[best], min(1.0, round(float(pooled[best] / total), 6))
-            lo = hi
+        own = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.model else []
+        for i, pooled in zip(own, self.sums([texts[i] for i in own]) if own else (), strict=True):
+            best, total = int(np.argmax(pooled)), pooled.sum()
+            labels[i], scores[i] = self.model.labels[best], min(1.0, round(float(pooled[best] / total), 6))
         return labels, scores
 
 
@@ -295,8 +287,8 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label:
     """
     passages: list[bytes] = []
     names: list[str] = []
-    for parts, name in labelled_sample(docs, text, label, per_label, per_text, size):
-        some = [p.encode("utf-8", "replace") for p in parts if has_letter(p)]
+    for cut, name in labelled_sample(docs, text, label, per_label, per_text, size):
+        some = [p.encode("utf-8", "replace") for p in cut if has_letter(p)]
         passages += some
         names += [name] * len(some)
     labels = sorted(set(names))
@@ -317,12 +309,13 @@ def predicted(model: ByteGru | None, text: Column) -> Column:
     without a model. Equal texts get equal results.
     """
 
-    @F.pandas_udf(PREDICTED)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(PREDICTED)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pool = Predictor(model)
-        for texts in batches:
-            labels, scores = pool(texts.tolist())
-            yield pd.DataFrame({"lang_pred": labels, "score": scores})
+        for texts in parts(batches, SLICE):
+            labels, scores = pool(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=PREDICTED.names)
+        released()
 
     return predict(text)
 

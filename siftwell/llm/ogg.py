@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import table, text_of
+from siftwell.llm.common import parts, released, table, text_of
 
 # Fixed values of the format.
 CAPTURE = b"OggS"
@@ -173,9 +174,15 @@ def padded(data: bytes) -> bytes:
     return data + b" " * (max(FRAME, -(-len(data) // FRAME) * FRAME) - len(data))
 
 
-@F.pandas_udf(T.BinaryType())
-def store_media(text: pd.Series) -> pd.Series:
-    return pd.Series([multiplexed(padded((t or "").encode())) for t in text], dtype=object)
+#: Bytes of text or media that are worked on at a time.
+SLICE = 1 << 21
+
+
+@F.arrow_udf(T.BinaryType())
+def store_media(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in parts(batches, SLICE):
+        yield pa.array([multiplexed(padded((t or "").encode())) for t in texts.to_pylist()], pa.binary())
+    released()
 
 
 SAMPLES = (
@@ -187,9 +194,13 @@ SAMPLES = (
 )
 
 
-@F.pandas_udf(SAMPLES)
-def read_media(media: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([samples_of(bytes(m or b"")) for m in media], columns=["payload", "times", "feature", "error"])
+@F.arrow_udf(SAMPLES)
+def read_media(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kinds = (pa.binary(), pa.list_(pa.float64()), pa.string(), pa.string())
+    for media in parts(batches, SLICE):
+        read = [samples_of(m or b"") for m in media.to_pylist()]
+        yield pa.StructArray.from_arrays([pa.array([r[n] for r in read], k) for n, k in zip(SAMPLES.names, kinds, strict=True)], names=SAMPLES.names)
+    released()
 
 
 def with_media(df: DataFrame, text: str = "text", to: str = "media") -> DataFrame:

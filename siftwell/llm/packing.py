@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import slices, table, text_of, written
+from siftwell.llm.common import released, slices, table, text_of, written
 from siftwell.llm.tokens import SLICE, encoder
 
 PIECES = (
@@ -51,6 +51,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, *, end_id: int
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)][: len(schema)], names=schema.names)
+        released()
 
     return rows.mapInArrow(cut, schema)
 

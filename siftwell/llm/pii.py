@@ -16,13 +16,14 @@ import bisect
 import math
 import random
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import table, text_of
+from siftwell.llm.common import parts, released, table, text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("masked_email", "national_phone", "ssn", "iban", "mac", "secret")
@@ -439,6 +440,9 @@ def all_spans(text: str, field: SegmentField) -> list[tuple[str, int, int]]:
     return base + sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
+#: Bytes of text that are searched at a time.
+SLICE = 1 << 21
+FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 SPANS = T.ArrayType(T.StructType().add("kind", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType()))
 
 
@@ -450,9 +454,11 @@ def with_spans(df: DataFrame, text: str = "text", to: str = "pii", field: Segmen
     """
     model = field or fitted()
 
-    @F.pandas_udf(SPANS)
-    def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in all_spans(t, model)] for t in texts], dtype=object)
+    @F.arrow_udf(SPANS)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts(batches, SLICE):
+            yield pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in all_spans(t, model)] for t in texts.to_pylist()], FOUND)
+        released()
 
     return df.withColumn(to, find(text_of(text)))
 
@@ -464,20 +470,21 @@ def redacted(df: DataFrame, text: str = "text", field: SegmentField | None = Non
     """
     model = field or fitted()
 
-    @F.pandas_udf(T.StringType())
-    def redact(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            parts, at = [], 0
-            for kind, s, e in sorted(all_spans(t, model), key=lambda x: (x[1], -x[2])):
-                if s >= at:
-                    parts += [t[at:s], f"<{kind.upper()}>"]
-                at = max(at, e)
-            out.append("".join([*parts, t[at:]]) if parts else t)
-        return pd.Series(out, dtype=object)
+    def without(t: str | None) -> str | None:
+        if t is None:
+            return None
+        kept, at = [], 0
+        for kind, s, e in sorted(all_spans(t, model), key=lambda x: (x[1], -x[2])):
+            if s >= at:
+                kept += [t[at:s], f"<{kind.upper()}>"]
+            at = max(at, e)
+        return "".join([*kept, t[at:]])
+
+    @F.arrow_udf(T.StringType())
+    def redact(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts(batches, SLICE):
+            yield pa.array([without(t) for t in texts.to_pylist()], pa.string())
+        released()
 
     return df.withColumn(text, redact(F.col(text)))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import slices, table, text_of, written
+from siftwell.llm.common import released, slices, table, text_of, written
 
 GRAM = 64
 #: Bytes that are hashed at a time (about ten 64-bit arrays of their number); longer texts are cut, overlapping.
@@ -214,6 +214,7 @@ def _runs(named: DataFrame, length: int) -> DataFrame:
             owner, start, n, a, gram, context = runs_of(texts, length)
             columns = [batch["id"].take(pa.array(owner)), batch["th"].take(pa.array(owner)), pa.array(start, pa.int64()), pa.array(n.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(gram, pa.int64()), pa.array(context, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=RUNS.names)
+        released()
 
     return named.mapInArrow(run, RUNS)
 
@@ -239,6 +240,7 @@ def _bodies(named: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         yield ready()
                         out, held = [[] for _ in BODIES.names], 0
         yield ready()
+        released()
 
     return rows.mapInArrow(run, BODIES)
 
@@ -349,6 +351,7 @@ def without_repeats(docs: DataFrame, length: int = 400, *, keep_text: bool = Tru
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=REMOVED.names)
+        released()
 
     return rows.mapInArrow(run, REMOVED)
 

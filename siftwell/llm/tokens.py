@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import remembered, slices, table, text_of, written
+from siftwell.llm.common import released, remembered, slices, table, text_of, written
 
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 21
@@ -388,6 +388,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, files: int
                     names, parts, held = [], [], 0
         if parts:
             yield block()
+        released()
 
     return written(dealt.mapInArrow(blocks, BLOCKS), "tokens")
 
