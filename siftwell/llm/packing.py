@@ -110,8 +110,8 @@ def vector_best_fit(needs: np.ndarray, capacity: tuple[int, int, int], weights=(
     return bins, offsets
 
 
-#: Documents in a sequence, and the side of an attention tile. A sequence may cost as many tiles as one full piece.
-MAX_DOCUMENTS, TILE = 24, 256
+#: Documents in a sequence, and tiles along a full piece. A sequence may cost as many tiles as one full piece.
+MAX_DOCUMENTS, SIDES = 24, 16
 
 
 def packed(
@@ -119,7 +119,7 @@ def packed(
     max_tokens: int,
     *,
     max_documents: int = MAX_DOCUMENTS,
-    tile: int = TILE,
+    tile: int | None = None,
     max_attention: int | None = None,
     weights=(1.0, 0.05, 0.25),
     rule: str = "norm",
@@ -131,6 +131,7 @@ def packed(
     A sequence holds at most ``max_tokens`` tokens, ``max_documents`` pieces and
     ``max_attention`` attention tiles (by default those of one piece of ``max_tokens``, below which such a
     piece fits nowhere; many short pieces beside a long one reach it, as a begun tile counts whole).
+    A tile's side is a sixteenth of ``max_tokens`` unless stated.
 
     Pieces are dealt at random to groups of about ``pieces_per_group``, each packed by
     itself: a group wastes less than one sequence, and neither a group nor a task grows
@@ -138,7 +139,8 @@ def packed(
     sequence_id and offset replaced. Repeated rows are pieces of their own; an empty
     table packs into nothing. A piece over a capacity stops the job.
     """
-    capacity = (max_tokens, max_documents, max_attention or int(tiles(np.array(max_tokens), tile)))
+    side = tile or max(1, max_tokens // SIDES)
+    capacity = (max_tokens, max_documents, max_attention or int(tiles(np.array(max_tokens), side)))
     rest = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     src = pieces.select(*[F.col(f"`{c}`") for c in rest])
     groups = max(1, -(-src.count() // pieces_per_group))
@@ -148,7 +150,7 @@ def packed(
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         own = t.drop_columns(["__sw_group"])
         length = own["length"].to_numpy()
-        bins, offsets = vector_best_fit(np.stack([length, np.ones_like(length), tiles(length, tile)], axis=1), capacity, weights, rule)
+        bins, offsets = vector_best_fit(np.stack([length, np.ones_like(length), tiles(length, side)], axis=1), capacity, weights, rule)
         return own.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
     return dealt.groupBy("__sw_group").applyInArrow(pack, schema)
