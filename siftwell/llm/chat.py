@@ -89,8 +89,11 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> list[str]:
 
 
 def _holds(path: str) -> Column:
-    spot = "$." + path.replace("[]", "[0]")
-    return F.expr(f"try_variant_get(v, '{spot}', 'variant') IS NOT NULL")
+    """Whether ``v`` has the path; in a list, whether any element has it."""
+    if "[]." not in path:
+        return F.expr(f"try_variant_get(v, '$.{path}', 'variant') IS NOT NULL")
+    field, rest = path.split("[].", 1)
+    return F.expr(f"coalesce(exists(try_variant_get(v, '$.{field}', 'array<variant>'), m -> try_variant_get(m, '$.{rest}', 'variant') IS NOT NULL), false)")
 
 
 def record_fingerprint() -> Column:
@@ -175,8 +178,9 @@ def _escape_role(role: Column) -> Column:
 
 
 def _unescape_role(role: Column) -> Column:
-    plain = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # Between pairs of backslashes, each of which stands for one, no backslash is left but those of line breaks.
+    between = F.transform(F.split(unescape(role), r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return F.array_join(between, "\\")
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
