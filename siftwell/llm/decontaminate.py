@@ -18,6 +18,8 @@ WINDOW = 5
 SIMILARITY = 0.8
 #: A window says something only with this many words that are no placeholders.
 LITERALS = 2
+#: The scheme of items without a window.
+WHOLE = 2
 #: An item's figures, and what they go with.
 SIZES = ["n_windows", "n_valued", "length"]
 ITEM = ["item_id", "scheme"]
@@ -105,6 +107,11 @@ def _hashes(tokens: str) -> Column:
     return F.transform(F.slice(rows, 1, F.greatest(size - WINDOW + 1, F.lit(0))), lambda w: F.xxhash64(w))
 
 
+def _whole(template: Column) -> Column:
+    """The hash of a whole text's template."""
+    return F.xxhash64(F.array_join(template, " "))
+
+
 def _item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, scheme, q (place), h, template, valued: the windows of items that hold enough literal words."""
     b = _both(_with_tokens(benchmark, "item_id", "$2"), "item_id")
@@ -143,7 +150,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = S
     length from there, so words may be put in or left out. Each comes first by the
     stated rules, then with names that open sentences as slots too (of document and item).
 
-    Null and empty texts, and items of fewer words than a window, match nothing.
+    Null and empty texts match nothing. An item without a window (too few words, or too few that are
+    literal) is found only where a document is that item, token for token and with its values.
     Repeated rows of one doc_id count as one document; ties all are reported; other
     columns don't count. Empty tables give an empty result.
     """
@@ -151,14 +159,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = S
     sizes = items.groupBy(*ITEM).agg(
         F.countDistinct("template").cast("long").alias("n_windows"), F.countDistinct("valued").alias("n_valued"), (F.max("q") + WINDOW - 1).alias("length")
     )
-    keys = items.select(*ITEM, "h").distinct()
+    # Items without a window are known as a whole: scheme WHOLE, one window of all tokens.
+    short = _with_tokens(benchmark, "item_id", "$2").where("size(v0) > 0").select("item_id", F.lit(WHOLE).alias("scheme"), "v0").distinct()
+    short = short.join(items.select("item_id").distinct(), "item_id", "left_anti")
+    one = F.lit(1).cast("long")
+    sizes = sizes.unionByName(short.select(*ITEM, one.alias("n_windows"), one.alias("n_valued"), F.size("v0").alias("length")).distinct())
+    keys = items.select(*ITEM, "h").union(short.select(*ITEM, _whole(without_values(F.col("v0"))))).distinct()
     # A benchmark is a stated set of questions, far smaller than the corpus; its size is checked all the same.
     small = keys.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     hinted = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
     tokens = _with_tokens(docs, "doc_id", "")
     found = (
-        tokens.select("doc_id", F.explode(F.array_union(_hashes("v0"), _hashes("v1"))).alias("h"))
+        tokens.select("doc_id", F.explode(F.array_union(F.array_append(_hashes("v0"), _whole(F.col("v0"))), _hashes("v1"))).alias("h"))
         .join(hinted(keys), "h")
         .groupBy("doc_id", *ITEM)
         .agg(F.countDistinct("h").alias("n"))
@@ -193,7 +206,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = S
     chosen = sure.select("doc_id", "item_id", "way", *values).union(best.select("doc_id", "item_id", "way", *values))
     chosen = chosen.groupBy("doc_id", "item_id").agg(F.min(F.struct("way", *values)).alias("m")).select("doc_id", "item_id", "m.*")
     kind = F.when(F.col("n_slots") == F.col("same"), "exact").otherwise("template")
-    return chosen.select("doc_id", "item_id", *values[:-1], kind.alias("kind"))
+    equal = _with_tokens(texts, "doc_id", "$2").select("doc_id", "v0").join(short, "v0").join(hits.select("doc_id", *ITEM), ["doc_id", *ITEM], "left_semi")
+    slots = F.size(F.filter("v0", lambda t: t.startswith("<"))).cast("long")
+    equal = equal.select("doc_id", "item_id", one.alias("n_windows"), one.alias("n_found"), slots.alias("n_slots"), slots.alias("n_consistent"), F.lit("exact").alias("kind")).distinct()
+    return chosen.select("doc_id", "item_id", *values[:-1], kind.alias("kind")).unionByName(equal)
 
 
 def _occurrences(placed: DataFrame) -> DataFrame:

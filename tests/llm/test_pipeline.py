@@ -1,41 +1,119 @@
-"""The pipeline on a small corpus, stage by stage."""
+"""The pipeline on small corpora, each stage against a plain version of it."""
 
 import os
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwell.llm import pii, registry
+from siftwell.llm import decontaminate, langid, pii, registry
+from test_dedup import components
+from test_training_data import library
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = docs.limit(3).select(F.col("doc_id") + 10**6, F.lit(None).cast("string").alias("text"), "lang", "source", "n_chars").toDF(*docs.columns)
-    now = docs.unionByName(odd)
+def replaced(text, spans):
+    """The text with every position that a span covers gone, and each span's kind where a run of them begins."""
+    out, at = "", 0
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            out += text[at:s] + f"<{kind.upper()}>"
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_each_stage_against_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(COLUMNS)
+    odd = docs.limit(3).select(F.col("doc_id") + 10**6, F.lit(None).cast("string"), "lang", "source", "n_chars").toDF(*COLUMNS)
+    again = docs.limit(4).select((F.col("doc_id") + 2 * 10**6).alias("doc_id"), *COLUMNS[1:])
+    now = docs.unionByName(odd).unionByName(again)
+    stages = dict(corpus_pipeline.STAGES)
+    text_of = lambda df: {r.doc_id: r.text for r in df.collect()}
+    was = text_of(now)
+
+    kept = stages["language_id"](spark, now, SF)
+    assert kept.columns == COLUMNS
+    model = langid.fit(now.where(~langid.held_out(F.col("doc_id"))))
+    names = sorted(was)
+    labels, scores = langid.Predictor(model)([was[i] for i in names])
+    least = 0.25 + 0.75 * corpus_pipeline.LEAST_MARGIN
+    assert len(model.labels) == 4
+    assert set(text_of(kept)) == {i for i, name, s in zip(names, labels, scores, strict=True) if name != "und" and s >= least}
+    assert kept.where("lang IS NULL").count() == 0
+    now = spark.createDataFrame(kept.collect(), kept.schema)
+
+    was = text_of(now)
+    kept = stages["near_dedup"](spark, now, SF)
+    names = sorted(was)
+    label, _ = components([was[i] for i in names], 5, 80)
+    assert kept.columns == COLUMNS and set(text_of(kept)) == {names[k] for k, own in enumerate(label) if own == k}
+    now = spark.createDataFrame(kept.collect(), kept.schema)
+
+    was = text_of(now)
+    kept = stages["benchmark_decontamination"](spark, now, SF)
+    found = {tuple(r) for r in spark.sql("SELECT 1").limit(0).collect()}
+    windows = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = {r.item_id: r.v for r in bench.select("item_id", decontaminate.valued_tokens(F.col("text")).alias("v")).collect()}
+    held = {r.doc_id: windows(r.v) for r in now.select("doc_id", decontaminate.valued_tokens(F.col("text")).alias("v")).collect()}
+    for i, own in held.items():  # whole items, word for word, are found at the least
+        if any(len(v) >= 9 and windows(v) <= own for v in item.values()):
+            found.add(i)
+    gone = was.keys() - text_of(kept).keys()
+    assert kept.columns == COLUMNS and found <= gone
+    plain = lambda t: " ".join(x.split("=")[0] for x in t)
+    near = {i for i, own in held.items() if any(len({plain(w) for w in windows(v)} & {plain(w) for w in own}) >= 0.5 * len({plain(w) for w in windows(v)}) for v in item.values() if len(v) >= 5)}
+    assert gone <= near | {i for i in was if len((was[i] or "").split()) < 5}  # and clean ones stay
+    now = spark.createDataFrame(kept.collect(), kept.schema)
+
+    was = text_of(now)
+    kept = stages["personal_data"](spark, now, SF)
+    field = pii.fitted()
+    after = {r.doc_id: (r.text, r.n_chars) for r in kept.collect()}
+    assert kept.columns == COLUMNS
+    assert after == {i: (replaced(t, pii.all_spans(t, field)), len(replaced(t, pii.all_spans(t, field)))) for i, t in was.items()}
+    now = spark.createDataFrame(kept.collect(), kept.schema)
+
+    was, t = text_of(now), library("word_bpe_49k.json")
+    pieces = stages["best_fit_packing"](spark, now, SF).collect()
+    ids = {}
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.piece)):
+        assert zlib.crc32(r.ids) == r.ids_crc32
+        ids[r.doc_id] = ids.get(r.doc_id, b"") + bytes(r.ids)
+    assert ids == {i: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, x in was.items()}
+    bins = {}
+    for r in pieces:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        assert [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1]]
+        assert sum(n for _, n in own) <= 2048
+
+
+@pytest.mark.parametrize("case", ["empty", "repeated", "clashing"])
+def test_odd_tables(spark, case):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(COLUMNS).limit(40)
+    if case == "empty":
+        docs = docs.limit(0)
+    elif case == "repeated":
+        docs = docs.unionByName(docs).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    else:
+        docs = docs.withColumns({c: F.lit(7) for c in ("n", "th", "rep", "piece", "label", "scheme", "h", "pii", "bucket")})
     columns = docs.columns
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    before = {r.doc_id for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
-        after = stage(spark, now, SF)
-        if name == "best_fit_packing":
-            ends = after.groupBy("sequence_id").agg(F.max(F.col("offset") + F.col("length")).alias("end"), F.sum("length").alias("total"))
-            assert ends.where("end <> total OR end > 2048").count() == 0
-            assert after.select("doc_id").distinct().count() == now.count()
-            break
-        assert after.columns == columns
-        kept, before = {r.doc_id for r in after.select("doc_id").collect()}, {r.doc_id: r.text for r in now.select("doc_id", "text").collect()}
-        assert kept <= before.keys()
-        if name == "language_id":
-            assert not any(i >= 10**6 for i in kept)
-            assert all(any(map(str.isalpha, before[i] or "")) is False or i in kept for i in before)
-        if name == "near_dedup":
-            assert len({before[i] for i in kept if (before[i] or "").strip()}) == sum(bool((before[i] or "").strip()) for i in kept)
-        if name == "personal_data":
-            assert kept == before.keys()
-            assert not any(pii.base_spans(r.text or "") for r in after.select("text").collect())
-        now = spark.createDataFrame(after.collect(), docs.schema)
+        docs = stage(spark, docs, SF)
+        if name != "best_fit_packing":
+            assert docs.columns == columns
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+    left = docs.collect()
+    assert {r.doc_id for r in left} <= before
+    assert bool(left) == (case != "empty")
 
 
 def test_registry_names():

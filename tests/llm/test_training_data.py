@@ -140,6 +140,16 @@ def test_layouts_and_reversible_escapes(spark):
         assert not any(c in bare for c in chat.CONTROL_STRINGS)
 
 
+def test_roles_with_any_character_and_lists_of_uneven_elements(spark):
+    roles = ["us\x00er\\", "a\\nb", "a\nb\\\n", "\\\\", "<|end|>\n", ""]
+    turns = spark.createDataFrame([(i, "t", [(r, "x"), ("assistant", r)]) for i, r in enumerate(roles)], f"conv_id long, layout string, turns {chat.TURNS}")
+    back, _ = chat.read_back()
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.formatted(turns).select("conv_id", back.alias("turns")).collect()}
+    assert got == {i: [(r, "x"), ("assistant", r)] for i, r in enumerate(roles)}
+    records = spark.createDataFrame([(1, '{"messages":[{"content":"a"},{"role":"user","content":"b"}]}')], "id long, j string")
+    assert chat.turns_of_records(records, "id", "j").first().layout == "messages"
+
+
 def test_turn_tables(spark):
     rows = [(1, 1, "assistant", "b", 5), (1, 0, "user", None, 5), (None, 0, None, "x", 5), (1, 1, "assistant", "b", 5)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
@@ -206,7 +216,7 @@ def test_token_files_read_back_in_order(make, awkward):
 
 def test_packing_keeps_all_pieces_within_capacity(make, awkward):
     pieces = packing.cut_pieces(make(awkward * 3), "word_bpe_49k.json", 128)
-    for options in ({}, {"max_documents": 3}, {"max_attention": 128 * 128 // 2 + 8192, "rule": "dot"}):
+    for options in ({}, {"max_documents": 3}, {"tile": 32, "max_attention": 14, "rule": "dot"}):
         got = packing.packed(pieces, 128, **options).collect()
         assert len(got) == pieces.count()
         bins = {}
@@ -218,13 +228,61 @@ def test_packing_keeps_all_pieces_within_capacity(make, awkward):
             for offset, length in sorted(own):
                 assert offset == at
                 at += length
-            assert at <= 128 and len(own) <= options.get("max_documents", 128)
-            assert sum(n * n for _, n in own) <= options.get("max_attention", 128**2)
+            assert at <= 128 and len(own) <= options.get("max_documents", packing.MAX_DOCUMENTS)
+            assert packing.tiles(np.array([n for _, n in own]), options.get("tile", 8)).sum() <= options.get("max_attention", 136)
     total = sum(r.length for r in got)
     assert len({r.sequence_id for r in packing.packed(pieces, 128).collect()}) <= 1.1 * total / 128 + 1
     assert packing.packed(pieces.limit(0), 128).count() == 0
 
 
+def fewest(needs, capacity):
+    """The least number of bins, by trying all."""
+    best = [len(needs)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(needs):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            left = tuple(x - y for x, y in zip(bins[k], needs[i], strict=True))
+            if min(left) >= 0:
+                place(i + 1, [*bins[:k], left, *bins[k + 1 :]])
+        place(i + 1, [*bins, tuple(x - y for x, y in zip(capacity, needs[i], strict=True))])
+
+    place(0, [])
+    return best[0]
+
+
+def test_vector_best_fit_against_all_packings_and_each_capacity_counts():
+    rng = np.random.default_rng(6)
+    bins = lambda n, c: int(packing.vector_best_fit(n, c)[0].max()) + 1
+    for _ in range(60):
+        lengths = rng.integers(1, 33, rng.integers(1, 9))
+        needs = np.stack([lengths, np.ones_like(lengths), packing.tiles(lengths, 4)], axis=1)
+        capacity = (32, 3, int(packing.tiles(np.array(32), 4)))
+        assert fewest(needs.tolist(), capacity) <= bins(needs, capacity) <= fewest(needs.tolist(), capacity) + 1
+    lengths = np.array([1700] * 20 + [30] * 300 + [5] * 900)
+    needs = np.stack([lengths, np.ones_like(lengths), packing.tiles(lengths, 128)], axis=1)
+    full, none = int(packing.tiles(np.array(2048), 128)), 10**9
+    free = bins(needs, (2048, none, none))
+    by_documents, by_tiles = bins(needs, (2048, 24, none)), bins(needs, (2048, none, full))
+    assert free < by_documents and free < by_tiles  # each binds by itself
+    assert bins(needs, (2048, 24, full)) >= max(by_documents, by_tiles)
+    with pytest.raises(ValueError):
+        bins(needs, (1000, none, none))
+
+
+def test_ties_repeated_and_null_ids_are_pieces_of_their_own(spark):
+    rows = [(i % 2 or None, "same words here", 1) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id int")
+    pieces = packing.cut_pieces(docs, "word_bpe_49k.json", 16)
+    got = packing.packed(pieces, 16).collect()
+    assert len(got) == 50 and len({r.sequence_id for r in got}) == 13
+    assert len({(r.sequence_id, r.offset) for r in got}) == 50
+
+
 # Personal data
 
 # The base patterns as they are stated.
@@ -326,6 +384,9 @@ def test_templates_catch_other_values_but_not_other_questions(spark, make, awkwa
     bench = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "too short", 0)], "item_id long, text string, doc_id int")
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(make(texts), bench).collect()}
     assert got == {(0, 1): "exact", (1, 1): "template"}
+    few = spark.createDataFrame([(1, "Who is Ada?"), (2, "1 2 3"), (3, "  "), (4, "Who is Ada?")], "item_id long, text string")
+    short = ["who is Ada", "Who is Ada? He asked.", "1 2 3", "1 2 4", None, "", "Who is Eva?"]
+    assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(make(short), few).collect()} == {(0, 1, "exact"), (0, 4, "exact"), (2, 2, "exact")}
     assert decontaminate.contaminated(make(texts).limit(0), bench).count() == 0
     assert decontaminate.contaminated(make(texts), bench.limit(0)).count() == 0
 
