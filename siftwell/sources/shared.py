@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (one machine, as in tests) a local
-    temporary folder takes its place.
+    Only where the setting is absent on one machine (a local master, as in tests) a
+    temporary folder takes its place; on a cluster that is an error, as executors would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
+    if not found and not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
         spark.sparkContext.setCheckpointDir(found)
