@@ -113,9 +113,12 @@ def exact_groups(hashes: DataFrame, threshold: int = THRESHOLD, split: int = SPL
 def duplicate_groups(hashes: DataFrame, threshold: int = THRESHOLD, cap: int | None = CAP, whole: bool = False, exact_first: bool = False, id_col: str = "doc_id") -> DataFrame:
     """(id, group_id): the least id of the group; links are transitive.
 
-    Rows with an invalid hash are groups of their own. ``exact_first`` joins equal hashes
-    before the bands, so a bucket of many equal hashes is no longer capped.
+    Rows with an invalid or null hash are groups of their own. ``exact_first`` joins equal hashes
+    before the bands, so a bucket of many equal hashes is no longer capped. Without a cap
+    (None) the groups are those of ``exact_groups``, which never compares all pairs of a large bucket.
     """
+    if cap is None:
+        return exact_groups(hashes, threshold, id_col=id_col)
     ids = hashes.select(F.col(id_col).alias("id"), F.lower("phash").alias("phash"))
     if exact_first:
         first = ids.where(valid_hash(F.col("phash"))).groupBy("phash").agg(F.min("id").alias("rep"))

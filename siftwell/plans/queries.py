@@ -128,6 +128,12 @@ def near_dup_edges(spark, sf_dir):
     return hamming.edges(adapters.hashed(spark, sf_dir))
 
 
+@query(f"WITH {O.edges('rec', cap=20)} SELECT a, b, hamming FROM edges")
+def near_dup_edges_capped(spark, sf_dir):
+    """A cap of twenty rows, which many buckets reach even in small tables."""
+    return hamming.edges(adapters.hashed(spark, sf_dir), cap=20)
+
+
 @query(f"WITH {O.edges('rec', cap=700, whole=True)} SELECT a, b, hamming FROM edges")
 def near_dup_edges_whole(spark, sf_dir):
     return hamming.edges(adapters.hashed(spark, sf_dir), cap=700, whole=True)
