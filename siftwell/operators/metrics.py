@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,6 +106,12 @@ def confidence_by_class(p: DataFrame) -> DataFrame:
     return true.join(said, "label", "left")
 
 
+def softmax(scores: Column) -> Column:
+    """Probabilities of an array of scores; the largest score is taken off first, so none overflows. Null stays null."""
+    e = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+
 def _scored(p: DataFrame, k: int, micro: bool) -> DataFrame:
     """(cls, score, pos): a row for each class and prediction; micro: one class of all."""
     cls = F.lit(-1) if micro else F.col("i")

@@ -150,3 +150,8 @@ def hash_split(id_col: str, percent: int = 20, seed: int = 123) -> Column:
     """``val`` for about ``percent`` of ids, else ``train``: by a hash of id and seed, stable under any partitioning. A null id is like any other."""
     eight = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
     return F.when(eight % 100 < percent, "val").otherwise("train")
+
+
+def one_hot(label: Column, k: int) -> Column:
+    """An array of ``k`` numbers, 1 at the label's place and else 0; all 0 for a null label or one outside of it."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce((i == label).cast("int"), F.lit(0)))

@@ -90,11 +90,11 @@ def main(argv: list[str] | None = None) -> None:
     if not args.apply:
         for name in ("rejects", "survivors", "classes", "sources", "duplicates", "leaks"):
             print(name)
-            tables[name].show(truncate=False)
+            tables[name].show(8 if name == "leaks" else 1000, truncate=False)
         return
     copies = seen.select("path", "content").join(rows.select("path", "new_path"), "path")
     manifest.copied(copies, args.out.removeprefix("file://")).write.format("noop").mode("overwrite").save()
-    manifest.write_csv(manifest.manifest_projection(rows), f"{args.out}/manifest.csv")
+    manifest.write_csv(manifest.manifest_projection(rows).orderBy("class", "new_path"), f"{args.out}/manifest.csv")
     for name, t in tables.items():
         manifest.write_json(t, f"{args.out}/report/{name}")
 

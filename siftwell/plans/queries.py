@@ -301,12 +301,12 @@ def split_overlap_sources(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {O.SPLIT}, marked AS (SELECT label, (split = 'test')::INT AS t FROM split)
-SELECT 'large_test' AS what, NULL::INT AS label, round(avg(t), 9) AS value FROM marked HAVING avg(t) > 2 * 0.05::DOUBLE
-UNION ALL SELECT 'skewed_label', label, round(avg(t), 9) FROM marked GROUP BY label HAVING avg(t) > 0.45""")
+SELECT 'large_test' AS what, 'all' AS label, round(avg(t), 9) AS value FROM marked HAVING avg(t) > 2 * 0.05::DOUBLE
+UNION ALL SELECT 'skewed_label', label::VARCHAR, round(avg(t), 9) FROM marked GROUP BY label HAVING avg(t) > 0.45""")
 def split_warnings(spark, sf_dir):
     """Judged as if five per cent had been asked for."""
     w = splitting.split_warnings(splitting.three_way(labelled(spark, sf_dir)), test=0.05)
-    return w.withColumn("value", F.round("value", 9))
+    return w.select("what", F.coalesce(F.col("label").cast("string"), F.lit("all")).alias("label"), F.round("value", 9).alias("value"))
 
 
 @query("SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id || ':123'), 1, 8))::UBIGINT % 100 < 20 THEN 'val' ELSE 'train' END AS split FROM documents")
@@ -314,6 +314,16 @@ def hash_split(spark, sf_dir):
     return adapters.read(spark, sf_dir, "documents").select("doc_id", splitting.hash_split("doc_id").alias("split"))
 
 
+@query("""WITH d AS (SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id || ':123'), 1, 8))::UBIGINT % 100 < 20 THEN 'val' ELSE 'train' END AS split,
+(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 END)::INT AS label FROM documents WHERE lang IN ('de', 'en', 'es', 'fr'))
+SELECT doc_id, split, label, (label = 0)::INT || ',' || (label = 1)::INT || ',' || (label = 2)::INT || ',' || (label = 3)::INT AS one_hot FROM d""")
+def labelled_split(spark, sf_dir):
+    """Eighty to twenty, with one-hot labels."""
+    rows = manifest.labelled(adapters.read(spark, sf_dir, "documents").withColumnRenamed("lang", "class_dir"), ["de", "en", "es", "fr"])
+    hot = F.array_join(splitting.one_hot(F.col("label"), 4).cast("array<string>"), ",")
+    return rows.select("doc_id", splitting.hash_split("doc_id").alias("split"), "label", hot.alias("one_hot"))
+
+
 @query(f"WITH RECURSIVE {O.KFOLD_TEST} SELECT fold, role, count(*) AS n FROM kfold GROUP BY ALL")
 def kfold_test_sizes(spark, sf_dir):
     return splitting.k_folds_with_test(labelled(spark, sf_dir), 4).groupBy("fold", "role").agg(F.count("*").alias("n"))
@@ -434,6 +444,16 @@ def batch_accuracy_loss(spark, sf_dir):
     return metrics.accuracy_and_loss(batches).select(F.round("accuracy", 9).alias("accuracy"), F.round("loss", 9).alias("loss"))
 
 
+@query("""WITH e AS (SELECT vec_id AS id, list_transform(list_slice(embedding, 1, 5), lambda x: exp(x::DOUBLE)) AS e FROM embeddings),
+p AS (SELECT id, list_transform(e, lambda x: x / list_aggregate(e, 'sum')) AS p FROM e)
+SELECT id, round(p[1], 9) AS first, round(list_max(p), 9) AS best, round(list_aggregate(p, 'sum'), 9) AS total FROM p""")
+def softmax(spark, sf_dir):
+    p = metrics.softmax(F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double")))
+    rows = adapters.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), p.alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("id", F.round(F.col("p")[0], 9).alias("first"), F.round(F.array_max("p"), 9).alias("best"), F.round(total, 9).alias("total"))
+
+
 @query(f"WITH {O.PREDICTIONS} SELECT id, label, prediction, conf FROM p")
 def joined_predictions(spark, sf_dir):
     """Test rows and predictions, which must match one to one."""
