@@ -317,7 +317,8 @@ def predicted(model: ByteGru | None, text: Column) -> Column:
             yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=PREDICTED.names)
         released()
 
-    return predict(text)
+    # Else a filter on the result and its use would each run the network.
+    return predict.asNondeterministic()(text)
 
 
 def held_out(doc_id: Column) -> Column:
