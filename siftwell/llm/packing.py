@@ -123,7 +123,7 @@ def packed(
     max_attention: int | None = None,
     weights=(1.0, 0.05, 0.25),
     rule: str = "norm",
-    pieces_per_group: int = 30_000,
+    pieces_per_group: int = 10_000,
     seed: int = 5,
 ) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` (place of the piece in its sequence) to ``pieces``.
