@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwell.operators.running import join_null_safe, row_numbers, running_sums
+from siftwell.sources.shared import written
 
 POOL = 0.7
 
@@ -45,13 +46,15 @@ def stratified_sample(rows: DataFrame, target: int, key: str = "stratum", id_col
     """Exactly ``target`` rows (all, if there are no more): from each stratum its quota of the sharpest ``pool``.
 
     Ranks are taken in ranges of a stratum, so none has to fit in a task. Null is a stratum; rows of
-    equal sharpness go by id, a null sharpness is the least. Ids must not repeat.
+    equal sharpness go by id, a null sharpness is the least. Ids must not repeat or be null.
     """
-    quotas = strata_quota(rows, target, key).select(key, F.col("n").alias("__sw_n"), F.col("quota").alias("__sw_quota"))
-    ranked = join_null_safe(row_numbers(rows, [key], [F.desc("blur"), F.col(id_col)], "__sw_sharp"), quotas, [key])
-    inside = ranked.where(F.col("__sw_sharp") <= F.greatest("__sw_quota", F.floor(F.col("__sw_n") * F.lit(float(pool)))))
-    drawn = row_numbers(inside, [key], [draw_key(id_col, seed), F.col(id_col)], "__sw_drawn")
-    return drawn.where("__sw_drawn <= __sw_quota").drop("__sw_sharp", "__sw_drawn", "__sw_n", "__sw_quota")
+    # What ranks need, written once: dealing by ranges looks at its input twice, and the rows may be dear to make.
+    narrow = written(rows.select(F.col(id_col).alias("i"), F.col(key).alias("k"), F.col("blur").alias("b")), "narrow")
+    quotas = strata_quota(narrow, target, "k")
+    ranked = join_null_safe(row_numbers(narrow, ["k"], [F.desc("b"), F.col("i")], "sharp"), quotas, ["k"])
+    inside = ranked.where(F.col("sharp") <= F.greatest("quota", F.floor(F.col("n") * F.lit(float(pool))))).select("i", "k", "quota")
+    drawn = row_numbers(inside, ["k"], [draw_key("i", seed), F.col("i")], "drawn").where("drawn <= quota")
+    return rows.join(drawn.select(F.col("i").alias(id_col)), id_col, "left_semi")
 
 
 def sampled_classes(rows: DataFrame, targets: dict[str, int], cls: str = "cls", **options) -> DataFrame:
