@@ -110,7 +110,7 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def units(self, data: bytes, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(starts, ends, after a space, of letters) of the units of ``data``, texts that begin at ``firsts``, a space before each."""
+        """(starts, ends, after a space, of letters) of the units of ``data``, texts that begin at ``firsts``, a space before each; and which bytes are in pieces of another form."""
         buf = np.frombuffer(data, np.uint8)
         kind = self.classes[buf]
         # Neighbours: a stop follows a letter and ends a line or a piece; a break follows a stop; what is else makes its piece one unit.
@@ -135,7 +135,10 @@ class Encoder:
         spaced = opens.copy()
         spaced[np.searchsorted(starts, firsts)] = False
         piece = np.searchsorted(begins, starts, side="right") - 1
-        return starts, ends, spaced & self.spaced, (kind[starts] == _LETTER) & ~whole[piece]
+        odd = np.zeros(len(buf), bool)
+        if whole.any():
+            odd[1:] = np.repeat(whole, np.diff(begins, append=len(buf) + 1))[: len(buf) - 1]
+        return starts, ends, spaced & self.spaced, (kind[starts] == _LETTER) & ~whole[piece], odd
 
     def by_model(self, words: list[bytes], at_once: int = 1000) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many for each) of words, joined for the library and told apart by the lengths of their tokens."""
@@ -166,10 +169,12 @@ class Encoder:
         raw = [t.encode() for t in texts]
         sizes = np.array([len(r) for r in raw])
         data = b" " + b" ".join(raw)
-        if not self.spaced:
-            data = data.lower()
         firsts = np.cumsum(sizes + 1) - sizes
-        starts, ends, spaced, letters = self.units(data, firsts)
+        starts, ends, spaced, letters, odd = self.units(data, firsts)
+        if not self.spaced:
+            # The library composes before it lower-cases, so what may hold marks that compose goes to it as it stands.
+            buf = np.frombuffer(data, np.uint8)
+            data = np.where((buf >= 65) & (buf <= 90) & ~odd, buf | 32, buf).astype(np.uint8).tobytes()
         size = ends - starts
         eight = np.ndarray((len(data) + 17,), "<u8", data + bytes(24), strides=(1,))  # the eight bytes from each place on
         key = [eight[starts + 8 * i] & _FIRST[np.clip(size - 8 * i, 0, 8)] for i in range(3)]

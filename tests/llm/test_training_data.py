@@ -183,6 +183,17 @@ def test_ids_are_the_librarys(awkward, name):
         assert code.many(some) == expected == code.many(some)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_every_letter_before_every_mark(name):
+    """Composition comes before lower case: a few letters compose with a mark that their capitals do not."""
+    t, code = library(name), tokens.encoder(name)
+    letters = [chr(c) for c in range(65, 0x250) if chr(c).isalpha()]
+    texts = [f"a{c}{chr(m)}b {c}{chr(m)}. x" for c in letters for m in [*range(0x300, 0x370), 0x1ABF, 0x20D0]]
+    for lo in range(0, len(texts), 5000):
+        some = texts[lo : lo + 5000]
+        assert code.many(some) == [np.array([*e.ids, 0], "<u4").tobytes() for e in t.encode_batch(some, add_special_tokens=False)]
+
+
 def test_units_that_share_a_place_take_turns(monkeypatch):
     monkeypatch.setattr(tokens, "PLACES", 4)
     code, t = tokens.Encoder("byte_bpe_50k.json", 0, True), library("byte_bpe_50k.json")
