@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from siftwell.llm.common import released, remembered, slices, table, text_of, written
 
 #: Bytes of text that are encoded at a time.
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: A worker's table of known units: places, longest unit in bytes, most ids of one.
 PLACES, LONGEST, MOST = 1 << 20, 23, 10
 
@@ -414,13 +414,16 @@ def read_blocks(blocks: DataFrame, per_document, column: str) -> DataFrame:
         out = out.add(name, T.LongType())
 
     def rows(batches):
-        for batch in batches:
+        remembered("no units", dict)  # what the writer remembers is of no use here
+        released()
+        for batch in slices(batches, "block", 8 * SLICE):
             for file, start, doc_ids, block in zip(*(batch[c].to_pylist() for c in ("file", "start_in_file", "doc_ids", "block")), strict=True):
                 ids, ends = unpack(block)
                 los = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 values = [per_document(ids[lo:hi]) for lo, hi in zip(los.tolist(), ends.tolist(), strict=True)]
                 columns = [pa.array(doc_ids, pa.int64()), pa.array(before[file] + start + los), pa.array(ends.astype(np.int64) - los), pa.array(values, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
+        released()
 
     return blocks.select("file", "start_in_file", "doc_ids", "block").mapInArrow(rows, out)
 
