@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("langid", "sharding", "chat", "tokens", "pii", "ogg", "packing", "decontaminate", "setsketch", "repeats")
+MODULES = ("langid", "sharding", "chat", "tokens", "pii", "ogg", "packing", "decontaminate", "setsketch", "repeats", "filter_audit", "quality_rules", "va_codes")
 
 
 def queries() -> dict:
