@@ -19,6 +19,7 @@ def valid_hash(h: Column) -> Column:
 
 
 def hamming(a: Column, b: Column) -> Column:
+    """Bits in which two longs differ; null if one is null."""
     return F.bit_count(a.bitwiseXOR(b))
 
 
@@ -29,13 +30,15 @@ def bits_lsb_first(h: Column) -> Column:
 def simhash(tokens: DataFrame, key: str, token: str) -> DataFrame:
     """(key, phash) of a table with a row for each token occurrence; a bit is set if it is in most occurrences.
 
-    The 64 bit sums are partial aggregates: where a key's tokens come from one row, one row of
-    sums is shuffled for it and no token. Null keys are one key, null tokens don't count, an empty table gives
-    an empty one.
+    Sums are partial aggregates: where a key's tokens come from one row, one row of sums is
+    shuffled for it and no token. A sum counts two bits, 32 places apart, so a key may have 2^31 - 1 occurrences. Null
+    keys are one key, null tokens don't count, an empty table gives an empty one.
     """
     rows = tokens.where(F.col(token).isNotNull()).select(key, hex_to_long(F.substring(F.md5(token), 1, 16)).alias("__sw_v"))
-    sums = rows.groupBy(key).agg(*[F.sum(F.when(F.shiftrightunsigned("__sw_v", i).bitwiseAND(F.lit(1)) == 1, F.lit(1)).otherwise(-1)).alias(f"s{i}") for i in range(BITS)])
+    pair = lambda i: F.shiftrightunsigned("__sw_v", i).bitwiseAND(F.lit((1 << 32) + 1))
+    sums = rows.groupBy(key).agg(F.count("*").alias("__sw_n"), *[F.sum(pair(i)).alias(f"s{i}") for i in range(BITS // 2)])
     h = F.lit(0).cast("long")
     for i in range(BITS):
-        h = h.bitwiseOR(F.when(F.col(f"s{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+        count = F.shiftrightunsigned(f"s{i - 32}", 32) if i >= 32 else F.col(f"s{i}").bitwiseAND(F.lit((1 << 32) - 1))
+        h = h.bitwiseOR(F.when(2 * count > F.col("__sw_n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
     return sums.select(key, F.lower(F.lpad(F.hex(h), 16, "0")).alias("phash"))

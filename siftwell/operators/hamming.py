@@ -12,8 +12,6 @@ from siftwell.sources.shared import written
 THRESHOLD, CAP = 5, 500
 #: The exact join splits buckets of more rows; no result depends on it.
 SPLIT = 256
-#: A bucket whose rows agree in so many bits is compared as it is, whatever its size.
-ENOUGH_BITS = 20
 
 
 def band_bounds(bands: int, whole: bool = False) -> list[tuple[int, int]]:
@@ -74,9 +72,10 @@ def _shares(bits: int, parts: int) -> list[tuple[int, int]]:
 def exact_edges(hashes: DataFrame, threshold: int = THRESHOLD, split: int = SPLIT, id_col: str = "doc_id") -> DataFrame:
     """(a, b, hamming) for all pairs of different hashes at most ``threshold`` bits apart; a hash goes by its least id.
 
-    A bucket of over ``split`` rows is dealt anew by threshold + 1 shares of the bits that
+    A bucket of over ``split`` rows (2^(threshold + 1) at least) is dealt anew by threshold + 1 shares of the bits that
     its rows need not have in common: pairs within the threshold agree in one of them. No
-    bucket is left out; one that stays large though many bits agree is compared as it is.
+    bucket is left out, and none of more rows is ever compared: as hashes differ, rows that agree
+    in all but eight bits are at most 256.
     """
     spark = hashes.sparkSession
     h = hex_to_long(F.lower("phash"))
@@ -88,7 +87,7 @@ def exact_edges(hashes: DataFrame, threshold: int = THRESHOLD, split: int = SPLI
         spread = now.join(F.broadcast(step), "used").select("id", "h", F.col("mask").alias("used"), F.col("h").bitwiseAND(F.col("mask")).alias("key")).distinct()
         spread = written(spread, "spread")
         sizes = written(spread.groupBy("used", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-        full = (F.col("n") > split) & (F.bit_count("used") < ENOUGH_BITS)
+        full = F.col("n") > max(split, 2 << threshold)
         near = spread.join(sizes.where(~full), ["used", "key"])
         left = near.select("used", "key", F.col("id").alias("a"), F.col("h").alias("ha"))
         right = near.select("used", "key", F.col("id").alias("b"), F.col("h").alias("hb"))

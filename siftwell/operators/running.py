@@ -53,3 +53,23 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[Column], sums: di
     w = Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = join_null_safe(parts, before, [*keys, PART])
     return out.withColumns({new: F.sum(column).over(w) + F.col(f"__sw_{new}") for new, column in sums.items()}).drop(PART, *[f"__sw_{new}" for new in sums])
+
+
+def shares(rows: DataFrame, order: list[Column], weight: str) -> DataFrame:
+    """Add ``lo`` and ``hi``, the sums of ``weight`` (none negative) before and up to each row by ``order``, and ``all``, the last of them.
+
+    Sums of doubles hang on how they are bracketed, so a row's ``lo`` is the ``hi`` of the row before
+    it, also over the bounds of ranges: shares neither overlap nor leave gaps.
+    """
+    parts = ranged(rows.withColumn("__sw_k", F.lit(0)), ["__sw_k"], order)
+    before = _before(parts, ["__sw_k"], {"__sw_before": F.sum(weight)})
+    w = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = join_null_safe(parts, before, ["__sw_k", PART]).withColumn("hi", F.sum(weight).over(w) + F.col("__sw_before")).drop("__sw_before")
+    summed = written(summed, "sums")
+    # A row for each range.
+    ends = summed.groupBy(PART).agg(F.max("hi").alias("end"))
+    up = Window.partitionBy(F.lit(0)).orderBy(PART)
+    floors = ends.select(PART, F.coalesce(F.max("end").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__sw_floor"), F.max("end").over(Window.partitionBy(F.lit(0))).alias("all"))
+    placed = summed.join(F.broadcast(floors), PART).withColumn("hi", F.greatest("hi", "__sw_floor"))
+    lo = F.coalesce(F.lag("hi").over(Window.partitionBy(PART).orderBy("hi", *order)), "__sw_floor")
+    return placed.withColumn("lo", lo).drop(PART, "__sw_k", "__sw_floor")

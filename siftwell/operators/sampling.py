@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.operators.running import join_null_safe, row_numbers, running_sums
+from siftwell.operators.running import join_null_safe, row_numbers, shares
 from siftwell.sources.shared import written
 
 POOL = 0.7
@@ -75,12 +75,12 @@ def weighted_draw(rows: DataFrame, n: int, weight: Column, id_col: str = "doc_id
 
     Each row takes the draws that fall in its share of [0, 1): the number of grid points
     (k + u) / n, with one shift u for all. Shares are running sums over ranges of ids, so
-    no task sees all rows. Null weights count as 0; without any weight there are no draws.
+    no task sees all rows; a share begins where the one before ends, so each draw is made once. Null and negative weights count as 0;
+    without any weight there are no draws.
     """
-    w = rows.select(F.lit(0).alias("k"), F.col(id_col).alias("id"), F.coalesce(weight.cast("double"), F.lit(0.0)).alias("w"))
-    placed = running_sums(w, ["k"], [F.col("id")], {"hi": "w"}).join(F.broadcast(w.agg(F.sum("w").alias("all")).where("all > 0")))
+    w = rows.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("w"))
+    placed = shares(w, [F.col("id")], "w").where("all > 0")
     shift = (seed * 2654435761 % 2**32) / 2**32
-    last = F.greatest(F.ceil(F.lit(float(n)) * F.col("hi") / F.col("all") - shift), F.lit(0))
-    first = F.greatest(F.ceil(F.lit(float(n)) * (F.col("hi") - F.col("w")) / F.col("all") - shift), F.lit(0))
-    draws = placed.withColumn("lo", first).withColumn("up", F.least(last, F.lit(n)))
+    upto = lambda x: F.least(F.greatest(F.ceil(F.lit(float(n)) * F.col(x) / F.col("all") - shift), F.lit(0)), F.lit(n))
+    draws = placed.select("id", upto("lo").alias("lo"), upto("hi").alias("up"))
     return draws.where("up > lo").select(F.explode(F.sequence("lo", F.col("up") - 1)).alias("draw"), F.col("id").alias(id_col))

@@ -82,7 +82,7 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     seen = images.scan(spark, args.root, tuple(args.extensions.split(",")))
-    profiled = written(images.profiled(seen), "profiled")
+    profiled = written(images.records(spark, args.root, tuple(args.extensions.split(","))), "profiled")
     bounds = {"min_side": args.min_side, "blur": args.blur}
     good = written(grouped(profiled, **bounds), "grouped")
     rows = written(resolved(good, policy=args.policy, targets=args.targets), "curated")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(adapters.records(spark, sf_dir))
 
 
+#: Queries with a twin ``<name>_exact`` that has no bucket cap.
+TWINS: list[str] = []
+
+
 def grouped(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
     """Filtered records with their duplicate group, written once; ``exact``: without the bucket cap."""
     rows = filtered(spark, sf_dir)
@@ -41,7 +47,22 @@ def grouped(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
 
 def uncapped(sql: str) -> str:
     """The SQL of a capped query with all buckets."""
-    return sql.replace("WHERE n BETWEEN 2 AND 500)", "WHERE n >= 2)")
+    out = re.sub(r"WHERE n BETWEEN 2 AND (500|700)\)", "WHERE n >= 2)", sql)
+    if out == sql:
+        raise ValueError("no bucket cap")
+    return out
+
+
+def twin(f):
+    """Register a query that takes ``exact``, and its twin without the bucket cap."""
+
+    def exact(spark, sf_dir):
+        return f(spark, sf_dir, exact=True)
+
+    exact.__name__, exact.__doc__ = f"{f.__name__}_exact", f"``{f.__name__}`` without the bucket cap."
+    TWINS.append(f.__name__)
+    QUERIES[exact.__name__], ORACLES[exact.__name__] = exact, uncapped(ORACLES[f.__name__])
+    return f
 
 
 def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +74,9 @@ def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("stratum", sampling.stratum("subclass", "source"))
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
     """Grouped records with cls7 as label and their source column."""
-    return grouped(spark, sf_dir).select("doc_id", "group_id", F.col("cls7").alias("label"), F.col("subclass").alias("source"))
+    return grouped(spark, sf_dir, exact).select("doc_id", "group_id", F.col("cls7").alias("label"), F.col("subclass").alias("source"))
 
 
 # Quality and provenance
@@ -139,15 +160,17 @@ def near_dup_edges_whole(spark, sf_dir):
     return hamming.edges(adapters.hashed(spark, sf_dir), cap=700, whole=True)
 
 
+@twin
 @query(f"WITH RECURSIVE {O.groups('rec')} SELECT doc_id, group_id FROM grp")
-def near_dup_groups(spark, sf_dir):
-    return hamming.duplicate_groups(adapters.hashed(spark, sf_dir))
+def near_dup_groups(spark, sf_dir, exact=False):
+    return hamming.duplicate_groups(adapters.hashed(spark, sf_dir), cap=None if exact else hamming.CAP)
 
 
+@twin
 @query(f"""WITH RECURSIVE {O.groups('rec')}, s AS (SELECT group_id, count(*) AS n FROM grp GROUP BY group_id)
 SELECT count(*) AS n_groups, count(*) FILTER (n > 1) AS n_multi, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS n_members FROM s""")
-def group_stats(spark, sf_dir):
-    return hamming.group_stats(hamming.duplicate_groups(adapters.hashed(spark, sf_dir)))
+def group_stats(spark, sf_dir, exact=False):
+    return hamming.group_stats(hamming.duplicate_groups(adapters.hashed(spark, sf_dir), cap=None if exact else hamming.CAP))
 
 
 @query(f"""WITH {O.HASHED}, x AS (SELECT CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN substr(lower(printf('%016x', h)), 2) WHEN doc_id % 5 = 0 THEN upper('g' || substr(lower(printf('%016x', h)), 2)) ELSE upper(printf('%016x', h)) END AS p FROM hashed)
@@ -165,32 +188,37 @@ def _stats(cls: str) -> str:
       coalesce(sum(n) FILTER (mixed), 0)::BIGINT AS conflict_rows, coalesce(sum(n - 1) FILTER (mixed), 0)::BIGINT AS dup_in_conflict FROM g"""
 
 
+@twin
 @query(_stats("cls"))
-def dup_stats(spark, sf_dir):
-    return conflicts.duplicate_stats(grouped(spark, sf_dir))
+def dup_stats(spark, sf_dir, exact=False):
+    return conflicts.duplicate_stats(grouped(spark, sf_dir, exact))
 
 
+@twin
 @query(_stats("cls7"))
-def dup_stats_conflicting(spark, sf_dir):
-    return conflicts.duplicate_stats(grouped(spark, sf_dir), "cls7")
+def dup_stats_conflicting(spark, sf_dir, exact=False):
+    return conflicts.duplicate_stats(grouped(spark, sf_dir, exact), "cls7")
 
 
+@twin
 @query(f"""WITH RECURSIVE {O.GROUPED} SELECT group_id, count(*) AS n, count(DISTINCT cls7) AS n_classes, min(cls7)::INT AS first_cls, max(cls7)::INT AS last_cls
 FROM grouped GROUP BY group_id HAVING count(DISTINCT cls7) > 1""")
-def conflict_groups(spark, sf_dir):
-    return conflicts.conflict_groups(grouped(spark, sf_dir), "cls7")
+def conflict_groups(spark, sf_dir, exact=False):
+    return conflicts.conflict_groups(grouped(spark, sf_dir, exact), "cls7")
 
 
+@twin
 @query(f"""WITH RECURSIVE {O.GROUPED}, m AS (SELECT group_id FROM grouped GROUP BY group_id HAVING count(DISTINCT cls7) > 1)
 SELECT group_id, doc_id, cls7 FROM grouped SEMI JOIN m USING (group_id)""")
-def conflict_members(spark, sf_dir):
-    return conflicts.conflict_members(grouped(spark, sf_dir), "cls7")
+def conflict_members(spark, sf_dir, exact=False):
+    return conflicts.conflict_members(grouped(spark, sf_dir, exact), "cls7")
 
 
+@twin
 @query(O.policy("report", "cls"))
-def near_dup_survivors(spark, sf_dir):
+def near_dup_survivors(spark, sf_dir, exact=False):
     """The flagship: quality filter, banded Hamming join, components, best row of each group."""
-    return conflicts.survivors(grouped(spark, sf_dir), "report", "cls")
+    return conflicts.survivors(grouped(spark, sf_dir, exact), "report", "cls")
 
 
 # The same without the cap: the result of a row does not depend on how many others there are.
@@ -203,39 +231,22 @@ def near_dup_edges_exact(spark, sf_dir):
     return hamming.exact_edges(adapters.hashed(spark, sf_dir))
 
 
-@query(uncapped(ORACLES["near_dup_groups"]))
-def near_dup_groups_exact(spark, sf_dir):
-    return hamming.exact_groups(adapters.hashed(spark, sf_dir))
-
-
-@query(uncapped(ORACLES["group_stats"]))
-def group_stats_exact(spark, sf_dir):
-    return hamming.group_stats(hamming.exact_groups(adapters.hashed(spark, sf_dir)))
-
-
-@query(uncapped(ORACLES["dup_stats"]))
-def dup_stats_exact(spark, sf_dir):
-    return conflicts.duplicate_stats(grouped(spark, sf_dir, exact=True))
-
-
-@query(uncapped(ORACLES["near_dup_survivors"]))
-def near_dup_survivors_exact(spark, sf_dir):
-    return conflicts.survivors(grouped(spark, sf_dir, exact=True), "report", "cls")
-
-
+@twin
 @query(O.policy("report", "cls7"))
-def keep_report(spark, sf_dir):
-    return conflicts.survivors(grouped(spark, sf_dir), "report", "cls7")
+def keep_report(spark, sf_dir, exact=False):
+    return conflicts.survivors(grouped(spark, sf_dir, exact), "report", "cls7")
 
 
+@twin
 @query(O.policy("keep_rarest", "cls7"))
-def keep_rarest(spark, sf_dir):
-    return conflicts.survivors(grouped(spark, sf_dir), "keep_rarest", "cls7")
+def keep_rarest(spark, sf_dir, exact=False):
+    return conflicts.survivors(grouped(spark, sf_dir, exact), "keep_rarest", "cls7")
 
 
+@twin
 @query(O.policy("drop_all", "cls7"))
-def drop_all(spark, sf_dir):
-    return conflicts.survivors(grouped(spark, sf_dir), "drop_all", "cls7")
+def drop_all(spark, sf_dir, exact=False):
+    return conflicts.survivors(grouped(spark, sf_dir, exact), "drop_all", "cls7")
 
 
 # Sampling
@@ -284,28 +295,32 @@ def sampled_files(spark, sf_dir):
 # Splits
 
 
+@twin
 @query(f"WITH RECURSIVE {O.SPLIT} SELECT split, label, count(*) AS n FROM split GROUP BY ALL")
-def group_split_sizes(spark, sf_dir):
-    return splitting.split_sizes(splitting.three_way(labelled(spark, sf_dir)))
+def group_split_sizes(spark, sf_dir, exact=False):
+    return splitting.split_sizes(splitting.three_way(labelled(spark, sf_dir, exact)))
 
 
+@twin
 @query(f"WITH RECURSIVE {O.SPLIT} SELECT group_id, count(DISTINCT split) AS n_splits FROM split GROUP BY group_id HAVING count(DISTINCT split) > 1")
-def split_overlap(spark, sf_dir):
-    return splitting.split_overlap(splitting.three_way(labelled(spark, sf_dir)))
+def split_overlap(spark, sf_dir, exact=False):
+    return splitting.split_overlap(splitting.three_way(labelled(spark, sf_dir, exact)))
 
 
+@twin
 @query(f"WITH RECURSIVE {O.SPLIT} SELECT source, count(DISTINCT split) AS n_splits FROM split GROUP BY source HAVING count(DISTINCT split) > 1")
-def split_overlap_sources(spark, sf_dir):
+def split_overlap_sources(spark, sf_dir, exact=False):
     """Sources are not kept whole here, so they are in several splits."""
-    return splitting.split_overlap(splitting.three_way(labelled(spark, sf_dir)), "source")
+    return splitting.split_overlap(splitting.three_way(labelled(spark, sf_dir, exact)), "source")
 
 
+@twin
 @query(f"""WITH RECURSIVE {O.SPLIT}, marked AS (SELECT label, (split = 'test')::INT AS t FROM split)
 SELECT 'large_test' AS what, 'all' AS label, round(avg(t), 9) AS value FROM marked HAVING avg(t) > 2 * 0.05::DOUBLE
 UNION ALL SELECT 'skewed_label', label::VARCHAR, round(avg(t), 9) FROM marked GROUP BY label HAVING avg(t) > 0.45""")
-def split_warnings(spark, sf_dir):
+def split_warnings(spark, sf_dir, exact=False):
     """Judged as if five per cent had been asked for."""
-    w = splitting.split_warnings(splitting.three_way(labelled(spark, sf_dir)), test=0.05)
+    w = splitting.split_warnings(splitting.three_way(labelled(spark, sf_dir, exact)), test=0.05)
     return w.select("what", F.coalesce(F.col("label").cast("string"), F.lit("all")).alias("label"), F.round("value", 9).alias("value"))
 
 
@@ -324,21 +339,24 @@ def labelled_split(spark, sf_dir):
     return rows.select("doc_id", splitting.hash_split("doc_id").alias("split"), "label", hot.alias("one_hot"))
 
 
+@twin
 @query(f"WITH RECURSIVE {O.KFOLD_TEST} SELECT fold, role, count(*) AS n FROM kfold GROUP BY ALL")
-def kfold_test_sizes(spark, sf_dir):
-    return splitting.k_folds_with_test(labelled(spark, sf_dir), 4).groupBy("fold", "role").agg(F.count("*").alias("n"))
+def kfold_test_sizes(spark, sf_dir, exact=False):
+    return splitting.k_folds_with_test(labelled(spark, sf_dir, exact), 4).groupBy("fold", "role").agg(F.count("*").alias("n"))
 
 
+@twin
 @query(f"""WITH RECURSIVE {O.SPLIT}, every AS (SELECT s.split, l.label FROM (VALUES ('train'), ('val'), ('test')) s(split), (SELECT range::INT AS label FROM range({N_CLASSES + 1})) l)
 SELECT split, label FROM every ANTI JOIN split USING (split, label)""")
-def missing_classes(spark, sf_dir):
+def missing_classes(spark, sf_dir, exact=False):
     classes = metrics.labels_table(spark, N_CLASSES + 1)
-    return splitting.missing_classes(splitting.three_way(labelled(spark, sf_dir)), classes)
+    return splitting.missing_classes(splitting.three_way(labelled(spark, sf_dir, exact)), classes)
 
 
+@twin
 @query(f"WITH RECURSIVE {O.KFOLD} SELECT fold, role, count(*) AS n FROM kfold GROUP BY ALL")
-def kfold_sizes(spark, sf_dir):
-    return splitting.k_folds(labelled(spark, sf_dir), 5).groupBy("fold", "role").agg(F.count("*").alias("n"))
+def kfold_sizes(spark, sf_dir, exact=False):
+    return splitting.k_folds(labelled(spark, sf_dir, exact), 5).groupBy("fold", "role").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH RECURSIVE {O.HOLDOUT} SELECT label, source, n FROM held")
@@ -346,9 +364,10 @@ def source_holdout(spark, sf_dir):
     return splitting.source_holdout(labelled(spark, sf_dir))
 
 
+@twin
 @query(f"WITH RECURSIVE {O.CLOSURE} SELECT doc_id FROM grouped_l WHERE group_id IN (SELECT group_id FROM chosen_groups)")
-def holdout_closure(spark, sf_dir):
-    return splitting.holdout_split(labelled(spark, sf_dir)).where("split = 'test'").select("doc_id")
+def holdout_closure(spark, sf_dir, exact=False):
+    return splitting.holdout_split(labelled(spark, sf_dir, exact)).where("split = 'test'").select("doc_id")
 
 
 # Metrics

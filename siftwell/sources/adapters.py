@@ -20,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _words():
-    return F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), "")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
