@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -46,8 +48,82 @@ def lloyd(rows: DataFrame, centres: DataFrame, rounds: int, vector: str = "featu
     return centres
 
 
-def visual_clusters(rows: DataFrame, vector: str = "features", k: int = K, seed: int = 42, rounds: int = ROUNDS) -> DataFrame:
-    """Add ``vcluster`` such as ``c07`` by k-means; with too few rows for two clusters all are ``c00``."""
+def _literal(centres: list[list[float]]) -> Column:
+    """All centres, a number of them that is a parameter, as one constant array of (cluster, centre)."""
+    said = json.dumps([{"cluster": j, "centre": [float(x) for x in c]} for j, c in enumerate(centres)])
+    return F.from_json(F.lit(said), "array<struct<cluster: int, centre: array<double>>>")
+
+
+def _best(vector: str, centres: list[list[float]]) -> Column:
+    """(d2, cluster) of the nearest centre; ties to the least."""
+    return F.array_min(F.transform(_literal(centres), lambda c: F.struct(_distance(F.col(vector), c["centre"]).alias("d2"), c["cluster"].alias("cluster"))))
+
+
+def _waiting(id_col: str, seed: int, draw: int) -> Column:
+    """An exponential waiting time for each row and draw, from a hash: the same however rows are dealt."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)), F.lit(str(draw)))), 1, 13), 16, 10).cast("long")
+    return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 52)))
+
+
+def plus_plus(rows: DataFrame, k: int, seed: int = 42, vector: str = "features", id_col: str = "id") -> list[list[float]]:
+    """At most ``k`` starting centres: the first by equal chances, each next one in proportion to the squared distance to the nearest so far.
+
+    A row's waiting time over its squared distance is least for one row with just that
+    probability, so a draw is one minimum over all rows, a partial aggregate; no running sum is needed. If
+    all distances are 0, chances are equal. Rows with a null id or vector are never drawn.
+    """
+    centres: list[list[float]] = []
+    usable = rows.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).alias("i"), F.col(vector).alias("v"))
+    for j in range(k):
+        d2 = _best("v", centres)["d2"] if centres else F.lit(1.0)
+        key = F.when(d2 > 0, _waiting("i", seed, j) / d2)
+        drawn = usable.agg(F.min(F.struct(key.isNull().alias("none"), F.coalesce(key, _waiting("i", seed, j)).alias("key"), "i", "v")).alias("m")).first().m
+        if drawn is None:
+            break
+        centres.append(list(drawn.v))
+    return centres
+
+
+def k_means(rows: DataFrame, k: int, seed: int = 42, rounds: int = ROUNDS, vector: str = "features", id_col: str = "id") -> tuple[DataFrame, list[list[float]]]:
+    """((id, cluster), centres): k-means from ``plus_plus``, until no label changes or ``rounds`` are over.
+
+    Labels count as 0 before the first round. A round is one pass: it assigns all rows by the centres of now and of the
+    round before, counts what differs, and averages each cluster; an empty cluster keeps its centre. Rows with a null vector have
+    no cluster.
+    """
+    usable = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("i"), F.col(vector).alias("v"))
+    centres = plus_plus(usable, k, seed, "v", "i")
+    before: list[list[float]] | None = None
+    final = centres
+    for _ in range(rounds if centres else 0):
+        label = _best("v", centres)["cluster"]
+        changed = label != (_best("v", before)["cluster"] if before is not None else F.lit(0))
+        means = [F.avg(F.col("v")[d]).alias(f"m{d}") for d in range(len(centres[0]))]
+        found = usable.select("v", label.alias("cluster"), changed.alias("changed")).groupBy("cluster").agg(F.count_if("changed").alias("n_changed"), *means).collect()
+        final = centres
+        if not sum(r.n_changed for r in found):
+            break
+        moved = {r.cluster: [r[f"m{d}"] for d in range(len(centres[0]))] for r in found}
+        before, centres = centres, [moved.get(j, c) for j, c in enumerate(centres)]
+    out = rows.select(id_col, F.when(F.col(vector).isNotNull() & F.lit(bool(final)), _best(vector, final)["cluster"]).alias("cluster"))
+    return out, final
+
+
+def visual_clusters(rows: DataFrame, vector: str = "features", k: int = K, seed: int = 42, rounds: int = ROUNDS, id_col: str = "path") -> DataFrame:
+    """Add ``vcluster`` such as ``c07`` by ``k_means``; with too few rows for two clusters all are ``c00``.
+
+    A column ``vcluster`` is replaced; a row without a vector has none.
+    """
+    rows = rows.drop("vcluster")
+    k = cluster_count(rows.count(), k)
+    if k <= 1:
+        return rows.withColumn("vcluster", F.lit("c00"))
+    _, centres = k_means(rows, k, seed, rounds, vector, id_col)
+    return rows.withColumn("vcluster", F.when(F.col(vector).isNotNull(), F.format_string("c%02d", _best(vector, centres)["cluster"])) if centres else F.lit(None).cast("string"))
+
+
+def mllib_clusters(rows: DataFrame, vector: str = "features", k: int = K, seed: int = 42, rounds: int = ROUNDS) -> DataFrame:
+    """``visual_clusters`` by Spark's own k-means, with its random starts."""
     k = cluster_count(rows.count(), k)
     if k <= 1:
         return rows.withColumn("vcluster", F.lit("c00"))

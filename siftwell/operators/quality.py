@@ -18,6 +18,7 @@ def passes(min_side: int = MIN_SIDE, blur: float = BLUR) -> Column:
 
 
 def quality_filter(records: DataFrame, min_side: int = MIN_SIDE, blur: float = BLUR) -> DataFrame:
+    """The records that pass both bounds; a null measure fails."""
     return records.where(passes(min_side, blur))
 
 
@@ -64,3 +65,21 @@ def imbalance(records: DataFrame, cls: str = "cls") -> DataFrame:
     n = records.groupBy(cls).agg(F.count("*").alias("n"))
     all_ = n.agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.min("n").alias("least"))
     return n.join(F.broadcast(all_)).select(cls, "n", (100.0 * F.col("n") / F.col("total")).alias("pct"), (F.col("most").cast("double") / F.col("least")).alias("ratio"))
+
+
+def totals(rows: DataFrame, levels: list[str], side: str = "min_side") -> DataFrame:
+    """(levels, level, n, least_side, most_side): a row for each value of all ``levels``, and totals over the last of them, over the last two, ..., over all.
+
+    ``level`` is the grouping id: its bits say, for the last column first, which columns a row is a total over, so a
+    null there is no value. Partial aggregates of all levels go through one shuffle.
+    """
+    counts = [F.count("*").alias("n"), F.min(side).cast("long").alias("least_side"), F.max(side).cast("long").alias("most_side")]
+    return rows.rollup(*levels).agg(F.grouping_id(*levels).cast("int").alias("level"), *counts)
+
+
+def signature_pivot(rows: DataFrame, classes: list[str], sig: str = "raw_sig", cls: str = "cls") -> DataFrame:
+    """(sig, a count for each of ``classes``, n): rows of each signature by class; n counts other classes too.
+
+    The classes are given, so no pass is needed to find them.
+    """
+    return rows.groupBy(sig).agg(*[F.count_if(F.col(cls) == c).alias(c) for c in classes], F.count("*").alias("n"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwell.operators.running import join_null_safe, row_numbers
 from siftwell.operators.sampling import draw_key
+from siftwell.sources.shared import written
 
 SPLITS = ("train", "val", "test")
 TEST, VAL = 0.15, 0.15
@@ -32,24 +36,78 @@ def group_folds(rows: DataFrame, folds: int, seed: int, label: str = "label", gr
     return ranked.select(group, ((F.col("__sw_turn") - 1) % folds).cast("int").alias("fold"))
 
 
+#: Kinds of groups whose odd ones are dealt greedily, a bound of the driver's memory; those of further kinds are dealt by a hash.
+MOST_KINDS = 100_000
+
+
+def _greedy(kinds: list[tuple[tuple[tuple, ...], int]], totals: dict, folds: int) -> list[list[int]]:
+    """For each kind (its labels' counts, how many groups) the folds of its groups.
+
+    Groups with the most uneven labels go first. Each goes where the labels' shares in the folds then deviate least;
+    ties: to the fold with fewest rows, then the first.
+    """
+    names = {label: i for i, label in enumerate(totals)}
+    share = 1.0 / np.array([max(1, totals[label]) for label in totals], float)
+    vectors = np.zeros((len(kinds), len(names)))
+    for r, (counts, _) in enumerate(kinds):
+        for label, c in counts:
+            vectors[r, names[label]] = c
+    held, out = np.zeros((folds, len(names))), [[] for _ in kinds]
+    for r in np.lexsort((-vectors.sum(1), -vectors.std(1))):
+        for _ in range(kinds[r][1]):
+            tried = held[None] + np.eye(folds)[:, :, None] * vectors[r][None, None]
+            worst = (tried * share).std(1).mean(1)
+            fold = int(np.lexsort((np.arange(folds), held.sum(1), np.round(worst, 12)))[0])
+            held[fold] += vectors[r]
+            out[r].append(fold)
+    return out
+
+
+def balanced_folds(rows: DataFrame, folds: int, seed: int, label: str = "label", group: str = "group_id") -> DataFrame:
+    """(group, fold): whole groups, so that each label's rows spread evenly; all labels of a group count.
+
+    Groups with the same counts of labels are one kind. As many of a kind as ``folds`` divides go to all folds
+    alike, in the order of a hash; the rest, fewer than ``folds`` of each kind, go one by one to the fold where shares of labels then deviate least. Only
+    kinds come to the driver, no groups. Rows without a group are one group, null is a label, an empty table gives an empty one.
+    """
+    counts = rows.groupBy(group, label).agg(F.count("*").alias("c"))
+    kind = F.array_sort(F.collect_list(F.struct(F.to_json(F.struct(F.col(label).alias("l"))).alias("l"), "c")))
+    vectors = counts.groupBy(group).agg(kind.alias("v")).withColumn("__sw_kind", F.to_json("v"))
+    ranked = written(row_numbers(vectors.select(group, "v", "__sw_kind"), ["__sw_kind"], [draw_key(group, seed), F.col(group)], "__sw_turn"), "turns")
+    kinds = ranked.groupBy("__sw_kind").agg(F.count("*").alias("m"), F.first("v").alias("v"))
+    size = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    odd = kinds.where(F.col("m") % folds > 0).orderBy(F.desc(size), "__sw_kind").limit(MOST_KINDS).select("__sw_kind", "v", (F.col("m") % folds).alias("rest")).collect()
+    totals = {r.l: r.n for r in ranked.select(F.explode("v").alias("x")).groupBy(F.col("x.l").alias("l")).agg(F.sum("x.c").alias("n")).orderBy("l").collect()}
+    dealt = _greedy([(tuple((x.l, x.c) for x in r.v), r.rest) for r in odd], totals, folds)
+    taken = rows.sparkSession.createDataFrame([(r["__sw_kind"], d) for r, d in zip(odd, dealt, strict=True)], "__sw_kind string, dealt array<int>")
+    both = ranked.join(kinds.select("__sw_kind", "m"), "__sw_kind").join(taken, "__sw_kind", "left")
+    turn, even = F.col("__sw_turn") - 1, F.col("m") - F.col("m") % folds
+    rest = F.coalesce(F.try_element_at("dealt", (turn - even + 1).cast("int")), F.pmod(F.xxhash64("__sw_kind") + turn, F.lit(folds)).cast("int"))
+    return both.select(group, F.when(turn < even, turn % folds).otherwise(rest).cast("int").alias("fold"))
+
+
+#: (rows, folds, seed, label, group) -> (group, fold).
+Deal = Callable[[DataFrame, int, int, str, str], DataFrame]
+
+
 def _with_fold(rows: DataFrame, folds: DataFrame, group: str, to: str) -> DataFrame:
     return join_null_safe(rows, folds.withColumnRenamed("fold", to), [group], "left")
 
 
-def three_way(rows: DataFrame, label: str = "label", group: str = "group_id", test: float = TEST, val: float = VAL, seed: int = 42) -> DataFrame:
+def three_way(rows: DataFrame, label: str = "label", group: str = "group_id", test: float = TEST, val: float = VAL, seed: int = 42, deal: Deal = group_folds) -> DataFrame:
     """Add ``split``: the first of folds_for(test) folds is the test set, then validation from the rest.
 
     Every row gets a split, those without a group too (``group_folds``). A column named ``split`` is replaced.
     """
-    marked = _with_fold(rows, group_folds(rows, folds_for(test), seed, label, group), group, "__sw_test")
-    second = group_folds(marked.where("__sw_test <> 0"), folds_for(val / (1 - test)), seed + 1, label, group)
+    marked = _with_fold(rows, deal(rows, folds_for(test), seed, label, group), group, "__sw_test")
+    second = deal(marked.where("__sw_test <> 0"), folds_for(val / (1 - test)), seed + 1, label, group)
     split = F.when(F.col("__sw_test") == 0, "test").when(F.col("__sw_val") == 0, "val").otherwise("train")
     return _with_fold(marked, second, group, "__sw_val").withColumn("split", split).drop("__sw_test", "__sw_val")
 
 
-def k_folds(rows: DataFrame, k: int, label: str = "label", group: str = "group_id", seed: int = 42) -> DataFrame:
+def k_folds(rows: DataFrame, k: int, label: str = "label", group: str = "group_id", seed: int = 42, deal: Deal = group_folds) -> DataFrame:
     """Each row once for each fold, with ``role`` val in its own fold and train in the others. Columns named ``fold`` or ``role`` are replaced."""
-    own = _with_fold(rows.drop("fold", "role"), group_folds(rows, k, seed, label, group), group, "__sw_own")
+    own = _with_fold(rows.drop("fold", "role"), deal(rows, k, seed, label, group), group, "__sw_own")
     each = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     return own.select("*", each.alias("fold")).withColumn("role", F.when(F.col("fold") == F.col("__sw_own"), "val").otherwise("train")).drop("__sw_own")
 
@@ -65,6 +123,13 @@ def k_folds_with_test(rows: DataFrame, k: int, label: str = "label", group: str
     return rest.unionByName(fixed).drop("__sw_test")
 
 
+def folds_of_split(split: DataFrame, k: int, label: str = "label", group: str = "group_id", seed: int = 42, deal: Deal = group_folds) -> DataFrame:
+    """``k_folds`` over the train and validation rows of a split; its test rows come once for each fold, with ``role`` test."""
+    rest = k_folds(split.where("split <> 'test'"), k, label, group, seed, deal)
+    fixed = split.where("split = 'test'").drop("fold", "role").select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")).withColumn("role", F.lit("test"))
+    return rest.unionByName(fixed)
+
+
 def source_holdout(rows: DataFrame, label: str = "label", source: str = "source", ratio: float = TEST) -> DataFrame:
     """(label, source, n) of the sources that are held out whole.
 
@@ -87,7 +152,7 @@ def source_holdout(rows: DataFrame, label: str = "label", source: str = "source"
     return run.where(take).select(label, source, "n")
 
 
-def holdout_split(rows: DataFrame, label: str = "label", source: str = "source", group: str = "group_id", id_col: str = "doc_id", test: float = TEST, val: float = VAL, seed: int = 42) -> DataFrame:
+def holdout_split(rows: DataFrame, label: str = "label", source: str = "source", group: str = "group_id", id_col: str = "doc_id", test: float = TEST, val: float = VAL, seed: int = 42, deal: Deal = group_folds) -> DataFrame:
     """Add ``split`` with whole sources in the test set, topped up by rows and closed over groups.
 
     Where held-out sources fall short of floor(test * rows) of a label, min(need, max(1, others - 1))
@@ -105,7 +170,7 @@ def holdout_split(rows: DataFrame, label: str = "label", source: str = "source",
     chosen = held.select(id_col).union(numbered.where("__sw_r <= __sw_take").select(id_col))
     groups = rows.join(chosen, id_col, "left_semi").select(group).distinct()
     marked = join_null_safe(rows, groups.withColumn("__sw_test", F.lit(True)), [group], "left")
-    folds = group_folds(marked.where("__sw_test IS NULL"), folds_for(val / (1 - test)), seed, label, group)
+    folds = deal(marked.where("__sw_test IS NULL"), folds_for(val / (1 - test)), seed, label, group)
     split = F.when(F.col("__sw_test"), "test").when(F.col("__sw_val") == 0, "val").otherwise("train")
     return _with_fold(marked, folds, group, "__sw_val").withColumn("split", split).drop("__sw_test", "__sw_val")
 

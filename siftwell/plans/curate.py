@@ -1,16 +1,21 @@
-"""Curation of an image tree: profile, filter, group, resolve, sample, number; writes only with ``--apply``."""
+"""Curation of an image tree: profile, filter, group, resolve, sample, number; writes only with ``--apply``.
+
+Each stage is a table that a later run with the same files and settings takes up, so a run that died goes on where it was.
+"""
 
 from __future__ import annotations
 
 import argparse
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators import clusters, conflicts, hamming, quality, sampling
 from siftwell.sources import images, manifest
-from siftwell.sources.shared import written
+from siftwell.sources.file_sink import write_files
+from siftwell.sources.shared import Stages, deleted, exists, fingerprint, published, scratch, written
 
 
 def grouped(profiled: DataFrame, *, min_side: int = quality.MIN_SIDE, blur: float = quality.BLUR, threshold: int = hamming.THRESHOLD, cap: int | None = hamming.CAP) -> DataFrame:
@@ -79,24 +84,51 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--min-side", type=int, default=quality.MIN_SIDE)
     ap.add_argument("--blur", type=float, default=quality.BLUR)
     ap.add_argument("--extensions", default=",".join(images.EXTENSIONS))
+    ap.add_argument("--classes", type=lambda s: s.split(","), help="only these folders; absent ones are warned about")
+    ap.add_argument("--no-cap", action="store_true", help=f"buckets of over {hamming.CAP} hashes link too")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    seen = images.scan(spark, args.root, tuple(args.extensions.split(",")))
-    profiled = written(images.records(spark, args.root, tuple(args.extensions.split(","))), "profiled")
+    if args.apply and exists(spark, args.out):
+        raise FileExistsError(args.out)
+    extensions, cap = tuple(args.extensions.split(",")), None if args.no_cap else hamming.CAP
     bounds = {"min_side": args.min_side, "blur": args.blur}
-    good = written(grouped(profiled, **bounds), "grouped")
-    rows = written(resolved(good, policy=args.policy, targets=args.targets), "curated")
-    tables = report(profiled, good, rows, **bounds)
-    if not args.apply:
-        for name in ("rejects", "survivors", "classes", "sources", "duplicates", "leaks"):
-            print(name)
-            tables[name].show(8 if name == "leaks" else 1000, truncate=False)
-        return
-    copies = seen.select("path", "content").join(rows.select("path", "new_path"), "path")
-    manifest.copied(copies, args.out.removeprefix("file://")).write.format("noop").mode("overwrite").save()
-    manifest.write_csv(manifest.manifest_projection(rows).orderBy("class", "new_path"), f"{args.out}/manifest.csv")
-    for name, t in tables.items():
-        manifest.write_json(t, f"{args.out}/report/{name}")
+    found = fingerprint(spark, args.root)
+    # A stage's name says all that its table hangs on, so a dry run and the run that writes share it, and a run that died is taken up.
+    profiles = Stages(spark, args.root, found, extensions, args.classes)
+    groups = Stages(spark, args.root, found, extensions, args.classes, bounds, cap)
+    chosen = Stages(spark, args.root, found, extensions, args.classes, bounds, cap, args.policy, args.targets)
+
+    def profile() -> DataFrame:
+        rows = images.records(spark, args.root, extensions)
+        return images.of_classes(rows, args.classes) if args.classes else rows
+
+    with scratch(spark):
+        profiled = profiles("profiled", profile)
+        good = groups("grouped", lambda: grouped(profiled, cap=cap, **bounds))
+        rows = chosen("curated", lambda: resolved(good, policy=args.policy, targets=args.targets))
+        tables = report(profiled, good, rows, **bounds)
+        if args.apply:
+            apply(spark, args.root, extensions, rows, tables, args.out)
+        else:
+            for name in ("rejects", "survivors", "classes", "sources", "duplicates", "leaks"):
+                print(name)
+                tables[name].show(8 if name == "leaks" else 1000, truncate=False)
+    for stages in (profiles, groups, chosen):
+        stages.close()
+
+
+def apply(spark: SparkSession, root: str, extensions: tuple[str, ...], rows: DataFrame, tables: dict[str, DataFrame], out: str) -> None:
+    """Copies, manifest and report, made beside ``out`` and given its name in one step: it is whole or not there."""
+    made = f"{out.rstrip('/')}.making-{uuid.uuid4().hex}"
+    try:
+        seen = images.scan(spark, root, extensions).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+        write_files(seen.select("path", "content").join(rows.select("path", "new_path"), "path"), made)
+        manifest.write_csv(manifest.manifest_projection(rows).orderBy("class", "new_path"), f"{made}/manifest.csv")
+        for name, t in tables.items():
+            manifest.write_json(t, f"{made}/report/{name}")
+        published(spark, made, out)
+    finally:
+        deleted(spark, made)
 
 
 if __name__ == "__main__":

@@ -185,3 +185,57 @@ def _lloyd(rounds: int) -> str:
 
 
 LLOYD = _lloyd(2)
+
+
+def training(folds: int, own: str, plan) -> str:
+    """The runs of ``classifier.trained`` on the embeddings, step by step; ``own``: a row's fold. Ends with history (run, epoch, ...) and tested (run, epoch, acc, f1)."""
+    parts = [
+        f"x AS MATERIALIZED (SELECT vec_id AS id, (label % 7)::INT AS label, ({own})::INT AS own, list_append(list_transform(embedding, lambda v: v::DOUBLE), 1.0::DOUBLE) AS f FROM embeddings)",
+        f"r AS (SELECT a.range::INT AS run, b.range::INT AS cls FROM range({folds}) a, range(7) b)",
+        "n AS (SELECT run, cls, greatest(1, count(x.id)) AS n FROM r LEFT JOIN x ON x.label = cls AND own >= 0 AND own <> run GROUP BY ALL)",
+        f"soft AS (SELECT run, cls, pow(sum(n) OVER (PARTITION BY run) / (7.0::DOUBLE * n), {plan.beta}::DOUBLE) AS raw FROM n)",
+        "cw AS MATERIALIZED (SELECT run, cls AS label, raw / avg(raw) OVER (PARTITION BY run) AS cw FROM soft)",
+        "w0 AS MATERIALIZED (SELECT run, cls, list_append(list_transform(range(64), lambda i: 0.0::DOUBLE), -1e-6::DOUBLE * cls) AS w FROM r)",
+    ]
+    for s in range(plan.epochs + 1):
+        head, backbone = plan.rates(s)
+        parts += [
+            f"z{s} AS (SELECT run, id, own, label, cls, list_dot_product(f, w) AS z FROM x, w{s})",
+            f"e{s} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY run, id)) AS e FROM z{s})",
+            f"p{s} AS MATERIALIZED (SELECT run, id, own, label, cls, e / sum(e) OVER (PARTITION BY run, id) AS p FROM e{s})",
+            f"said{s} AS MATERIALIZED (SELECT run, id, own, label, arg_max(cls, (p, -cls)) AS said, max(p) FILTER (cls = label) AS mine FROM p{s} GROUP BY ALL)",
+            f"sums{s} AS (SELECT run, sum(-ln(mine) * cw) FILTER (own >= 0 AND own <> run) / sum(cw) FILTER (own >= 0 AND own <> run) AS train_loss, avg((said = label)::INT) FILTER (own >= 0 AND own <> run) AS train_acc, sum(-ln(mine) * cw) FILTER (own = run) / sum(cw) FILTER (own = run) AS val_loss, avg((said = label)::INT) FILTER (own = run) AS val_acc, avg((said = label)::INT) FILTER (own = -1) AS test_acc FROM said{s} JOIN cw USING (run, label) GROUP BY run)",
+            f"""f{s} AS (SELECT run, avg(f1) FILTER (v) AS val_f1, avg(f1) FILTER (NOT v) AS test_f1 FROM (SELECT run, v, cls, 2.0::DOUBLE * sum((label = cls AND said = cls)::INT) / sum((label = cls)::INT + (said = cls)::INT) AS f1
+              FROM (SELECT *, own = run AS v FROM said{s} WHERE own = run OR own = -1), (SELECT range::INT AS cls FROM range(7)) GROUP BY ALL HAVING sum((label = cls)::INT + (said = cls)::INT) > 0) GROUP BY run)""",
+        ]
+        if s < plan.epochs:
+            parts += [
+                f"g{s} AS (SELECT run, cls, i, sum(cw * (p - (label = cls)::INT) * f[i]) / sum(cw) AS g FROM p{s} JOIN x USING (id, own, label) JOIN cw USING (run, label), (SELECT range AS i FROM range(1, 66)) WHERE own >= 0 AND own <> run GROUP BY ALL)",
+                f"w{s + 1} AS MATERIALIZED (SELECT run, cls, list(w[i] - (CASE WHEN i = 65 THEN {head!r}::DOUBLE ELSE {backbone!r}::DOUBLE END) * g ORDER BY i) AS w FROM w{s} JOIN g{s} USING (run, cls) GROUP BY run, cls)",
+            ]
+    rows = " UNION ALL ".join(
+        f"SELECT a.run, {s + 1} AS epoch, {str(s < plan.freeze).lower()} AS frozen, {plan.rates(s)[0]!r}::DOUBLE AS lr_head, {plan.rates(s)[1]!r}::DOUBLE AS lr_backbone, a.train_loss, a.train_acc, b.val_loss, b.val_acc, c.val_f1 AS val_macro_f1, b.test_acc, c.test_f1 FROM sums{s} a JOIN sums{s + 1} b USING (run) JOIN f{s + 1} c USING (run)"
+        for s in range(plan.epochs)
+    )
+    return ",\n".join([*parts, f"history AS MATERIALIZED ({rows})"])
+
+
+def k_means(rounds: int, seed: int = 42, most: int = 20) -> str:
+    """Labels after k-means from hash draws in proportion to squared distances; rounds after the labels stand still change nothing."""
+    d2 = "list_sum(list_transform(list_zip(v.f, c.centre), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    wait = lambda j: f"-ln((('0x' || substr(md5(id || ':{seed}:{j}'), 1, 13))::UBIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings)",
+        f"k AS (SELECT greatest(1, least({most}, count(*) // 20)) AS k FROM v)",
+        f"s0 AS MATERIALIZED (SELECT 0 AS cluster, arg_min(f, ({wait(0)}, id)) AS centre FROM v)",
+    ]
+    for j in range(1, most):
+        parts.append(f"d{j} AS (SELECT v.id, any_value(v.f) AS f, min({d2}) AS d2 FROM v, s{j - 1} c GROUP BY v.id)")
+        parts.append(f"s{j} AS MATERIALIZED (SELECT * FROM s{j - 1} UNION ALL SELECT {j}, f FROM (SELECT arg_min(f, (d2 <= 0, CASE WHEN d2 > 0 THEN {wait(j)} / d2 ELSE {wait(j)} END, id)) AS f FROM d{j}), k WHERE {j} < k)")
+    parts.append(f"c0 AS (SELECT cluster, centre FROM s{most - 1})")
+    near = f"SELECT id, f, cluster FROM (SELECT v.id, v.f, c.cluster, row_number() OVER (PARTITION BY v.id ORDER BY {d2}, c.cluster) AS n FROM v, c{{r}} c) WHERE n = 1"
+    for r in range(rounds - 1):
+        parts.append(f"n{r} AS MATERIALIZED ({near.format(r=r)})")
+        parts.append(f"x{r} AS (SELECT cluster, i, avg(f[i]) AS m FROM n{r}, (SELECT range AS i FROM range(1, 65)) GROUP BY ALL)")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(moved, centre) AS centre FROM c{r} LEFT JOIN (SELECT cluster, list(m ORDER BY i) AS moved FROM x{r} GROUP BY cluster) USING (cluster))")
+    return f"WITH {', '.join(parts)}, last AS ({near.format(r=rounds - 1)}) SELECT id, printf('c%02d', cluster) AS vcluster FROM last"

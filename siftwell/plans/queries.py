@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.operators import clusters, conflicts, hamming, history, metrics, quality, sampling, splitting
+from siftwell.operators import classifier, clusters, conflicts, hamming, history, metrics, quality, running, sampling, splitting
 from siftwell.plans import oracles as O
 from siftwell.sources import adapters, images, manifest, results
 from siftwell.sources.adapters import N_CLASSES
@@ -136,6 +136,19 @@ def class_imbalance(spark, sf_dir):
     return quality.imbalance(filtered(spark, sf_dir)).select("cls", "n", F.round("pct", 9).alias("pct"), F.round("ratio", 9).alias("ratio"))
 
 
+@query(f"""WITH {O.SOURCED} SELECT cls, source, subclass, grouping(cls, source, subclass)::INT AS level, count(*) AS n, min(min_side)::BIGINT AS least_side, max(min_side)::BIGINT AS most_side
+FROM sourced GROUP BY ROLLUP (cls, source, subclass)""")
+def provenance_totals(spark, sf_dir):
+    """Totals of each class, source and folder, of each class and source, of each class, and of all; ``level`` tells a total from a null value."""
+    return quality.totals(sourced(spark, sf_dir), ["cls", "source", "subclass"])
+
+
+@query(f"""WITH {O.RECORDS}, c AS (SELECT sig_b, {", ".join(f"count(*) FILTER (cls = '{c}') AS {c}" for c in ("de", "en", "es", "fr"))}, count(*) AS n FROM good GROUP BY sig_b) SELECT * FROM c""")
+def signature_pivot(spark, sf_dir):
+    """A row for each signature, a column for each class."""
+    return quality.signature_pivot(filtered(spark, sf_dir), ["de", "en", "es", "fr"], sig="sig_b")
+
+
 # Near duplicates
 
 
@@ -370,6 +383,13 @@ def holdout_closure(spark, sf_dir, exact=False):
     return splitting.holdout_split(labelled(spark, sf_dir, exact)).where("split = 'test'").select("doc_id")
 
 
+@query()
+def balanced_folds(spark, sf_dir):
+    """Five folds over which each label's rows spread evenly, groups whole, all their labels counting."""
+    rows = labelled(spark, sf_dir)
+    return running.join_null_safe(rows, splitting.balanced_folds(rows, 5, 42), ["group_id"]).groupBy("fold", "label").agg(F.count("*").alias("n"))
+
+
 # Metrics
 
 
@@ -486,47 +506,83 @@ def report_lines(spark, sf_dir):
     return results.report_lines(r.select("name", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")).select("value")
 
 
-# History. The runs are generated: an epoch for each number, with values from a formula.
+# History: runs of the stand-in classifier on the embeddings.
+
+PLAN = classifier.Plan(epochs=18, patience=None)
+FOLD_PLAN = classifier.Plan(epochs=6, freeze=1, warmup=1, patience=None)
+FOLDS, BATCH, EPOCHS, FROZEN, WARM = 3, 64, 10, 2, 1
+_EIGHT = "('0x' || substr(md5(vec_id || ':123'), 1, 8))::UBIGINT"
+_SINGLE = O.training(1, f"CASE WHEN {_EIGHT} % 100 < 20 THEN 0 ELSE 1 END", PLAN)
+_STAGES = "s AS (SELECT (epoch - 1) // 6 + 1 AS stage, (epoch - 1) % 6 AS epoch, round(val_acc, 9) AS val_accuracy, epoch - 1 AS global_epoch FROM history)"
+
+
+def _trained(spark, sf_dir, folds=1, plan=PLAN) -> list[classifier.Run]:
+    """Runs on the embeddings: a fifth of the vectors validates, or is the test set of ``folds`` runs."""
+    eight = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("vec_id").cast("string"), F.lit("123"))), 1, 8), 16, 10).cast("long")
+    held = eight % 100 < 20
+    fold = F.when(held, 0).otherwise(1) if folds == 1 else F.when(held, classifier.TEST).otherwise(F.floor(eight / 100) % folds)
+    rows = adapters.read(spark, sf_dir, "embeddings").select(F.col("embedding").alias("features"), (F.col("label") % N_CLASSES).alias("label"), fold.alias("fold"))
+    return classifier.trained(rows, N_CLASSES, folds, plan)
 
-STAGES = "SELECT CAST(id DIV 6 AS INT) + 1 AS stage, CAST(id % 6 AS INT) AS epoch, round(0.5D + 0.02D * ((id * 7) % 13), 4) AS val_accuracy FROM range(18)"
-RUN = "SELECT CAST(id AS INT) AS epoch, round(0.4D + 0.03D * ((id * 5) % 11) - 0.001D * id, 4) AS val_macro_f1, id < 2 AS frozen FROM range(24)"
-FOLDS = "SELECT CAST(id AS INT) AS fold, 0.8D + 0.01D * ((id * 3) % 5) AS val_macro_f1, 0.7D + 0.02D * ((id * 2) % 5) AS test_acc FROM range(5)"
 
+def _history(spark, sf_dir) -> DataFrame:
+    return classifier.history(spark, _trained(spark, sf_dir))
 
-@query("""WITH s AS (SELECT range AS step FROM range(400)), f AS (SELECT step, CASE WHEN step < 40 THEN 1.0::DOUBLE
-WHEN step - 40 < 30 THEN (step - 40 + 1)::DOUBLE / 30 ELSE 0.5 * (1 + cos(pi() * least(1.0::DOUBLE, (step - 70)::DOUBLE / 330))) END AS factor FROM s)
-SELECT step, round(factor, 9) AS factor, round(factor * 1e-3::DOUBLE, 9) AS lr_head, CASE WHEN step < 40 THEN 0.0::DOUBLE ELSE round(factor * 1e-4::DOUBLE, 9) END AS lr_backbone FROM f""")
+
+def _stages(spark, sf_dir) -> DataFrame:
+    """The run in three stages of six epochs."""
+    h = _history(spark, sf_dir)
+    return h.select((F.floor((F.col("epoch") - 1) / 6) + 1).cast("int").alias("stage"), ((F.col("epoch") - 1) % 6).alias("epoch"), F.round("val_acc", 9).alias("val_accuracy"))
+
+
+@query(f"""WITH {_SINGLE} SELECT epoch::INT AS epoch, frozen, round(lr_head, 9) AS lr_head, round(lr_backbone, 9) AS lr_backbone, round(train_loss, 7) AS train_loss, round(train_acc, 9) AS train_acc,
+round(val_loss, 7) AS val_loss, round(val_acc, 9) AS val_acc, round(val_macro_f1, 9) AS val_macro_f1 FROM history""")
+def training_history(spark, sf_dir):
+    digits = {"lr_head": 9, "lr_backbone": 9, "train_loss": 7, "train_acc": 9, "val_loss": 7, "val_acc": 9, "val_macro_f1": 9}
+    return _history(spark, sf_dir).select("epoch", "frozen", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+
+@query(f"""WITH n AS (SELECT greatest(1, ceil(count(*) / {BATCH}.0::DOUBLE))::BIGINT AS per FROM embeddings), s AS (SELECT unnest(range({EPOCHS} * per)) AS step, {FROZEN} * per AS fr, {WARM} * per AS wa, {EPOCHS} * per AS total FROM n),
+f AS (SELECT step, fr, CASE WHEN step < fr THEN 1.0::DOUBLE WHEN step - fr < wa THEN (step - fr + 1)::DOUBLE / wa
+  ELSE 0.5 * (1 + cos(pi() * least(1.0::DOUBLE, (step - fr - wa)::DOUBLE / greatest(1, total - fr - wa)))) END AS factor FROM s)
+SELECT step, round(factor, 9) AS factor, round(factor * 1e-3::DOUBLE, 9) AS lr_head, CASE WHEN step < fr THEN 0.0::DOUBLE ELSE round(factor * 1e-4::DOUBLE, 9) END AS lr_backbone FROM f""")
 def lr_schedule(spark, sf_dir):
-    s = history.lr_schedule(spark, 40, 400, 30)
+    """The schedule of as many steps as the embeddings make in batches of 64."""
+    per = max(1, -(-adapters.read(spark, sf_dir, "embeddings").count() // BATCH))
+    s = history.lr_schedule(spark, FROZEN * per, EPOCHS * per, WARM * per)
     return s.select("step", *[F.round(c, 9).alias(c) for c in ("factor", "lr_head", "lr_backbone")])
 
 
-@query("SELECT (range // 6)::INT + 1 AS stage, (range % 6)::INT AS epoch, round(0.5::DOUBLE + 0.02::DOUBLE * ((range * 7) % 13), 4) AS val_accuracy, range AS global_epoch FROM range(18)")
+@query(f"WITH {_SINGLE}, {_STAGES} SELECT stage::INT AS stage, epoch::INT AS epoch, val_accuracy, global_epoch::BIGINT AS global_epoch FROM s")
 def history_concat(spark, sf_dir):
-    return history.history_concat(spark.sql(STAGES)).select("stage", "epoch", "val_accuracy", F.col("global_epoch").cast("long").alias("global_epoch"))
+    return history.history_concat(_stages(spark, sf_dir)).select("stage", "epoch", "val_accuracy", F.col("global_epoch").cast("long").alias("global_epoch"))
 
 
-@query("""WITH h AS (SELECT range::INT AS epoch, round(0.4::DOUBLE + 0.03::DOUBLE * ((range * 5) % 11) - 0.001::DOUBLE * range, 4) AS val_macro_f1, range < 2 AS frozen FROM range(24)),
+@query(f"""WITH {_SINGLE}, h AS (SELECT epoch::INT AS epoch, round(val_macro_f1, 9) AS val_macro_f1, frozen FROM history),
 i AS (SELECT *, val_macro_f1 > coalesce(max(val_macro_f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0) AS improved FROM h),
 g AS (SELECT *, (SELECT max(epoch) FROM i j WHERE j.improved AND j.epoch <= i.epoch) AS best FROM i),
 s AS (SELECT *, (SELECT count(*) FROM h k WHERE k.epoch > g.best AND k.epoch <= g.epoch AND NOT k.frozen) AS stale FROM g)
-SELECT epoch, val_macro_f1, frozen, improved, stale, coalesce(epoch = (SELECT min(epoch) FROM s WHERE stale >= 8 AND NOT frozen), false) AS stop FROM s""")
+SELECT epoch, val_macro_f1, frozen, improved, stale, coalesce(epoch = (SELECT min(epoch) FROM s WHERE stale >= 3 AND NOT frozen), false) AS stop FROM s""")
 def best_epoch_early_stop(spark, sf_dir):
-    return history.best_epoch_early_stop(spark.sql(RUN))
+    """With a patience of three epochs."""
+    h = _history(spark, sf_dir).select("epoch", F.round("val_macro_f1", 9).alias("val_macro_f1"), "frozen")
+    return history.best_epoch_early_stop(h, patience=3)
 
 
-@query("""WITH h AS (SELECT range AS epoch, round(0.5::DOUBLE + 0.02::DOUBLE * ((range * 7) % 13), 4) AS v FROM range(18))
-SELECT max(v) AS best, (SELECT min(epoch) FROM h WHERE v = (SELECT max(v) FROM h)) AS best_epoch, (SELECT v FROM h ORDER BY epoch DESC LIMIT 1) AS final FROM h""")
+@query(f"WITH {_SINGLE}, {_STAGES} SELECT max(val_accuracy) AS best, arg_min(global_epoch, (-val_accuracy, global_epoch))::BIGINT AS best_epoch, arg_max(val_accuracy, global_epoch) AS final FROM s")
 def history_best_final(spark, sf_dir):
-    h = history.history_concat(spark.sql(STAGES)).withColumn("at", F.col("global_epoch").cast("long"))
+    h = history.history_concat(_stages(spark, sf_dir)).withColumn("at", F.col("global_epoch").cast("long"))
     return history.best_and_final(h, "val_accuracy", "at")
 
 
-@query("""WITH f AS (SELECT range AS fold, 0.8::DOUBLE + 0.01::DOUBLE * ((range * 3) % 5) AS a, 0.7::DOUBLE + 0.02::DOUBLE * ((range * 2) % 5) AS b FROM range(5)),
-x AS (SELECT 'val_macro_f1' AS metric, a AS v FROM f UNION ALL SELECT 'test_acc', b FROM f)
-SELECT metric, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std FROM x GROUP BY metric""")
+@query(f"""WITH {O.training(FOLDS, f"CASE WHEN {_EIGHT} % 100 < 20 THEN -1 ELSE ({_EIGHT} // 100) % {FOLDS} END", FOLD_PLAN)},
+best AS (SELECT run, arg_min(epoch, (-round(val_macro_f1, 12), epoch)) AS epoch FROM history GROUP BY run), h AS (SELECT * FROM history SEMI JOIN best USING (run, epoch)),
+m AS (SELECT 'val_macro_f1' AS metric, val_macro_f1 AS v FROM h UNION ALL SELECT 'test_acc', test_acc FROM h UNION ALL SELECT 'test_macro_f1', test_f1 FROM h)
+SELECT metric, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std FROM m GROUP BY metric""")
 def kfold_summary(spark, sf_dir):
-    s = metrics.kfold_summary(spark.sql(FOLDS), ["val_macro_f1", "test_acc"])
+    """Three runs that share a test set, each at its best epoch."""
+    scores = classifier.fold_scores(spark, _trained(spark, sf_dir, FOLDS, FOLD_PLAN))
+    s = metrics.kfold_summary(scores, ["val_macro_f1", "test_acc", "test_macro_f1"])
     return s.select("metric", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
@@ -571,6 +627,17 @@ def class_of_name(spark, sf_dir):
     return adapters.read(spark, sf_dir, "documents").select(name.alias("name"), manifest.class_of_name(name).alias("cls"))
 
 
+@query("""WITH d AS (SELECT coalesce(lang, '-') AS class_dir, CASE WHEN ('0x' || substr(md5(doc_id || ':123'), 1, 8))::UBIGINT % 100 < 20 THEN 'val' ELSE 'train' END AS split FROM documents),
+c AS (SELECT class_dir, split, count(*) AS n FROM d GROUP BY ALL) SELECT *, sum(n) OVER (PARTITION BY split)::BIGINT AS split_size FROM c""")
+def run_metadata(spark, sf_dir):
+    """Sizes of splits and nested counts of classes, through JSON and back."""
+    rows = adapters.read(spark, sf_dir, "documents").select(F.col("lang").alias("class_dir"), splitting.hash_split("doc_id").alias("split"))
+    record = results.run_record(spark, results.counted(rows), {"table": "documents"}, 42)
+    back = record.select(F.from_json(F.to_json(F.struct("*")), results.RUN).alias("r")).select("r.*")
+    each = back.select("split_sizes", F.explode("class_counts").alias("class_dir", "m")).select("split_sizes", "class_dir", F.explode("m").alias("split", "n"))
+    return each.select("class_dir", "split", "n", F.col("split_sizes")[F.col("split")].alias("split_size"))
+
+
 @query("SELECT what, count(*) AS n FROM (SELECT CASE WHEN n_chars < 500 THEN 'broken' ELSE 'sound' END AS what FROM documents) GROUP BY what")
 def broken_split(spark, sf_dir):
     """Records with an error, here the short ones, apart from the sound ones."""
@@ -625,7 +692,13 @@ def kmeans_lloyd(spark, sf_dir):
     return clusters.nearest(rows, clusters.lloyd(rows, start, 2)).select("id", "cluster", F.round("d2", 6).alias("d2"))
 
 
+@query(O.k_means(clusters.ROUNDS))
+def kmeans_plus_plus(spark, sf_dir):
+    """Visual clusters: hash draws in proportion to squared distances, then rounds until labels stand still."""
+    return clusters.visual_clusters(_vectors(spark, sf_dir), id_col="id").select("id", "vcluster")
+
+
 @query()
 def kmeans_mllib(spark, sf_dir):
     """k-means with k-means|| starts; its random starts have no counterpart in SQL."""
-    return clusters.visual_clusters(_vectors(spark, sf_dir)).select("id", "vcluster")
+    return clusters.mllib_clusters(_vectors(spark, sf_dir)).select("id", "vcluster")

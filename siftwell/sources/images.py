@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.sources.shared import written
+from siftwell.sources.shared import file_system, written
 
 # The extensions of images.
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
@@ -47,6 +47,12 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSION
     return images.select("path", "content", F.element_at(parts, 1).alias("cls"), sub.alias("subclass"))
 
 
+def root_of(spark: SparkSession, root: str) -> str:
+    """``root`` as the paths of its files begin."""
+    fs, where = file_system(spark, root)
+    return re.sub("^file:/+", "file:/", fs.makeQualified(where).toString()).rstrip("/")
+
+
 def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """(path, cls) of the images under ``root``; no content is read."""
     return scan(spark, root, extensions).select("path", "cls")

@@ -97,27 +97,5 @@ def write_splits(split: DataFrame, path: str, columns: tuple[str, ...] = ("path"
 
 
 def write_json(rows: DataFrame, path: str) -> None:
+    """A JSON object a line; an error if ``path`` is there."""
     rows.write.json(path)
-
-
-def copied(images: DataFrame, target: str) -> DataFrame:
-    """Writes the content of scanned images to ``target``/new_path and gives what was written: (new_path, size).
-
-    ``target`` is a folder that all executors see. Originals are only read. A file is
-    written under another name first, so one that is there is whole.
-    """
-    import os
-
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            for new, content in zip(pdf.new_path, pdf.content, strict=True):
-                path = os.path.join(target, new)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(f"{path}.part{os.getpid()}", "wb") as f:
-                    f.write(bytes(content))
-                os.replace(f"{path}.part{os.getpid()}", path)
-            yield pd.DataFrame({"new_path": pdf.new_path, "size": [len(c) for c in pdf.content]})
-
-    return images.select("new_path", "content").mapInPandas(run, "new_path string, size long")

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import platform
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HISTORY = "epoch int, loss double, accuracy double, val_loss double, val_accuracy double"
-
+from siftwell.sources.shared import exists
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+HISTORY = "epoch int, loss double, accuracy double, val_loss double, val_accuracy double"
 
 
 def read_histories(spark: SparkSession, paths: list[str], schema: str = HISTORY) -> DataFrame:
@@ -79,3 +77,36 @@ def write_metadata(classes: list[str], facts: DataFrame, path: str) -> None:
     spark = facts.sparkSession
     spark.createDataFrame([(c, i) for i, c in enumerate(classes)], "class_dir string, label int").coalesce(1).write.mode("overwrite").json(f"{path}/classes.json")
     facts.coalesce(1).write.mode("overwrite").json(f"{path}/run_meta.json")
+
+
+#: A run's record: settings and versions by name, rows of each split, and of each class in each split.
+RUN = "timestamp string, args map<string, string>, environment map<string, string>, split_sizes map<string, bigint>, class_counts map<string, map<string, bigint>>"
+
+
+def counted(rows: DataFrame, split: str = "split", cls: str = "class_dir") -> DataFrame:
+    """One row (split_sizes, class_counts): maps of counts, nested for classes. Null names are ``-``."""
+    named = rows.select(F.coalesce(F.col(split).cast("string"), F.lit("-")).alias("s"), F.coalesce(F.col(cls).cast("string"), F.lit("-")).alias("c"))
+    cells = named.groupBy("c", "s").agg(F.count("*").alias("n"))
+    as_map = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v))))
+    sizes = cells.groupBy("s").agg(F.sum("n").alias("n")).agg(as_map("s", "n").alias("split_sizes"))
+    classes = cells.groupBy("c").agg(as_map("s", "n").alias("m")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("c", F.map_entries("m").alias("e"))))).alias("m"))
+    nested = F.transform_values("m", lambda _, e: F.map_from_entries(e))
+    return sizes.join(F.broadcast(classes.select(nested.alias("class_counts"))))  # one row each
+
+
+def run_record(spark: SparkSession, counts: DataFrame, args: dict, seed: int) -> DataFrame:
+    """One row of ``RUN``: ``counted`` with args and environment."""
+    facts = {r.name: r.value for r in environment(spark, seed).collect()}
+    text = lambda d: F.from_json(F.lit(json.dumps({k: str(v) for k, v in sorted(d.items())}, ensure_ascii=False)), "map<string, string>")
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    return counts.select(now.alias("timestamp"), text(args).alias("args"), text(facts).alias("environment"), "split_sizes", "class_counts")
+
+
+def write_run(record: DataFrame, path: str) -> None:
+    """The record as one JSON object in ``path``."""
+    record.select(F.to_json(F.struct(*record.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_run(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_run`` wrote, by the declared schema; fields that a file lacks are null."""
+    return spark.read.text(path).select(F.from_json("value", RUN).alias("r")).select("r.*")
