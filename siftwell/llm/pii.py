@@ -30,6 +30,8 @@ ADDED_KINDS = ("masked_email", "national_phone", "ssn", "iban", "mac", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
 #: Longest segment in tokens and in characters.
 LONGEST, WIDEST = 8, 320
+#: Characters before a segment in which its two words of context, or its cue, are looked for.
+REACH = 40
 
 # Base patterns. Possessive repeats and the look-behind cut only attempts that cannot match.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -104,6 +106,11 @@ CODE_CUES = ["commit", "sha", "md5", "checksum", "digest", "hash", "uuid", "revi
 #: Characters that end a token beside white space.
 BREAKS = "\"'=<>,;|"
 WORD = re.compile(rf"[^\s{BREAKS}]+")
+#: What stands between a cue and a secret that may be of any characters, and such a secret; ``SAID`` are parts of cues, looked for first.
+SAID = ("pass", "pwd", "token", "secret", "key", "credential", "auth", "bearer", "login")
+CUED = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|tokens?|secrets?|key|credentials?|auth|bearer|login)[\"']?\]?[ \t]*(?::=|=>|[:=])[ \t]*[\"'`]?([^\s\"'`<>]{6,})", re.I)
+CUE_END = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|tokens?|secrets?|key|credentials?|auth|bearer|login)[\"']?\]?[ \t]*(?::=|=>|[:=])[ \t]*[\"'`]?\Z", re.I)
+SECRET_END = ".,;:!?)]}|"
 NUMBERED = re.compile(rf"[0-9@][^\s{BREAKS}]*")
 AT, DOT = re.compile(r"[\[({]at[\])}]|\bat\b", re.I), re.compile(r"[\[({]dot[\])}]|\bdot\b", re.I)
 #: A token that an IBAN can start, the groups after it, and a hardware address without digits.
@@ -134,8 +141,12 @@ def shape(span: str) -> str:
     return "".join(out)
 
 
-def plausible(kind: str, span: str, digits: int, size: int) -> bool:
-    """Whether a segment can be of the kind at all, by what it is made of."""
+def plausible(kind: str, span: str, digits: int, size: int, cued: bool) -> bool:
+    """Whether a segment can be of the kind at all, by what it is made of.
+
+    ``cued``: it follows a cue of secrets and a colon or equals sign; then six characters of any sort can be a
+    secret, else it takes twelve of ``MADE_OF``, a digit among them.
+    """
     if kind == "masked_email":
         return bool(size <= 7 and AT.search(span) and DOT.search(span)) and bool(MADE_OF[kind].fullmatch(span))
     if kind == "national_phone":
@@ -146,10 +157,12 @@ def plausible(kind: str, span: str, digits: int, size: int) -> bool:
         return 15 <= len(span) <= 42 and digits >= 4 and bool(MADE_OF[kind].fullmatch(span))
     if kind == "mac":
         return 12 <= len(span) <= 17 and bool(MADE_OF[kind].fullmatch(span) and (digits or LETTER_MAC.fullmatch(span)))
-    return size == 1 and len(span) >= 12 and digits > 0 and digits < len(span) and bool(MADE_OF[kind].fullmatch(span))
+    if size > 1:
+        return False
+    return (cued and len(span) >= 6) or (len(span) >= 12 and 0 < digits < len(span) and bool(MADE_OF[kind].fullmatch(span)))
 
 
-def span_features(kind: str, span: str, before: list[str], after: str, size: int) -> list[str]:
+def span_features(kind: str, span: str, before: list[str], after: str, size: int, cued: bool = False) -> list[str]:
     """Features of a whole candidate segment and its surroundings."""
     digits = [c for c in span if c.isdigit()]
     out = [kind, f"{kind}|tokens={size}", f"{kind}|digits={min(len(digits), 16)}"]
@@ -180,13 +193,19 @@ def span_features(kind: str, span: str, before: list[str], after: str, size: int
         out += [f"secret|cases={cases}", f"secret|hex={hexes}", f"secret|size={min(len(span) // 4, 12)}", f"secret|turns={min(10 * turns // len(span), 7)}"]
         out += [f"secret|start={span[:4] if span[:4].isalpha() and span[:4].isupper() else ''}", f"secret|hex={hexes},size={min(len(span) // 4, 12)},cases={cases}"]
         out.append(f"secret|words={max(map(len, re.findall('[a-z]+|[A-Z]+', span)), default=0) > 5}")
+        sorts = cases + ("d" if digits else "") + ("m" if any(not c.isalnum() for c in span) else "")
+        out += [f"secret|cued={cued}", f"secret|cued={cued},sorts={sorts}", f"secret|cued={cued},sorts={sorts},size={min(len(span) // 4, 6)}"]
+        out.append(f"secret|distinct={min(len(set(span)), 8)}")
+        lead = re.match("([A-Za-z]{2,4})[_-]", span)
+        out += [f"secret|cued={cued},hex={hexes and bool(digits)}", f"secret|cued={cued},lead={lead[1] if lead else ''}"]
+        out.append(f"secret|cued={cued},plain={span.isalpha() and (span[1:].islower() or span.isupper())}")
     return out
 
 
 def islands(text: str, blocked: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Runs of neighbouring tokens (start, end) that can hold an added entity.
 
-    These are tokens with a digit or @, groups after the country of an IBAN, hardware addresses
+    These are tokens with a digit or @, whatever follows a cue of secrets and a colon or equals sign, groups after the country of an IBAN, hardware addresses
     of letters only, and what stands around a masked dot. Neighbours have one space or tab runs
     between them, no line break.
     """
@@ -197,6 +216,15 @@ def islands(text: str, blocked: list[tuple[int, int]]) -> list[list[tuple[int, i
         while start > 0 and inside(start - 1):
             start -= 1
         tokens[start] = m.end()
+    low = text.lower()
+    if any(w in low for w in SAID):
+        for m in CUED.finditer(text):
+            start, end = m.span(1)
+            while end > start + 1 and text[end - 1] in SECRET_END:
+                end -= 1
+            for a in [a for a in tokens if start <= a < end] if len(tokens) < 64 else [a for a in range(start, end) if a in tokens]:
+                del tokens[a]
+            tokens[start] = end
     for start, end in list(tokens.items()):
         if COUNTRY.fullmatch(text, start, end):
             for _ in range(LONGEST - 1):  # groups of letters too
@@ -254,10 +282,11 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
                 e -= 1
             span = text[s:e]
             digits = len(DIGITS.findall(span))
+            cued = j - i == 1 and e - s >= 6 and bool(CUE_END.search(text, max(0, s - REACH), s))
             for kind in ADDED_KINDS:
-                if plausible(kind, span, digits, j - i):
-                    before = CONTEXT.findall(text[max(0, s - 40) : s])[-2:]
-                    out.append((i, j, kind, s, e, span_features(kind, span, before, text[e : e + 12].lstrip(), j - i)))
+                if plausible(kind, span, digits, j - i, cued):
+                    before = CONTEXT.findall(text[max(0, s - REACH) : s])[-2:]
+                    out.append((i, j, kind, s, e, span_features(kind, span, before, text[e : e + 12].lstrip(), j - i, cued)))
     return out
 
 
@@ -329,7 +358,7 @@ class SegmentField:
                     self.w[f] = self.w.get(f, 0.0) + rate * g / math.sqrt(squares[f])
 
 
-def training_lines(n: int = 1500, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def training_lines(n: int = 2400, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Generated lines with and without personal data, and where it stands.
 
     Entities come from layouts as people write them, other numbers and codes from
@@ -385,6 +414,31 @@ def training_lines(n: int = 1500, seed: int = 11) -> list[tuple[str, list[tuple[
         lambda: f"{d(3)},{d(3)}.{d(2)}",
         lambda: f"{h(8)}-{h(4)}-{h(4)}-{h(4)}-{h(12)}",
     ]
+    marks = lambda: rng.choice("!#$%&*@_-+?^~")
+    letters = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    # Secrets that only their cue tells from other text.
+    chosen = [
+        lambda: f"{word()}{d(rng.randint(1, 4))}{word()}",
+        lambda: f"{word().capitalize()}{marks()}{word()}{d(rng.randint(2, 4))}",
+        lambda: f"{word()}{d(2)}{marks()}{marks()}",
+        lambda: (word() + word()).translate(str.maketrans("aeio", "@310")) + rng.choice(["", d(2)]),
+        lambda: "".join(rng.choice("abcdeghknprstuxyzABCDEGHKNPRSTXYZ23456789!#$%&*@_-+?^~") for _ in range(rng.randint(8, 24))),
+        lambda: "-".join(word() + word() for _ in range(4)),
+        lambda: f"{rng.choice(['sk', 'pk', 'rk'])}_{rng.choice(['live', 'test'])}_{rng.choice([letters, mixed, lambda k: letters(k).lower()])(rng.randint(10, 30))}",
+        lambda: letters(rng.randint(10, 32)),
+        lambda: f"{mixed(rng.randint(10, 40))}==",
+        lambda: d(rng.randint(6, 10)),
+    ]
+    # What stands after a cue and is no secret.
+    named = [
+        lambda: rng.choice(["required", "missing", "invalid", "string", "optional", "expired", "disabled", "unknown", "default", "number", "example", "changed"]),
+        lambda: word() + word(),
+        lambda: (word() + word()).capitalize(),
+        lambda: (word() + word()).upper(),
+        lambda: rng.choice("*x.-X_") * rng.randint(6, 12),
+        lambda: f"{word()}_{word()}_{word()}",
+        lambda: f"{word()}.{word()}.{word()}",
+    ]
     codes = [lambda: h(rng.choice([12, 20, 32, 40, 64])), lambda: f"{h(8)}-{h(4)}-{h(4)}-{h(4)}-{h(12)}"]
     prose = ["the", "we met at the dot on the map", "look at page", "a dot at the end", "in"]
     out = []
@@ -392,7 +446,7 @@ def training_lines(n: int = 1500, seed: int = 11) -> list[tuple[str, list[tuple[
         text, spans = " ".join(word() for _ in range(rng.randint(1, 6))), []
         for _ in range(rng.randint(1, 2)):
             chance = rng.random()
-            if chance < 0.55:
+            if chance < 0.5:
                 kind = rng.choice(ADDED_KINDS)
                 cued = rng.random() < (0.9 if kind == "secret" else 0.6)
                 s = make[kind]()
@@ -403,9 +457,18 @@ def training_lines(n: int = 1500, seed: int = 11) -> list[tuple[str, list[tuple[
                 text += quote
                 spans.append((kind, len(text), len(text) + len(s)))
                 text += s + quote
-            elif chance < 0.7:
+            elif chance < 0.68:
+                sign, quote = rng.choice([":", "=", ": ", " = ", " : ", "=> "]), rng.choice(["", "", '"', "'"])
+                cue = rng.choice(["token", "password", "passwd", "pwd", "secret", "key", "apikey", "api_key", "credential", "auth", "pass", "login"])
+                real = rng.random() < 0.6
+                s = rng.choice(chosen if real else named)()
+                text += f" {rng.choice(['', word() + '_'])}{cue}{sign}{quote}"
+                if real and len(s) >= 6:
+                    spans.append(("secret", len(text), len(text) + len(s)))
+                text += s + quote
+            elif chance < 0.76:
                 text += f" {rng.choice(CODE_CUES)}{rng.choice([' ', ': ', '='])}{rng.choice(codes)()}"
-            elif chance < 0.75:
+            elif chance < 0.8:
                 text += f" {rng.choice(prose)}"
             else:
                 text += f" {rng.choice([*OTHER_CUES, word(), word()])} {rng.choice(other)()}"
@@ -423,7 +486,7 @@ def quality(field: SegmentField, lines: list[tuple[str, list[tuple[str, int, int
     return right / max(1, found), right / max(1, true)
 
 
-def fitted(seed: int = 11, lines: int = 1500) -> SegmentField:
+def fitted(seed: int = 11, lines: int = 2400) -> SegmentField:
     field = SegmentField()
     field.fit(training_lines(lines, seed))
     return field
