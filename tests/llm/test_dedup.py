@@ -62,6 +62,55 @@ def test_many_near_copies_in_small_blocks(make, monkeypatch):
     assert [got[i] for i in range(len(texts))] == components(texts, 3, 85)[0]
 
 
+def boilerplate(seed, families, shared=45, own=25, size=3):
+    """Small families of near copies, all of which begin with the same words."""
+    rng = random.Random(seed)
+    head, out = [f"h{i}" for i in range(shared)], []
+    for f in range(families):
+        base = [f"f{f}w{i}" for i in range(own)]
+        for _ in range(rng.randint(1, size)):
+            body = list(base)
+            for _ in range(rng.randint(0, 2)):
+                body[rng.randrange(own)] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(head + body))
+    return out
+
+
+def test_buckets_of_many_small_components_are_split_by_a_second_band(spark, make, monkeypatch):
+    monkeypatch.setattr(setsketch, "BLOCK", 8)
+    monkeypatch.setattr(setsketch, "AT_ONCE", 5)
+    texts = [*boilerplate(4, 90), *copies(3, families=2, size=20)]
+    label = components(texts, 3, 85)[0]
+    sent, rows = setsketch._sent, {}
+
+    def counted(*a):
+        out = sent(*a)
+        rows.setdefault(setsketch.OUTSIDERS, []).append((out.count(), out.where("split").count()))
+        return out
+
+    monkeypatch.setattr(setsketch, "_sent", counted)
+    for outsiders in (4096, 6):
+        monkeypatch.setattr(setsketch, "OUTSIDERS", outsiders)
+        got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(make(texts), shingle=3, percent=85).collect()}
+        assert [got[i] for i in range(len(texts))] == label
+    assert rows[4096][0][1] == 0 < rows[6][0][1]
+
+
+def test_rows_without_an_id_or_with_the_same_one(spark):
+    a, b, c = ("one two three four five six seven eight nine", "red green blue black white grey pink brown teal", "no other text has any of these words in it")
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, c), (None, None), (4, ""), (4, "")]
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()
+    assert len(got) == len(rows)
+    by = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got)
+    # Each row of 2 goes by its own text.
+    assert by == sorted([(1, 7, 1, True), (2, 7, 1, False), (2, 7, 2, True), (3, 7, 2, False), (0, 7, 1, True), (0, 8, 0, True), (0, 0, 0, True), (4, 0, 4, True), (4, 0, 4, True)])
+    long = "".join(chr(97 + i * 7 % 26) for i in range(150))
+    rows = [(1, "x" + long), (1, long + "y"), (None, long), (None, None), (2, "short")]
+    out = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 130)
+    want = [(i, *r) for (i, _), r in zip(rows, removed([t for _, t in rows], 130), strict=True)]
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).digest()) for r in out.collect()) == sorted((w[0] or 0, *w[1:]) for w in want)
+
+
 def test_nothing(make):
     assert setsketch.near_duplicates(make(["x"]).limit(0)).count() == 0
     assert repeats.without_repeats(make(["x"]).limit(0)).count() == 0
