@@ -500,6 +500,15 @@ def joined_predictions(spark, sf_dir):
     return results.predictions_of(p.select("id", "label"), p.select("id", "prediction", "conf"))
 
 
+@query("""WITH t AS (SELECT vec_id AS id, count(*) AS n_test FROM embeddings WHERE vec_id % 7 <> 0 GROUP BY vec_id),
+s AS (SELECT vec_id AS id, count(*) AS n_scored FROM (SELECT vec_id FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT vec_id FROM embeddings WHERE vec_id % 11 = 0) GROUP BY vec_id)
+SELECT id, coalesce(n_test, 0) AS n_test, coalesce(n_scored, 0) AS n_scored FROM t FULL JOIN s USING (id) WHERE coalesce(n_test, 0) <> 1 OR coalesce(n_scored, 0) <> 1""")
+def mismatched_predictions(spark, sf_dir):
+    """Test rows that lack a seventh of the vectors, predictions that lack a fifth and have an eleventh once more: what the guard finds."""
+    p = adapters.predictions(spark, sf_dir).select("id")
+    return results.mismatched(p.where("id % 7 <> 0"), p.where("id % 5 <> 0").unionByName(p.where("id % 11 = 0")))
+
+
 @query(f"SELECT printf('%-16s%12.4f%12.4f%12.4f%12d', name, precision, recall, f1, support) AS value FROM ({O.REPORT})")
 def report_lines(spark, sf_dir):
     r = metrics.classification_report(adapters.predictions(spark, sf_dir), N_CLASSES)

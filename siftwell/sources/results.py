@@ -34,14 +34,21 @@ def append_history(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
 
+def mismatched(test: DataFrame, scored: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, n_test, n_scored) of ids that are not in one test row and one prediction each; a null id never is."""
+    each = test.groupBy(F.col(id_col).alias("i")).agg(F.count("*").alias("t")).join(scored.groupBy(F.col(id_col).alias("j")).agg(F.count("*").alias("s")), F.col("i") == F.col("j"), "full")
+    zero = F.lit(0).cast("long")
+    odd = each.where("t IS NULL OR s IS NULL OR t <> 1 OR s <> 1")
+    return odd.select(F.coalesce("i", "j").alias(id_col), F.coalesce("t", zero).alias("n_test"), F.coalesce("s", zero).alias("n_scored"))
+
+
 def predictions_of(test: DataFrame, scored: DataFrame, id_col: str = "id") -> DataFrame:
     """Test rows with their predictions, joined by id.
 
     An error if a test row has no prediction or several, or a prediction has no test row:
     rows that don't line up would give wrong metrics in silence. Null ids never line up.
     """
-    both = test.groupBy(F.col(id_col).alias("i")).agg(F.count("*").alias("t")).join(scored.groupBy(F.col(id_col).alias("j")).agg(F.count("*").alias("s")), F.col("i") == F.col("j"), "full")
-    odd = both.where("t IS NULL OR s IS NULL OR t <> 1 OR s <> 1").agg(F.count("*").alias("n"), F.min(F.coalesce("i", "j")).alias("first")).first()
+    odd = mismatched(test, scored, id_col).agg(F.count("*").alias("n"), F.min(id_col).alias("first")).first()
     if odd.n:
         raise ValueError(f"{odd.n} ids of test rows and predictions don't match one to one, such as {odd.first}")
     return test.join(scored, id_col)
