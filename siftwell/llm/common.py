@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siftwell.sources.shared import shared_dir, written
 
-__all__ = ["parts", "released", "remembered", "shared_dir", "slices", "table", "text_of", "written"]
+__all__ = ["bucketed", "parts", "released", "remembered", "shared_dir", "slices", "table", "text_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,21 @@ def released() -> None:
         trim(0)
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """``written``, with rows in buckets by ``key``, so that joins by it don't shuffle this table again.
+
+    There are as many buckets as shuffle partitions. The table is in the shared folder; the catalog knows it only while it is opened.
+    """
+    spark = df.sparkSession
+    name = f"siftwell_{tag}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved, so the catalog is not asked again
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 _HELD: dict[str, Any] = {}
 
 
