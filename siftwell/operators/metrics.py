@@ -1,4 +1,9 @@
-"""Classifier metrics over a table (id, label, prediction, conf, source, probs)."""
+"""Classifier metrics over a table (id, label, prediction, conf, source, probs).
+
+A null label or prediction is of no class: the row counts as wrong, on the side that is not null only. A null conf
+counts in no mean and reaches no threshold; rows with null probs are on no curve. An empty table has
+zeros for all given classes, and no rows where classes, sources or thresholds come from the table.
+"""
 
 from __future__ import annotations
 
@@ -40,9 +45,13 @@ def confusion_matrix(p: DataFrame, k: int) -> DataFrame:
     return cells.join(counts, ["label", "prediction"], "left").na.fill(0, ["n"])
 
 
+def _right():
+    return F.coalesce(F.col("label") == F.col("prediction"), F.lit(False))
+
+
 def _per_class(p: DataFrame, k: int) -> DataFrame:
     """label, tp, support, predicted of all k classes; each from one pass."""
-    sides = p.select(F.explode(F.array(F.struct(F.col("label").cast("int").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("q")), F.struct(F.col("prediction").cast("int").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("q")))).alias("s"), (F.col("label") == F.col("prediction")).alias("hit"))
+    sides = p.select(F.explode(F.array(F.struct(F.col("label").cast("int").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("q")), F.struct(F.col("prediction").cast("int").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("q")))).alias("s"), _right().alias("hit"))
     n = sides.groupBy(F.col("s.c").alias("label")).agg(F.sum("s.t").alias("support"), F.sum("s.q").alias("predicted"), F.sum((F.col("hit").cast("int")) * F.col("s.t")).alias("tp"))
     return labels_table(p.sparkSession, k).join(n, "label", "left").na.fill(0, ["support", "predicted", "tp"])
 
@@ -78,14 +87,14 @@ def accuracy_and_loss(batches: DataFrame) -> DataFrame:
 
 def accuracy_by_source(p: DataFrame, least: int = LEAST_SLICE) -> DataFrame:
     """(source, n, accuracy) of sources with at least ``least`` rows; nothing if there is one source only."""
-    each = p.groupBy("source").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("accuracy"))
+    each = p.groupBy("source").agg(F.count("*").alias("n"), F.avg(_right().cast("int")).alias("accuracy"))
     several = each.agg(F.count("source").alias("sources"))
     return each.join(F.broadcast(several)).where((F.col("sources") > 1) & (F.col("n") >= least)).select("source", "n", "accuracy")
 
 
 def confidence_summary(p: DataFrame) -> DataFrame:
     """Mean confidence of all, correct and wrong rows: (what, n, mean_conf); a part without rows is left out."""
-    right = F.col("label") == F.col("prediction")
+    right = _right()
     parts = F.explode(F.array(F.lit("all"), F.when(right, "correct").otherwise("wrong")))
     return p.select("conf", parts.alias("what")).groupBy("what").agg(F.count("*").alias("n"), F.avg("conf").alias("mean_conf"))
 
@@ -93,14 +102,14 @@ def confidence_summary(p: DataFrame) -> DataFrame:
 def confidence_sweep(p: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """(threshold, n, coverage, accuracy) of rows at least that confident; empty thresholds are left out."""
     reached = F.explode(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: F.col("conf") >= t))
-    right = (F.col("label") == F.col("prediction")).cast("int")
+    right = _right().cast("int")
     n = p.select(right.alias("right"), reached.alias("threshold")).groupBy("threshold").agg(F.count("*").alias("n"), F.avg("right").alias("accuracy"))
     return n.join(F.broadcast(p.agg(F.count("*").alias("total")))).select("threshold", "n", (F.col("n").cast("double") / F.col("total")).alias("coverage"), "accuracy")
 
 
 def confidence_by_class(p: DataFrame) -> DataFrame:
     """(label, n, recall, mean_conf): recall over rows of the class, mean confidence over rows predicted as it."""
-    right = (F.col("label") == F.col("prediction")).cast("int")
+    right = _right().cast("int")
     true = p.groupBy("label").agg(F.count("*").alias("n"), F.avg(right).alias("recall"))
     said = p.groupBy(F.col("prediction").alias("label")).agg(F.avg("conf").alias("mean_conf"))
     return true.join(said, "label", "left")

@@ -52,6 +52,19 @@ def test_splits_keep_every_row_and_replace_clashing_columns(grouped):
     assert splitting.three_way(grouped.limit(0), label="cls").count() == 0
 
 
+def test_metrics_of_rows_without_label_prediction_or_confidence(spark):
+    rows = [(1, 0, 0, 0.9, "a"), (2, None, 0, 0.8, "a"), (3, 1, None, 0.7, "b"), (4, 1, 1, None, "b"), (5, None, None, None, None)]
+    p = spark.createDataFrame(rows, "id int, label int, prediction int, conf double, source string").withColumn("probs", F.when(F.col("id") < 5, F.array(F.lit(0.4), F.lit(0.6))))
+    report = {r.name: r for r in metrics.classification_report(p, 2).collect()}
+    assert (report["0"].precision, report["0"].recall, report["0"].support) == (0.5, 1.0, 1) and (report["1"].precision, report["1"].recall, report["1"].support) == (1.0, 0.5, 2)
+    assert sum(r.n for r in metrics.confusion_matrix(p, 2).collect()) == 2
+    assert {r.source: r.accuracy for r in metrics.accuracy_by_source(p, least=1).collect()} == {"a": 0.5, "b": 0.5, None: 0.0}
+    assert {r.what: r.n for r in metrics.confidence_summary(p).collect()} == {"all": 5, "correct": 2, "wrong": 3}
+    assert [(r.n, r.accuracy) for r in metrics.confidence_sweep(p, (0.75,)).collect()] == [(2, 0.5)]
+    assert metrics.roc_points(p, 2).count() > 0
+    assert metrics.confusion_matrix(p.limit(0), 2).count() == 4 and metrics.accuracy_by_source(p.limit(0)).count() == 0
+
+
 def test_small_labels_need_no_rows_in_the_test_set(spark):
     rows = [(i, i, "small" if i < 5 else "large", "one") for i in range(45)]
     df = spark.createDataFrame(rows, "doc_id long, group_id long, label string, source string")
