@@ -53,7 +53,9 @@ def _greedy(kinds: list[tuple[tuple[tuple, ...], int]], totals: dict, folds: int
         for label, c in counts:
             vectors[r, names[label]] = c
     held, out = np.zeros((folds, len(names))), [[] for _ in kinds]
-    for r in np.lexsort((-vectors.sum(1), -vectors.std(1))):
+    # The variance times the square of the number of labels, a whole number: equal ones are equal, whatever their order.
+    spread = len(names) * (vectors**2).sum(1) - vectors.sum(1) ** 2
+    for r in np.lexsort((-vectors.sum(1), -spread)):
         for _ in range(kinds[r][1]):
             tried = held[None] + np.eye(folds)[:, :, None] * vectors[r][None, None]
             worst = (tried * share).std(1).mean(1)

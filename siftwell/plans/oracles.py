@@ -112,6 +112,27 @@ left_over AS MATERIALIZED (SELECT g.* FROM grouped_l g JOIN f1 USING (group_id)
 kfold AS (SELECT k.fold, CASE WHEN f1.fold = 0 THEN 'test' WHEN k.fold = f2.fold THEN 'val' ELSE 'train' END AS role
   FROM grouped_l JOIN f1 USING (group_id) LEFT JOIN f2 USING (group_id), (SELECT range::INT AS fold FROM range(4)) k)"""
 
+def balanced(folds: int, seed: int, labels: int = 7) -> str:
+    """Rows of each fold and label: groups of a kind are dealt evenly, the odd ones one by one to where labels' shares then deviate least."""
+    every = f"range(1, {folds + 1})"
+    share = f"(w.held[g][x] + CASE WHEN g = f THEN u.v[x] ELSE 0 END) / greatest(1, tt.t[x])"
+    off = f"round(list_aggregate(list_transform(range(1, {labels + 1}), lambda x: list_aggregate(list_transform({every}, lambda g: {share}), 'stddev_pop')), 'avg'), 12)"
+    best = f"list_min(list_transform({every}, lambda f: [{off}, list_sum(w.held[f]), f]))[3]::INT"
+    return f"""{_LABELLED},
+cells AS (SELECT group_id, label, count(*) AS c FROM grouped_l GROUP BY ALL),
+vec AS (SELECT group_id, '[' || string_agg('{{"l":"{{\\"l\\":' || label || '}}","c":' || c || '}}', ',' ORDER BY label) || ']' AS kind,
+  list_transform(range({labels}), lambda x: coalesce(list_sum(list_transform(list_filter(list({{'l': label, 'c': c}}), lambda y: y.l = x), lambda y: y.c)), 0)::DOUBLE) AS v FROM cells GROUP BY group_id),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5(group_id || ':{seed}'), group_id) - 1 AS turn, count(*) OVER (PARTITION BY kind) AS m FROM vec),
+totals AS MATERIALIZED (SELECT list(t ORDER BY x) AS t FROM (SELECT x, sum(v[x]) AS t FROM ranked, (SELECT range AS x FROM range(1, {labels + 1})) GROUP BY x)),
+units AS MATERIALIZED (SELECT kind, turn, v, row_number() OVER (ORDER BY (SELECT count(DISTINCT label) FROM cells) * list_sum(list_transform(v, lambda y: y * y)) - list_sum(v) * list_sum(v) DESC, list_sum(v) DESC, kind, turn) AS i
+  FROM ranked WHERE turn >= m - m % {folds}),
+walk(i, kind, turn, fold, held) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, 0, list_transform({every}, lambda f: list_transform(range({labels}), lambda x: 0.0::DOUBLE))
+  UNION ALL SELECT i, kind, turn, fold, list_transform({every}, lambda f: CASE WHEN f = fold THEN list_transform(range(1, {labels + 1}), lambda x: held[f][x] + v[x]) ELSE held[f] END)
+    FROM (SELECT u.i, u.kind, u.turn, u.v, w.held, {best} AS fold FROM walk w JOIN units u ON u.i = w.i + 1, totals tt)),
+dealt AS (SELECT r.group_id, (coalesce(w.fold - 1, r.turn % {folds}))::INT AS fold FROM ranked r LEFT JOIN walk w ON w.kind = r.kind AND w.turn = r.turn)"""
+
+
 HOLDOUT = f"""{_LABELLED},
 h0 AS (SELECT label, source, count(*) AS n FROM grouped_l WHERE source <> '-' GROUP BY ALL),
 h1 AS (SELECT label, count(*) AS total FROM grouped_l GROUP BY label),

@@ -383,7 +383,7 @@ def holdout_closure(spark, sf_dir, exact=False):
     return splitting.holdout_split(labelled(spark, sf_dir, exact)).where("split = 'test'").select("doc_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {O.balanced(5, 42)} SELECT fold, label, count(*) AS n FROM grouped_l JOIN dealt USING (group_id) GROUP BY ALL")
 def balanced_folds(spark, sf_dir):
     """Five folds over which each label's rows spread evenly, groups whole, all their labels counting."""
     rows = labelled(spark, sf_dir)
