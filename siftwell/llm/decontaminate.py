@@ -100,11 +100,27 @@ def _windows(tokens: Column, make) -> Column:
     return F.when(F.size(tokens) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(tokens) - WINDOW + 1), make)).otherwise(F.array())
 
 
+def _joint(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _window_hash(words: list[Column]) -> Column:
+    """The hash of one window: of its words' hashes, two, four and all five of them."""
+    h = [F.xxhash64(w) for w in words]
+    return _joint(_joint(_joint(h[0], h[1]), _joint(h[2], h[3])), h[4])
+
+
 def _hashes(tokens: str) -> Column:
-    """The hash of each window; the same as xxhash64 of its words."""
-    t, size = F.col(tokens), F.size(tokens)
-    rows = F.arrays_zip(*[F.slice(t, k + 1, F.greatest(size, F.lit(1))).alias(f"w{k}") for k in range(WINDOW)])
-    return F.transform(F.slice(rows, 1, F.greatest(size - WINDOW + 1, F.lit(0))), lambda w: F.xxhash64(w))
+    """``_window_hash`` of each window; a word is hashed once, and what two windows share is not hashed again."""
+    t = F.col(tokens)
+    n = F.greatest(F.size(t) - (WINDOW - 1), F.lit(0))
+    let = lambda value, use: F.transform(F.array(value), use)[0]
+
+    def of_words(h: Column) -> Column:
+        two = F.zip_with(F.slice(h, 1, n + 2), F.slice(h, 2, n + 2), _joint)
+        return let(two, lambda x: F.zip_with(F.zip_with(F.slice(x, 1, n), F.slice(x, 3, n), _joint), F.slice(h, WINDOW, n), _joint))
+
+    return F.when(n > 0, let(F.transform(t, lambda w: F.xxhash64(w)), of_words)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _whole(template: Column) -> Column:
@@ -123,7 +139,7 @@ def _item_windows(benchmark: DataFrame) -> DataFrame:
                 F.col("t"),
                 lambda i: F.struct(
                     i.alias("q"),
-                    F.xxhash64(*[F.get(F.col("t"), i + k - 1) for k in range(WINDOW)]).alias("h"),
+                    _window_hash([F.get(F.col("t"), i + k - 1) for k in range(WINDOW)]).alias("h"),
                     F.slice("t", i, WINDOW).alias("template"),
                     F.slice("v", i, WINDOW).alias("valued"),
                 ),
