@@ -280,3 +280,33 @@ def test_exact_join_has_no_cap(spark, split=8):
     same = hashes(spark, [7] * 600 + [7 ^ 1 << 40] + ["-"])
     assert groups(hamming.exact_groups(same, split=split)) == [list(range(601)), [601]]
     assert len(groups(hamming.duplicate_groups(same))) > 2
+
+
+def test_groups_without_cap_take_few_links(spark, monkeypatch):
+    """All hashes that differ in ten bits: 326,144 pairs are near, and the groups need less than an eighth of these as links."""
+    seen = []
+
+    def counted(edges, *ends):
+        seen.append(edges.count())
+        return connected_components(edges, *ends)
+
+    monkeypatch.setattr(hamming, "connected_components", counted)
+    got = groups(hamming.exact_groups(hashes(spark, [*range(1024), 1 << 40 | 0x3F << 20])))
+    assert got == [list(range(1024)), [1024]]
+    assert 1024 <= sum(seen) < 326_144 / 8, seen
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 5, 7])
+def test_exact_join_of_other_thresholds(spark, threshold, split=4):
+    rng = np.random.default_rng(threshold)
+    base = [int(x) for x in rng.integers(0, 2**63, 5, dtype=np.uint64) * 2 + 1]
+    values = list(dict.fromkeys(base + [v ^ int(sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 10), replace=False))) for v in base for _ in range(8)]))
+    near = sorted((i, j, d) for i in range(len(values)) for j in range(i + 1, len(values)) if (d := bin(values[i] ^ values[j]).count("1")) <= threshold)
+    got = [tuple(r) for r in hamming.exact_edges(hashes(spark, values), threshold, split=split).collect()]
+    assert sorted(got) == near
+    label = list(range(len(values)))
+    for _ in values:
+        for i, j, _d in near:
+            label[i] = label[j] = min(label[i], label[j])
+    want = {i: x for i, x in enumerate(label)}
+    assert {r.doc_id: r.group_id for r in hamming.exact_groups(hashes(spark, values), threshold, split=split).collect()} == want
