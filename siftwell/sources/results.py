@@ -57,7 +57,10 @@ def predictions_of(test: DataFrame, scored: DataFrame, id_col: str = "id") -> Da
 def report_lines(report: DataFrame, digits: int = 4) -> DataFrame:
     """A classification report as lines of text (at, value), in the report's order: classes, accuracy, averages."""
     rank = F.when(F.col("name") == "accuracy", 1).when(F.col("name") == "macro avg", 2).when(F.col("name") == "weighted avg", 3).otherwise(0)
-    value = F.format_string(f"%-16s%12.{digits}f%12.{digits}f%12.{digits}f%12d", "name", "precision", "recall", "f1", F.col("support").cast("long"))
+    # Of the number as it is stored: the JVM rounds its shortest decimal form, so 0.12315, which is stored as less, would go up.
+    fixed = F.udf(lambda x: None if x is None else f"{x:.{digits}f}", "string")
+    numbers = [F.format_string("%12s", fixed(c)) for c in ("precision", "recall", "f1")]
+    value = F.concat(F.format_string("%-16s", "name"), *numbers, F.format_string("%12d", F.col("support").cast("long")))
     return report.select(F.struct(rank.alias("r"), F.try_to_number("name", F.lit("999999")).alias("n"), "name").alias("at"), value.alias("value"))
 
 

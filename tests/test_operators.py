@@ -310,3 +310,12 @@ def test_exact_join_of_other_thresholds(spark, threshold, split=4):
             label[i] = label[j] = min(label[i], label[j])
     want = {i: x for i, x in enumerate(label)}
     assert {r.doc_id: r.group_id for r in hamming.exact_groups(hashes(spark, values), threshold, split=split).collect()} == want
+
+
+def test_report_lines_round_what_is_stored(spark):
+    """0.12315 is stored as a little less, 0.03125 exactly, which goes to the even digit."""
+    from siftwell.sources import results
+
+    r = spark.createDataFrame([("3", 0.12315, 0.03125, 1.0, 7), ("macro avg", 0.00005, 0.99995, 0.28125, 20)], "name string, precision double, recall double, f1 double, support long")
+    got = [x.value for x in results.report_lines(r).orderBy("at").collect()]
+    assert got == ["%-16s%12.4f%12.4f%12.4f%12d" % tuple(x) for x in r.collect()] and "0.1231" in got[0]
