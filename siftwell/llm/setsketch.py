@@ -26,7 +26,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 DEVIATIONS = 4.0
 #: A band's bucket is looked at in blocks of about so many members.
 BLOCK = 1024
-#: Members outside of a bucket's largest component that are sent to all of its blocks; buckets with more are split by a second band.
+#: Members outside of a bucket's largest component that are sent to all of its blocks; members of buckets with more meet by their rarest shingles.
 OUTSIDERS = 4096
 #: Members of sets that a matrix of theirs has columns for.
 MEMBERS = 1024
@@ -341,27 +341,42 @@ def _mixed_up(placed: DataFrame) -> DataFrame:
     return placed.join(mixed_up.select("bucket", F.col("top.comp").alias("top")), "bucket").withColumn("other", F.col("comp") != F.col("top")).drop("top")
 
 
-def _split_again(heavy: DataFrame) -> DataFrame:
-    """Rows of buckets with too many outsiders, in a bucket for each two such buckets that the members share: (bucket, rep, members, block, comp, size).
+def _split_again(heavy: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Rows of buckets with too many outsiders, in a bucket for each of their rarest shingles: (bucket, rep, members, block, comp, size).
 
-    Members that share a bucket of another kind too are looked at there, so only pairs that share several buckets of this kind are left, and a
-    pair of the threshold similarity that shares just one of its bands is as rare as one that shares none.
+    Two sets of the threshold similarity share ``percent`` of a hundred members of either, so in any one order of shingles the first ones
+    of both, one more than may be missing, have one in common. No pair that could be linked is left out, and the rarest come first.
     """
-    second = heavy.select("rep", F.col("bucket").alias("second"))
-    both = heavy.select("bucket", "rep", "comp", "size").join(second, "rep").where("second > bucket")
-    both = both.select(F.xxhash64("bucket", "second").alias("bucket"), "rep", "comp", "size")
-    held = both.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    schema = T.StructType().add("rep", T.LongType()).add("n", T.LongType()).add("e", T.LongType())
+    whole = heavy.groupBy("rep").agg(F.first("comp").alias("comp"), F.first("size").alias("size"))
+
+    def run(batches):
+        for batch in slices(batches, "text", SLICE):
+            for rep, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                own = shingle_set(text, shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), x, np.int64)) for x in (rep, len(own))] + [pa.array(own)], names=schema.names)
+        released()
+
+    members = written(texts.join(whole.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, schema), "members")
+    common = members.groupBy("e").agg(F.count("*").alias("members")).where("members > 1")
+    shared = members.join(common, "e")
+    # Shingles of one set only come first of all.
+    before = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
+    place = before + F.row_number().over(Window.partitionBy("rep").orderBy("members", "e"))
+    missing = F.col("n") - F.expr(f"({percent} * n + 99) DIV 100")
+    first = shared.withColumn("place", place).where(F.col("place") <= missing + 1).select(F.xxhash64("e").alias("bucket"), "rep")
+    held = first.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK).cast("long")).cast("int")
-    return both.join(held, "bucket").select("bucket", "rep", "members", block.alias("block"), "comp", "size")
+    return written(first.join(held, "bucket").join(whole, "rep").select("bucket", "rep", "members", block.alias("block"), "comp", "size"), "rare")
 
 
-def _sent(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _sent(buckets: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(bucket, rep, comp, other, at, block): which members of which buckets of several components are looked at in which block.
 
     The members of a bucket's largest component stay in their blocks, and all others are also sent to every block, so
-    a block sees each pair across components. Of buckets with over ``OUTSIDERS`` others only members that share two of them
-    are looked at, so a block gets so many at most and rows grow with the members and not with their square,
-    unless very many agree in two bands and are yet of different components.
+    a block sees each pair across components. Members of buckets with over ``OUTSIDERS`` others meet by their rarest shingles
+    instead, without a limit: all pairs that could be linked are looked at, and rows grow with the members and not with their square,
+    unless very many have a rare shingle in common and are yet of different components.
     """
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     placed = buckets.join(labels.join(sizes, "label"), buckets.rep == labels.node, "left").select(
@@ -374,12 +389,23 @@ def _sent(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     if not heavy.limit(1).count():
         return rest.select(*columns)
     light = rest.join(heavy, "bucket", "left_anti")
-    return light.select(*columns).unionByName(_mixed_up(_split_again(rest.join(heavy, "bucket"))).select(*columns))
+    return light.select(*columns).unionByName(_mixed_up(_split_again(rest.join(heavy, "bucket"), texts, shingle, percent)).select(*columns))
 
 
-def _across(buckets: DataFrame, reps: DataFrame, labels: DataFrame, registers: int, similarity: float, best: bool) -> DataFrame:
-    """Pairs of different components that may pass: the likeliest of each two components in a block, or all."""
-    narrow = written(_sent(buckets, labels), "sent")
+def _banded_alike(x: np.ndarray, y: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Which rows of registers agree in a whole band."""
+    out = np.empty(len(x), bool)
+    for lo in range(0, len(x), 4096):
+        same = x[lo : lo + 4096, : bands * rows] == y[lo : lo + 4096, : bands * rows]
+        out[lo : lo + 4096] = same.reshape(-1, bands, rows).all(2).any(1)
+    return out
+
+
+def _across(buckets: DataFrame, reps: DataFrame, labels: DataFrame, texts: DataFrame, registers: int, shingle: int, percent: int, best: bool) -> DataFrame:
+    """Pairs of different components that share a band and may pass: the likeliest of each two components in a block, or all."""
+    similarity = percent / 100
+    bands, rows = layout(similarity, registers)
+    narrow = written(_sent(buckets, labels, texts, shingle, percent), "sent")
     sent = narrow.join(reps.select("rep", "n", "sketch", "small"), "rep")
     schema = T.StructType([*PAIRS.fields]).add("ca", T.LongType()).add("cb", T.LongType())
 
@@ -396,6 +422,8 @@ def _across(buckets: DataFrame, reps: DataFrame, labels: DataFrame, registers: i
             r, c = np.nonzero(score >= np.where(exact, similarity * (1 - 1e-6), k.floor - 0.05))
             i, j, score, exact = us[r], them[c], score[r, c], exact[r, c]
             on, est = k.passing(i, j, score, exact)
+            # Pairs that meet by a shingle count if they share a band, as if their bucket had not been split.
+            on &= _banded_alike(k.x[i], k.x[j], bands, rows)
             found.append([i[on], j[on], est[on]])
         i, j, est = (np.concatenate(f) for f in zip(*found, strict=True))
         swap = rep[i] > rep[j]
@@ -465,8 +493,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, reg
     empty table gives an empty result.
 
     A link of just the threshold is missed with a probability of about 3e-5 by the
-    bands and the estimate together, and of about 5e-5 more if the one band that it shares is in a bucket
-    that is split; all links that are used are exact.
+    bands and the estimate together; all links that are used are exact. Results don't depend on which buckets are split.
     """
     similarity = percent / 100
     bands, rows = layout(similarity, registers)
@@ -486,7 +513,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, reg
     links = written(confirmed(written(_nearest_lower(buckets, reps, registers, similarity), "pairs"), texts, shingle, percent), "links")
     labels = connected_components(links)
     for best in (True, False):
-        pairs = written(_across(buckets, reps, labels, registers, similarity, best), "pairs")
+        pairs = written(_across(buckets, reps, labels, texts, registers, shingle, percent, best), "pairs")
         if not pairs.limit(1).count():
             break
         links = written(links.union(confirmed(pairs, texts, shingle, percent)), "links")

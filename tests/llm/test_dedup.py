@@ -96,6 +96,19 @@ def test_buckets_of_many_small_components_are_split_by_a_second_band(spark, make
     assert rows[4096][0] == 0 < rows[6][0]
 
 
+def test_results_do_not_depend_on_which_buckets_are_split(spark, make, monkeypatch):
+    monkeypatch.setattr(setsketch, "BLOCK", 8)
+    # One band of one register: no two documents share a second bucket.
+    monkeypatch.setattr(setsketch, "layout", lambda *a: (1, 1))
+    texts = [*boilerplate(4, 90), *copies(3, families=2, size=20)]
+    got = {}
+    for outsiders in (4096, 3):
+        monkeypatch.setattr(setsketch, "OUTSIDERS", outsiders)
+        got[outsiders] = {r.doc_id: r.component_id for r in setsketch.near_duplicates(make(texts), shingle=3, percent=85).collect()}
+    assert got[3] == got[4096]
+    assert len(set(got[3].values())) < len(texts)
+
+
 def test_rows_without_an_id_or_with_the_same_one(spark):
     a, b, c = ("one two three four five six seven eight nine", "red green blue black white grey pink brown teal", "no other text has any of these words in it")
     rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, c), (None, None), (4, ""), (4, "")]
