@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from siftwell.functions.hashes import bits_lsb_first, hex_to_long
 
 K, ROUNDS, ROWS_PER_CLUSTER, COLOUR_WEIGHT = 20, 25, 20, 8.0
+#: Vectors whose distances to all centres a worker holds.
+AT_ONCE = 4096
 
 
 def features(phash: str = "phash", colours: str | Column = "color_feat") -> Column:
@@ -48,15 +51,47 @@ def lloyd(rows: DataFrame, centres: DataFrame, rounds: int, vector: str = "featu
     return centres
 
 
-def _literal(centres: list[list[float]]) -> Column:
-    """All centres, a number of them that is a parameter, as one constant array of (cluster, centre)."""
-    said = json.dumps([{"cluster": j, "centre": [float(x) for x in c]} for j, c in enumerate(centres)])
-    return F.from_json(F.lit(said), "array<struct<cluster: int, centre: array<double>>>")
+def _nearest(vectors: pa.Array, centres: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance to the nearest centre, its number) of each vector; ties to the least.
+
+    Dimensions are added in their order, as by ``_distance``. As in SQL a distance to what holds a null or has another length is null,
+    which comes first of all, and one that is no number comes last.
+    """
+    sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    d2, cluster = np.full(len(sizes), np.nan), np.zeros(len(sizes), np.int32)
+    null = sizes < 0
+    for size in np.unique(sizes[sizes >= 0]).tolist():
+        own = np.flatnonzero(sizes == size)
+        values = vectors.take(pa.array(own)).flatten()
+        gaps = pc.is_null(values).to_numpy(zero_copy_only=False).reshape(len(own), size).any(1)
+        x = pc.fill_null(values.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False).reshape(len(own), size)
+        other = [j for j, c in enumerate(centres) if len(c) != size]
+        if other:
+            null[own], cluster[own] = True, np.where(gaps, 0, other[0])
+            continue
+        c, d = np.stack(centres), np.zeros((len(own), len(centres)))
+        with np.errstate(all="ignore"):
+            for i in range(size):
+                step = x[:, i, None] - c[None, :, i]
+                d += step * step
+        j = np.where(np.isnan(d), np.inf, d).argmin(1)
+        lost = np.isnan(d[np.arange(len(own)), j])
+        j[lost] = np.isnan(d[lost]).argmin(1)
+        null[own], d2[own], cluster[own] = gaps, d[np.arange(len(own)), j], np.where(gaps, 0, j)
+    return np.ma.masked_array(d2, null), cluster
 
 
 def _best(vector: str, centres: list[list[float]]) -> Column:
-    """(d2, cluster) of the nearest centre; ties to the least."""
-    return F.array_min(F.transform(_literal(centres), lambda c: F.struct(_distance(F.col(vector), c["centre"]).alias("d2"), c["cluster"].alias("cluster"))))
+    """(d2, cluster) of the nearest centre; ties to the least. The centres, a number of them that is a parameter, go with the function."""
+    held = [np.array(c, float) for c in centres]
+
+    @F.arrow_udf("struct<d2: double, cluster: int>")
+    def best(v: pa.Array) -> pa.Array:
+        d2, cluster = zip(*(_nearest(v.slice(lo, AT_ONCE), held) for lo in range(0, len(v), AT_ONCE)), strict=True) if len(v) else ([], [])
+        parts = [pa.array(np.concatenate([d.data for d in d2]) if d2 else [], pa.float64(), mask=np.concatenate([d.mask for d in d2]) if d2 else None)]
+        return pa.StructArray.from_arrays([*parts, pa.array(np.concatenate(cluster) if cluster else [], pa.int32())], names=["d2", "cluster"])
+
+    return best(F.col(vector))
 
 
 def _waiting(id_col: str, seed: int, draw: int) -> Column:

@@ -139,6 +139,20 @@ def test_rounds_until_labels_stand_still(spark):
 # Folds
 
 
+def test_nearest_centre_equals_sql_expressions(spark):
+    centres = [[1.0, 2.0, 0.1], [0.3, 0.3, 0.3], [1.0, 2.0, 0.1]]
+    rng = np.random.default_rng(3)
+    rows = [[float(x) for x in v] for v in rng.normal(size=(9000, 3))] + [None, [1.0, None, 2.0], [1.0, 2.0], [], [float("nan"), 1.0, 2.0], [float("inf"), 1.0, 2.0], [1.0, 2.0, 0.1]]
+    table = spark.createDataFrame(list(enumerate(rows)), "id int, v array<double>").repartition(2)
+    held = F.array(*[F.struct(F.lit(j).alias("cluster"), F.array(*[F.lit(y) for y in c]).alias("centre")) for j, c in enumerate(centres)])
+    plain = F.array_min(F.transform(held, lambda c: F.struct(clusters._distance(F.col("v"), c["centre"]).alias("d2"), c["cluster"].alias("cluster"))))
+    both = table.select("id", "v", clusters._best("v", centres).alias("got"), plain.alias("want")).where("v IS NOT NULL")
+    assert both.count() == len(rows) - 1
+    assert both.where("NOT (got.d2 <=> want.d2 AND got.cluster <=> want.cluster)").count() == 0
+    # One call of the interpreter for each batch and not one for each dimension of each pair.
+    assert "zip_with" not in table.select(clusters._best("v", centres).alias("b"))._jdf.queryExecution().toString()
+
+
 def deviation(shares):
     return shares.std(0).mean()
 
