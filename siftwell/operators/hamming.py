@@ -12,6 +12,8 @@ from siftwell.sources.shared import written
 THRESHOLD, CAP = 5, 500
 #: The exact join splits buckets of more rows, down to so many bits; no result depends on it.
 SPLIT, LEAST = 4096, 16
+#: Hashes that a task deals to their buckets.
+DEALT = 8192
 #: Masks that turn hashes for the orders of which a bucket's least is taken.
 ORDERS = [0, -1, 0x5555555555555555, 0x0F0F0F0F33CC55AA]
 
@@ -73,6 +75,10 @@ def _bits(value: Column, lo: int, width: int) -> Column:
     return F.shiftrightunsigned(value, lo).bitwiseAND(F.lit(_signed((1 << width) - 1)))
 
 
+def _tasks(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // DEALT))
+
+
 def _dealt(rows: DataFrame, value: str, level: int, shares: list[tuple[int, int]]) -> DataFrame:
     """Each row with a key, and the key's place ``at``, for each string at most one bit from one of the shares of ``value``.
 
@@ -114,6 +120,7 @@ def exact_edges(hashes: DataFrame, threshold: int = THRESHOLD, split: int = SPLI
     """
     h = hex_to_long(F.lower("phash"))
     now = written(hashes.where(valid_hash(F.lower("phash"))).groupBy(h.alias("r0")).agg(F.min(id_col).alias("id")), "hashes")
+    now = now.repartition(_tasks(now), "r0")
     keys, width, out = [], BITS, None
     first, distance = F.lit(True), F.lit(0)
     while True:
@@ -132,7 +139,8 @@ def exact_edges(hashes: DataFrame, threshold: int = THRESHOLD, split: int = SPLI
         same = F.lit(True)
         for k in keys:
             same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-        close = light.alias("a").join(light.alias("b"), same & (F.col("a.id") < F.col("b.id")) & (distance <= threshold) & first)
+        # Spark takes the dealt rows for as few as the hashes and would send all of them to each executor.
+        close = light.alias("a").join(light.alias("b").hint("merge"), same & (F.col("a.id") < F.col("b.id")) & (distance <= threshold) & first)
         close = close.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.cast("int").alias("hamming"))
         out = close if out is None else out.union(close)
         if over is None:

@@ -282,6 +282,22 @@ def test_exact_join_has_no_cap(spark, split=8):
     assert len(groups(hamming.duplicate_groups(same))) > 2
 
 
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def _near_pairs():
+    return [int(v) ^ flip for v in np.random.default_rng(5).integers(0, 1 << 62, 1500) for flip in (0, 1)]
+
+
+def test_dealt_rows_of_links_are_shuffled_once_and_not_broadcast(spark, monkeypatch):
+    """Each hash is dealt as 66 rows, which Spark takes for one when it chooses a join."""
+    monkeypatch.setattr(hamming, "DEALT", 256, raising=False)
+    plan = _final_plan(hamming.exact_edges(hashes(spark, _near_pairs())))
+    assert "SortMergeJoin" in plan and "ReusedExchange" in plan and "Broadcast" not in plan
+
+
 def test_groups_without_cap_take_few_links(spark, monkeypatch):
     """All hashes that differ in ten bits: 326,144 pairs are near, and the groups need less than an eighth of these as links."""
     seen = []
