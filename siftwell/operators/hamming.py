@@ -150,7 +150,8 @@ def exact_edges(hashes: DataFrame, threshold: int = THRESHOLD, split: int = SPLI
 
 def _stars(rows: DataFrame, threshold: int) -> DataFrame:
     """(h, m) of hashes at most ``threshold`` bits apart: each with the least of its buckets by four orders. Most rows of a component are linked by these already."""
-    spread = _dealt(rows.select("h"), "h", 0, _shares(BITS, threshold)).select("h", "k0")
+    # One shuffle serves the aggregate and the join.
+    spread = _dealt(rows.select("h"), "h", 0, _shares(BITS, threshold)).select("h", "k0").repartition("k0")
     turned = [F.min(F.col("h").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"m{i}") for i, m in enumerate(ORDERS)]
     heads = spread.groupBy("k0").agg(F.count("*").alias("n"), *turned).where("n > 1").drop("n")
     near = F.filter(F.array(*[f"m{i}" for i in range(len(ORDERS))]), lambda m: (m != F.col("h")) & (hamming(m, F.col("h")) <= threshold))
@@ -167,10 +168,13 @@ def _across(placed: DataFrame, threshold: int, split: int) -> DataFrame:
     while True:
         level, shares = len(keys), _shares(width, threshold)
         keys = [*keys, f"k{level}"]
-        spread = _dealt(now, f"r{level}", level, shares).drop(f"at{level}")
+        held = ["h", f"r{level}"] if level else ["h"]
+        # One shuffle serves the aggregate and the join, as both take all columns.
+        spread = _dealt(now, f"r{level}", level, shares).select(*keys, *held, "comp").repartition(*keys)
         width -= min(w for _, w in shares)
-        mixed = spread.groupBy(*keys).agg(F.max("comp").alias("top"), F.min("comp").alias("lo")).where("lo <> top").drop("lo")
-        rest = written(spread.join(mixed, keys).select(*keys, *(["h", f"r{level}"] if level else ["h"]), "comp", (F.col("comp") != F.col("top")).alias("other")), "mixed")
+        ends = spread.groupBy(*keys).agg(F.max(F.struct("comp", *held)).alias("hi"), F.min(F.struct("comp", *held)).alias("lo"))
+        mixed = ends.where("lo.comp <> hi.comp").select(*keys, F.col("hi.comp").alias("top"))
+        rest = written(spread.join(mixed, keys).select(*keys, *held, "comp", (F.col("comp") != F.col("top")).alias("other")), "mixed")
         over = None
         if width >= LEAST:
             over = written(rest.where("other").groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > split).select(*keys), "over")
@@ -197,12 +201,13 @@ def exact_groups(hashes: DataFrame, threshold: int = THRESHOLD, split: int = SPL
     # Written once: what the hashes come from would else run for each use.
     ids = written(hashes.select(F.col(id_col).alias("id"), F.when(valid_hash(F.lower("phash")), hex_to_long(F.lower("phash"))).alias("h")), "ids")
     rows = ids.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("id"))
-    labels = connected_components(_stars(rows, threshold), "h", "m")
+    tasks = _tasks(ids)
+    labels = connected_components(_stars(rows.repartition(tasks, "h"), threshold), "h", "m")
     known = rows.join(labels, rows.h == labels.node, "left").select("id", "h", F.coalesce("label", "h").alias("label"))
     # Components are numbered by size, so the largest of a bucket is a plain maximum.
     sizes = known.groupBy("label").agg(F.count("*").alias("n")).orderBy("n", "label").select("label", F.monotonically_increasing_id().alias("comp"))
     placed = written(known.join(written(sizes, "sizes"), "label").select("id", "h", "comp"), "placed")
-    roots = connected_components(_across(placed, threshold, split))
+    roots = connected_components(_across(placed.repartition(tasks, "h"), threshold, split))
     joined = placed.join(roots, placed.comp == roots.node, "left").select("id", "h", F.coalesce("label", "comp").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("id").alias("label")), "root").select("h", "label")
     return ids.join(named, "h", "left").select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("group_id"))

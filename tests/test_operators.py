@@ -298,6 +298,11 @@ def test_dealt_rows_of_links_are_shuffled_once_and_not_broadcast(spark, monkeypa
     assert "SortMergeJoin" in plan and "ReusedExchange" in plan and "Broadcast" not in plan
 
 
+def test_dealt_rows_of_groups_are_shuffled_once(spark):
+    rows = hashes(spark, _near_pairs()).select(hex_to_long(F.col("phash")).alias("h")).distinct()
+    assert "ReusedExchange" in _final_plan(hamming._stars(rows, 5))
+
+
 def test_groups_without_cap_take_few_links(spark, monkeypatch):
     """All hashes that differ in ten bits: 326,144 pairs are near, and the groups need less than an eighth of these as links."""
     seen = []
