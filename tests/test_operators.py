@@ -300,7 +300,7 @@ def test_dealt_rows_of_links_are_shuffled_once_and_not_broadcast(spark, monkeypa
 
 def test_dealt_rows_of_groups_are_shuffled_once(spark):
     rows = hashes(spark, _near_pairs()).select(hex_to_long(F.col("phash")).alias("h")).distinct()
-    assert "ReusedExchange" in _final_plan(hamming._stars(rows, 5))
+    assert _final_plan(hamming._stars(rows, 5)).count("Generate posexplode") == 1
 
 
 def test_groups_without_cap_take_few_links(spark, monkeypatch):
