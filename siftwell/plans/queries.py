@@ -40,9 +40,10 @@ TWINS: list[str] = []
 
 def grouped(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
     """Filtered records with their duplicate group, written once; ``exact``: without the bucket cap."""
-    rows = filtered(spark, sf_dir)
-    hashes = adapters.hashed(spark, sf_dir).join(rows.select("doc_id"), "doc_id", "left_semi")
-    return written(rows.join((hamming.exact_groups if exact else hamming.duplicate_groups)(hashes), "doc_id"), "grouped")
+    # Written once: each text is read for its hash and its measures in one pass.
+    rows = written(quality.quality_filter(adapters.records(spark, sf_dir, "phash")), "records")
+    groups = (hamming.exact_groups if exact else hamming.duplicate_groups)(rows.select("doc_id", "phash"))
+    return written(rows.drop("phash").join(groups, "doc_id"), "grouped")
 
 
 def uncapped(sql: str) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions.hashes import simhash
+from siftwell.functions.hashes import word_hashes
 
 N_CLASSES = 7
 
@@ -19,31 +19,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _words():
-    return F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), "")
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with n_words, n_distinct and phash of its text; documents without words have the hash of zeros."""
+    return word_hashes(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, min_side, blur, cls, cls7, subclass, raw_sig and sig_b of each document."""
+def records(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """doc_id, min_side, blur, cls, cls7, subclass, raw_sig and sig_b of each document, and ``more`` of what is measured."""
     bucket = F.least(F.expr("n_chars DIV 1000"), F.lit(5)).cast("string")
-    docs = read(spark, sf_dir, "documents").withColumn("w", _words())
-    return docs.select(
+    return measured(spark, sf_dir).select(
         "doc_id",
         F.col("n_chars").alias("min_side"),
-        F.when(F.size("w") > 0, 100.0 * F.size(F.array_distinct("w")) / F.size("w")).otherwise(F.lit(0.0)).alias("blur"),
+        F.when(F.col("n_words") > 0, 100.0 * F.col("n_distinct") / F.col("n_words")).otherwise(F.lit(0.0)).alias("blur"),
         F.col("lang").alias("cls"),
         F.expr(f"CAST(substr(source, 4) AS INT) % {N_CLASSES}").alias("cls7"),
         F.col("source").alias("subclass"),
         F.concat_ws("_", "lang", "source", bucket).alias("raw_sig"),
         bucket.alias("sig_b"),
+        *more,
     )
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and phash of each document; documents without words have the hash of zeros."""
-    docs = read(spark, sf_dir, "documents")
-    tokens = docs.select("doc_id", F.explode(_words()).alias("token"))
-    return docs.select("doc_id").join(simhash(tokens, "doc_id", "token"), "doc_id", "left").na.fill("0" * 16, ["phash"])
+    """doc_id and phash of each document."""
+    return measured(spark, sf_dir).select("doc_id", "phash")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

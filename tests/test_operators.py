@@ -7,10 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.functions.hashes import bits_lsb_first, hex_to_long, valid_hash
+from siftwell.functions import hashes as words
+from siftwell.functions.hashes import bits_lsb_first, hex_to_long, simhash, valid_hash
 from siftwell.operators import clusters, conflicts, hamming, history, metrics, quality, sampling, splitting
 from siftwell.operators.components import connected_components
+from siftwell.plans import queries
 from siftwell.sources import archives, images, manifest
+from siftwell.sources.shared import written
 
 
 def col(df, name):
@@ -340,3 +343,29 @@ def test_report_lines_round_what_is_stored(spark):
     r = spark.createDataFrame([("3", 0.12315, 0.03125, 1.0, 7), ("macro avg", 0.00005, 0.99995, 0.28125, 20)], "name string, precision double, recall double, f1 double, support long")
     got = [x.value for x in results.report_lines(r).orderBy("at").collect()]
     assert got == ["%-16s%12.4f%12.4f%12.4f%12d" % tuple(x) for x in r.collect()] and "0.1231" in got[0]
+
+
+def test_measures_of_words_in_one_pass(spark):
+    """As by ``simhash`` and Spark's array functions: spaces only end words, case is Spark's, and what is held or split at once changes nothing."""
+    texts = [None, "", "   ", "a", "a a b", "\ta\nb  c", "\u0130\u00c9 \u03a3\u03a3 \u03a3", "x" * 200 + " y " + "x" * 200, " ".join(f"W{i % 9000}" for i in range(20_000)), "a b " * words.PIECE]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    each = docs.withColumn("w", F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), ""))
+    hashed = simhash(each.select("id", F.explode("w").alias("token")), "id", "token")
+    want = each.select("id", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("d")).join(hashed, "id", "left").na.fill("0" * 16, ["phash"])
+    got = words.word_hashes(docs)
+    assert got.columns == ["id", "n_words", "n_distinct", "phash"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("id", "n", "d", "phash").collect()))
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_groups_of_filtered_rows_read_each_text_once(spark, monkeypatch, exact):
+    seen = []
+
+    def counted(df, tag):
+        seen.append(df._jdf.queryExecution().executedPlan().toString().count("text:string"))
+        return written(df, tag)
+
+    monkeypatch.setattr(queries, "written", counted)
+    monkeypatch.setattr(hamming, "written", counted)
+    queries.grouped(spark, "/root/testdata/sf0.001", exact)
+    assert sum(seen) == 1, seen
